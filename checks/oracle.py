@@ -201,4 +201,49 @@ SELECT id, time, place FROM enriched WHERE event_ts >= TIMESTAMP '2024-01-24 00:
 SELECT window_start, window_end, region, magnitude_band, count(*) AS count
 FROM counted
 GROUP BY window_start, window_end, region, magnitude_band""",
+    # Batch 0 reads the punctual events, batch 1 reads nothing and lets closed
+    # windows go, batch 2 reads the late events. A fourth batch follows only if
+    # those moved the watermark.
+    "late_batches": f"""WITH {_LATE},
+last_mark AS (
+  SELECT greatest(
+    (SELECT mark FROM first_mark),
+    (SELECT mark FROM watermark)
+  ) AS mark
+),
+state AS (
+  SELECT window_end, region, magnitude_band, bool_or(NOT late) AS punctual
+  FROM counted
+  GROUP BY window_end, region, magnitude_band
+)
+SELECT
+  CAST(0 AS BIGINT) AS batch_id,
+  (SELECT count(*) FROM feed WHERE event_id % 10 <> 0) AS input_rows,
+  TIMESTAMP '1970-01-01 00:00:00' AS watermark,
+  false AS late_dropped,
+  (SELECT count(*) FROM state WHERE punctual) AS state_rows
+UNION ALL
+SELECT
+  1,
+  0,
+  (SELECT mark FROM first_mark),
+  false,
+  (SELECT count(*) FROM state
+   WHERE punctual AND window_end > (SELECT mark FROM first_mark))
+UNION ALL
+SELECT
+  2,
+  (SELECT count(*) FROM feed WHERE event_id % 10 = 0),
+  (SELECT mark FROM first_mark),
+  (SELECT count(*) > 0 FROM arrivals
+   WHERE late AND window_end <= (SELECT mark FROM first_mark)),
+  (SELECT count(*) FROM state WHERE window_end > (SELECT mark FROM first_mark))
+UNION ALL
+SELECT
+  3,
+  0,
+  (SELECT mark FROM last_mark),
+  false,
+  (SELECT count(*) FROM state WHERE window_end > (SELECT mark FROM last_mark))
+WHERE (SELECT mark FROM last_mark) > (SELECT mark FROM first_mark)""",
 }

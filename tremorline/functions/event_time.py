@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 # minutes. Nothing longer is a time in milliseconds.
 NUMBER_TEXT = r"^[+-]?[0-9]{1,38}([.][0-9]{1,38})?([eE][+-]?0*[0-9]{1,2})?$"
 
-# Spark also reads a bare "12:30" as a timestamp (of today); only text that
-# starts with a calendar date counts as ISO-8601 here.
-DATE_PREFIX = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
-
 
 def event_time(time: Column) -> Column:
     """Timestamp for ``time``; null where the text is neither form.
@@ -24,6 +20,15 @@ def event_time(time: Column) -> Column:
     """
     text = F.trim(time)
     millis = text.try_cast("decimal(18,3)").cast("bigint")
-    return F.when(text.rlike(NUMBER_TEXT), F.timestamp_millis(millis)).when(
-        text.rlike(DATE_PREFIX), text.try_cast("timestamp")
+    return F.when(_starts_like_a_date(text), text.try_cast("timestamp")).when(
+        text.rlike(NUMBER_TEXT), F.timestamp_millis(millis)
     )
+
+
+def _starts_like_a_date(text: Column) -> Column:
+    """Dashes where a date has them; much cheaper than a pattern.
+
+    Needed because Spark also reads a bare "12:30" as a timestamp, of today. No
+    number has dashes in both places.
+    """
+    return (F.substring(text, 5, 1) == "-") & (F.substring(text, 8, 1) == "-")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import number
+
 # Lowest magnitude of each band and the band's label.
 BANDS = (
     (0.0, "[0-2)"),
@@ -17,7 +19,7 @@ UNKNOWN_BAND = "unknown"
 
 def magnitude(mag: Column) -> Column:
     """``mag`` as a double; null where it is no number, NaN included."""
-    return F.nanvl(mag.try_cast("double"), F.lit(None).cast("double"))
+    return number(mag)
 
 
 def magnitude_band(mag_d: Column) -> Column:

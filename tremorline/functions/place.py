@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import number
+
 # Fixed value: the region of a place that names none.
 UNKNOWN_REGION = "Unknown"
 
@@ -18,8 +20,8 @@ def region_of(place: Column) -> Column:
     ``substring_index`` scans the string once and builds no array. It returns
     the whole text where there is no comma, hence the test.
     """
-    tail = F.nullif(F.trim(F.substring_index(place, ",", -1)), F.lit(""))
-    return F.coalesce(F.when(place.contains(","), tail), F.lit(UNKNOWN_REGION))
+    tail = F.when(place.contains(","), F.trim(F.substring_index(place, ",", -1)))
+    return F.coalesce(F.nullif(tail, F.lit("")), F.lit(UNKNOWN_REGION))
 
 
 def grid_cell(degrees: Column, size: float, limit: float) -> Column:
@@ -27,7 +29,7 @@ def grid_cell(degrees: Column, size: float, limit: float) -> Column:
 
     Null for text that is no number, for NaN and for values beyond ``limit``.
     """
-    value = degrees.try_cast("double")
+    value = number(degrees)
     return F.when(
         value.between(-float(limit), float(limit)),
         F.floor(value / F.lit(float(size))) * F.lit(float(size)),

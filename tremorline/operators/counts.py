@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pandas import Timedelta
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Window length and lateness tolerance of the standard result.
@@ -52,14 +53,43 @@ def window_totals(
 
     A stream can aggregate this again: the column still carries the watermark.
     """
-    window = F.window("event_ts", length, slide)
+    if events.isStreaming:
+        return (
+            events.withWatermark("event_ts", delay)
+            .groupBy(F.window("event_ts", length, slide), *keys)
+            .agg(F.count(F.lit(1)).alias("count"))
+        )
+    if slide is not None and _divides(slide, length):
+        # Each row is counted once, in a window of the slide's length; only
+        # those counts are spread over the windows that overlap there.
+        panes = window_totals(events, keys, slide)
+        windows = F.window(_not_null("window.start"), length, slide)
+        return panes.groupBy(windows, *keys).agg(F.sum("count").alias("count"))
+    # The stand-in for a missing time adds nothing to a count.
     return (
-        events.withWatermark("event_ts", delay)
-        .groupBy(window, *keys)
-        .agg(F.count(F.lit(1)).alias("count"))
+        events.groupBy(F.window(_not_null("event_ts"), length, slide), *keys)
+        .agg(F.count("event_ts").alias("count"))
+        .where(F.col("count") > 0)
     )
 
 
+def _not_null(time: str) -> Column:
+    """``time`` with a stand-in for null.
+
+    Windows of a nullable time come with a filter, which Spark moves down to
+    the scan with all that defines the time: the text would be parsed again.
+    """
+    return F.coalesce(time, F.timestamp_seconds(F.lit(0)))
+
+
+def _divides(part: str, whole: str) -> bool:
+    """Whether one duration is a multiple of another; no if not plainly so."""
+    try:
+        return Timedelta(whole) % Timedelta(part) == Timedelta(0)
+    except ValueError:
+        return False
+
+
 def flatten_window(counted: DataFrame) -> DataFrame:
     """``window`` as two timestamp columns, in front of the others."""
     others = [name for name in counted.columns if name != "window"]

@@ -22,14 +22,10 @@ def with_event_time(feed: DataFrame) -> DataFrame:
 
 
 def with_region_and_magnitude(feed: DataFrame) -> DataFrame:
-    mag_d = magnitude(F.col("mag"))
+    # The band refers to the column, so the text is read once for both.
     return feed.withColumns(
-        {
-            "region": region_of(F.col("place")),
-            "mag_d": mag_d,
-            "magnitude_band": magnitude_band(mag_d),
-        }
-    )
+        {"region": region_of(F.col("place")), "mag_d": magnitude(F.col("mag"))}
+    ).withColumn("magnitude_band", magnitude_band(F.col("mag_d")))
 
 
 def with_grid(feed: DataFrame, size: float = 5.0) -> DataFrame:

@@ -20,10 +20,11 @@ def top_groups(counts: DataFrame, n: int, key: str = "region") -> DataFrame:
     window arrives whole, while update output holds just the changed groups.
     """
     _check(n)
-    totals = counts.groupBy("window_start", "window_end", key).agg(F.sum("count").alias("count"))
-    largest_first = Window.partitionBy("window_start", "window_end").orderBy(
-        F.desc("count"), F.asc(key)
-    )
+    grouping = ["window_start", "window_end", key]
+    totals = counts
+    if set(counts.columns) != {*grouping, "count"}:
+        totals = counts.groupBy(*grouping).agg(F.sum("count").alias("count"))
+    largest_first = Window.partitionBy("window_start").orderBy(F.desc("count"), F.asc(key))
     return (
         totals.withColumn("rank", F.row_number().over(largest_first))
         .where(F.col("rank") <= n)

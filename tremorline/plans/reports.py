@@ -102,7 +102,7 @@ def grid_window_counts(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def topn_batch(spark: SparkSession, data_dir: str) -> DataFrame:
-    return top_groups(window_counts(_events(spark, data_dir)), TOP_N)
+    return top_groups(window_counts(_events(spark, data_dir), ("region",)), TOP_N)
 
 
 def recent_days(spark: SparkSession, data_dir: str) -> DataFrame:
