@@ -1,0 +1,217 @@
+"""Parsing of feed text, with ANSI mode on and off."""
+
+from __future__ import annotations
+
+import math
+from datetime import datetime, timedelta
+from decimal import Decimal
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tremorline.functions import (
+    event_time,
+    latitude_cell,
+    longitude_cell,
+    magnitude,
+    magnitude_band,
+    region_of,
+)
+
+TIMES = [
+    ("1774744598134", "2026-03-29 00:36:38.134"),
+    (" 1774744598134 ", "2026-03-29 00:36:38.134"),
+    ("+1774744598134", "2026-03-29 00:36:38.134"),
+    ("-1500", "1969-12-31 23:59:58.5"),
+    ("0", "1970-01-01 00:00:00"),
+    ("1774744598134.7", "2026-03-29 00:36:38.134"),
+    ("1.774744598134E12", "2026-03-29 00:36:38.134"),
+    ("999999999999999", "+33658-09-27 01:46:39.999"),
+    ("1234567890123456", None),
+    ("9223372036854775807", None),
+    ("99999999999999999999", None),
+    ("1" * 200, None),
+    ("1e-99999999", None),
+    ("1e99999999", None),
+    ("2026-01-02T03:04:05.678Z", "2026-01-02 03:04:05.678"),
+    ("2026-01-02T03:04:05Z", "2026-01-02 03:04:05"),
+    ("2026-01-02T03:04:05.678+05:30", "2026-01-01 21:34:05.678"),
+    ("2026-01-02 03:04:05", "2026-01-02 03:04:05"),
+    ("2026-01-02", "2026-01-02 00:00:00"),
+    ("2026-13-02T00:00:00Z", None),
+    ("2026-02-30", None),
+    ("12:30", None),
+    ("T12:30", None),
+    ("not-a-time", None),
+    ("abcd-ef-gh", None),
+    ("NaN", None),
+    ("1D", None),
+    ("-", None),
+    ("", None),
+    ("   ", None),
+    (None, None),
+]
+
+PLACES = [
+    ("5 km NW of The Geysers, CA", "CA"),
+    ("a, b, CA ", "CA"),
+    ("South of Alaska", "Unknown"),
+    ("foo, ", "Unknown"),
+    ("foo,", "Unknown"),
+    (",", "Unknown"),
+    (",CA", "CA"),
+    ("a,\tCA", "\tCA"),
+    ("near Ōita, 日本", "日本"),
+    ("", "Unknown"),
+    (None, "Unknown"),
+]
+
+MAGNITUDES = [
+    ("0", 0.0, "[0-2)"),
+    ("1.99", 1.99, "[0-2)"),
+    ("2", 2.0, "[2-4)"),
+    ("3.999999", 3.999999, "[2-4)"),
+    ("4", 4.0, "[4-6)"),
+    ("6", 6.0, "6+"),
+    (" 4.5 ", 4.5, "[4-6)"),
+    ("\t4.5", 4.5, "[4-6)"),
+    (".5", 0.5, "[0-2)"),
+    ("+5", 5.0, "[4-6)"),
+    ("1e1", 10.0, "6+"),
+    ("-0.5", -0.5, "unknown"),
+    ("Infinity", math.inf, "6+"),
+    ("inf", math.inf, "6+"),
+    ("-Infinity", -math.inf, "unknown"),
+    ("abc", None, "unknown"),
+    ("n/a", None, "unknown"),
+    ("5 or so", None, "unknown"),
+    ("-", None, "unknown"),
+    ("NaN", None, "unknown"),
+    ("nan", None, "unknown"),
+    ("", None, "unknown"),
+    (None, None, "unknown"),
+]
+
+
+def _column(spark, values):
+    rows = [(i, value) for i, value in enumerate(values)]
+    # In two partitions, so nothing is folded on the driver.
+    return spark.createDataFrame(rows, "i int, t string").repartition(2)
+
+
+def _collect(frame):
+    return [row[1:] for row in sorted(frame.collect())]
+
+
+def test_event_time(spark, ansi):
+    got = _collect(
+        _column(spark, [time for time, _ in TIMES]).select(
+            "i", event_time(F.col("t")).cast("string")
+        )
+    )
+    assert dict(zip([t for t, _ in TIMES], [g[0] for g in got])) == dict(TIMES)
+
+
+def test_event_time_type(spark):
+    frame = _column(spark, ["0"]).select(event_time(F.col("t")).alias("event_ts"))
+    assert frame.schema["event_ts"].dataType.simpleString() == "timestamp"
+
+
+def test_region(spark, ansi):
+    got = _collect(
+        _column(spark, [place for place, _ in PLACES]).select("i", region_of(F.col("t")))
+    )
+    assert [g[0] for g in got] == [region for _, region in PLACES]
+
+
+def test_magnitude_and_band(spark, ansi):
+    mag_d = magnitude(F.col("t"))
+    got = _collect(
+        _column(spark, [mag for mag, _, _ in MAGNITUDES]).select("i", mag_d, magnitude_band(mag_d))
+    )
+    assert got == [(value, band) for _, value, band in MAGNITUDES]
+
+
+def test_band_of_nan(spark):
+    frame = spark.range(1).select(magnitude_band(F.lit(float("nan"))))
+    assert frame.first()[0] == "unknown"
+
+
+@pytest.mark.parametrize(
+    "text, latitude, longitude",
+    [
+        ("0", 0.0, 0.0),
+        ("4.99", 0.0, 0.0),
+        ("-0.01", -5.0, -5.0),
+        ("90", 90.0, 90.0),
+        ("-90", -90.0, -90.0),
+        ("90.1", None, 90.0),
+        ("180", None, 180.0),
+        ("-180.5", None, None),
+        ("NaN", None, None),
+        ("north", None, None),
+        (None, None, None),
+    ],
+)
+def test_grid(spark, text, latitude, longitude):
+    frame = _column(spark, [text]).select(latitude_cell(F.col("t")), longitude_cell(F.col("t")))
+    assert tuple(frame.first()) == (latitude, longitude)
+
+
+def test_grid_size(spark):
+    frame = _column(spark, ["7.3"]).select(latitude_cell(F.col("t"), 0.5))
+    assert frame.first()[0] == 7.0
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text(alphabet="0123456789+-.eE:TZ ,abÅ\t", max_size=24), min_size=200))
+def test_no_text_fails_a_query(spark, texts):
+    frame = _column(spark, texts).select(
+        "i",
+        event_time(F.col("t")).cast("string"),
+        region_of(F.col("t")),
+        magnitude(F.col("t")),
+        latitude_cell(F.col("t")),
+    )
+    for text, (_, region, _, _) in zip(texts, _collect(frame)):
+        tail = text.rpartition(",")[2].strip(" ") if "," in text else ""
+        assert region == (tail or "Unknown")
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.lists(
+        st.decimals(-(10**13), 10**13, places=3, allow_nan=False, allow_infinity=False),
+        min_size=100,
+    )
+)
+def test_milliseconds(spark, numbers):
+    got = _collect(
+        _column(spark, [str(n) for n in numbers]).select(
+            "i", F.unix_millis(event_time(F.col("t")))
+        )
+    )
+    assert [g[0] for g in got] == [int(Decimal(n)) for n in numbers]
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.lists(
+        st.tuples(
+            st.datetimes(datetime(1900, 1, 1), datetime(9000, 1, 1)),
+            st.integers(-14 * 60, 14 * 60),
+        ),
+        min_size=100,
+    )
+)
+def test_iso_times_with_offsets(spark, times):
+    texts = [
+        t.isoformat() + f"{'-' if m < 0 else '+'}{abs(m) // 60:02}:{abs(m) % 60:02}"
+        for t, m in times
+    ]
+    got = _collect(_column(spark, texts).select("i", F.unix_micros(event_time(F.col("t")))))
+    epoch = datetime(1970, 1, 1)
+    wanted = [(t - timedelta(minutes=m) - epoch) // timedelta(microseconds=1) for t, m in times]
+    assert [g[0] for g in got] == wanted

@@ -1,0 +1,419 @@
+"""The streaming job, its outputs, restarts and late data."""
+
+from __future__ import annotations
+
+import glob
+import io
+import os
+import time
+
+import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
+
+from tremorline.operators import enrich, top_groups, top_groups_chained, window_counts
+from tremorline.schema import RESULT_SCHEMA
+from tremorline.sources import read_feed, stream_feed
+from tremorline.streaming import (
+    LateRecorder,
+    append_table,
+    build_stream,
+    callback,
+    console,
+    each_batch,
+    late_report,
+    read_changelog,
+    read_final,
+    start,
+    start_console,
+    start_table,
+    stream_counts,
+    stream_events,
+    top_table,
+    versioned_table,
+    wait_for_all,
+    write_parquet,
+)
+
+from .conftest import as_set
+
+MINUTE = 60_000
+HOUR = 60 * MINUTE
+
+
+def event(at: int, region: str = "A", mag: str = "1") -> dict:
+    return {"id": str(at), "time": str(at), "place": f"near x, {region}", "mag": mag}
+
+
+@pytest.fixture
+def day(tmp_path, deliver):
+    """A landing folder with four files, one hour each, in time order."""
+    landing = tmp_path / "landing"
+    for hour in range(4):
+        rows = [
+            event(hour * HOUR + minute * MINUTE, region, mag)
+            for minute in range(60)
+            for region, mag in (("A", "1"), ("B", "3"), ("B", "?"), ("C", "6.5"))[: 1 + minute % 4]
+        ]
+        rows.append({"id": "none", "time": "?", "place": "x, A"})
+        deliver(landing, f"{hour}.csv", rows, age=100 - hour)
+    return str(landing)
+
+
+@pytest.fixture
+def paths(tmp_path):
+    return {"out": str(tmp_path / "out"), "checkpoint": str(tmp_path / "checkpoint")}
+
+
+def run(results, paths, *also, **options):
+    options = {"until_caught_up": True, "state_partitions": 2, **options}
+    query = start_table(results, paths["out"], paths["checkpoint"], *also, **options)
+    wait_for_all([query])
+    return query
+
+
+def batch_counts(spark, landing, **options):
+    return window_counts(enrich(read_feed(spark, landing)), **options)
+
+
+def closed(counts, last: str):
+    return counts.where(F.col("window_end") <= F.lit(last).cast("timestamp"))
+
+
+# The last event is at 03:59, so the watermark ends at 03:29.
+MARK = "1970-01-01 03:29:00"
+
+
+@pytest.mark.parametrize("max_files", [None, 1])
+def test_changelog_holds_the_batch_result(spark, day, paths, max_files):
+    run(stream_counts(spark, day, max_files=max_files), paths, mode="changelog")
+    assert as_set(read_changelog(spark, paths["out"])) == as_set(batch_counts(spark, day))
+
+
+@pytest.mark.parametrize("max_files", [None, 1, 3])
+def test_final_holds_closed_windows(spark, day, paths, max_files):
+    run(stream_counts(spark, day, max_files=max_files), paths)
+    wanted = as_set(closed(batch_counts(spark, day), MARK))
+    assert as_set(read_final(spark, paths["out"])) == wanted
+    assert len(wanted) > 20
+
+
+def test_sliding_final(spark, day, paths):
+    sliding = {"length": "30 minutes", "slide": "10 minutes"}
+    run(stream_counts(spark, day, max_files=2, **sliding), paths)
+    wanted = as_set(closed(batch_counts(spark, day, **sliding), MARK))
+    assert as_set(read_final(spark, paths["out"])) == wanted
+
+
+def test_a_shorter_delay_closes_more(spark, day, paths):
+    run(stream_counts(spark, day, delay="5 minutes"), paths)
+    wanted = as_set(closed(batch_counts(spark, day), "1970-01-01 03:54:00"))
+    assert as_set(read_final(spark, paths["out"])) == wanted
+
+
+def test_changed_keys_are_latest_per_key(spark, tmp_path, deliver, paths):
+    """The same window grows in three batches."""
+    for i in range(3):
+        deliver(tmp_path / "in", f"{i}.csv", [event(i * MINUTE)] * (i + 1), age=10 - i)
+    run(stream_counts(spark, str(tmp_path / "in"), max_files=1), paths, mode="changelog")
+    versions = spark.read.parquet(paths["out"])
+    assert sorted(row["count"] for row in versions.collect()) == [1, 3, 6]
+    assert [row["count"] for row in read_changelog(spark, paths["out"]).collect()] == [6]
+
+
+def test_restart_reads_nothing_twice(spark, tmp_path, deliver, paths):
+    landing = str(tmp_path / "in")
+    deliver(landing, "a.csv", [event(0), event(5 * HOUR)], age=10)
+    seen = []
+    recorded = callback(lambda frame, batch: seen.append(batch))
+    first = run(stream_counts(spark, landing), paths, recorded, mode="changelog")
+    deliver(landing, "b.csv", [event(5 * HOUR + 1)], age=5)
+    second = run(stream_counts(spark, landing), paths, recorded, mode="changelog")
+    calls = list(seen)
+    third = run(stream_counts(spark, landing), paths, recorded, mode="changelog")
+    assert seen == calls and len(calls) == 2
+    assert first.id == second.id == third.id
+    rows = [sum(p.numInputRows for p in q.recentProgress) for q in (first, second, third)]
+    assert rows == [2, 1, 0]
+    assert {row["count"] for row in read_changelog(spark, paths["out"]).collect()} == {1, 2}
+
+
+def test_late_events(spark, tmp_path, deliver, paths):
+    """A batch drops what the watermark of the batch before it has passed."""
+    landing = str(tmp_path / "in")
+    for age, (name, at) in zip((9, 8, 7), (("a", 5 * HOUR), ("b", 0), ("c", 0))):
+        deliver(landing, f"{name}.csv", [event(at)], age=age)
+    recorder = LateRecorder()
+    spark.streams.addListener(recorder)
+    try:
+        query = run(stream_counts(spark, landing, max_files=1), paths, mode="changelog")
+        report = late_report(spark, [query])
+        deadline = time.time() + 20
+        while recorder.report(spark).count() < report.count() and time.time() < deadline:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(recorder)
+    rows = sorted(
+        (r["batch_id"], r["input_rows"], str(r["watermark"]), r["late_groups_dropped"])
+        for r in report.collect()
+    )
+    assert rows[:3] == [
+        (0, 1, "1970-01-01 00:00:00", 0),
+        (1, 1, "1970-01-01 04:30:00", 0),
+        (2, 1, "1970-01-01 04:30:00", 1),
+    ]
+    assert as_set(recorder.report(spark)) == as_set(report)
+    assert {r["query_id"] for r in report.collect()} == {query.id}
+    counts = {str(r["window_start"]): r["count"] for r in read_changelog(spark, paths["out"]).collect()}
+    assert counts == {"1970-01-01 05:00:00": 1, "1970-01-01 00:00:00": 1}
+
+
+def test_late_events_leave_closed_windows_alone(spark, tmp_path, deliver, paths):
+    landing = str(tmp_path / "in")
+    deliver(landing, "a.csv", [event(0), event(45 * MINUTE)], age=10)
+    run(stream_counts(spark, landing), paths)
+    before = as_set(read_final(spark, paths["out"]))
+    assert before == {("1970-01-01 00:00:00", "1970-01-01 00:15:00", "A", "[0-2)", 1)}
+    # One millisecond before the window's end is too late, one minute after is not.
+    deliver(landing, "b.csv", [event(15 * MINUTE - 1), event(16 * MINUTE)], age=5)
+    run(stream_counts(spark, landing), paths)
+    assert as_set(read_final(spark, paths["out"])) == before
+    deliver(landing, "c.csv", [event(10 * HOUR)], age=1)
+    run(stream_counts(spark, landing), paths)
+    assert as_set(read_final(spark, paths["out"])) - before == {
+        ("1970-01-01 00:15:00", "1970-01-01 00:30:00", "A", "[0-2)", 1),
+        ("1970-01-01 00:45:00", "1970-01-01 01:00:00", "A", "[0-2)", 1),
+    }
+
+
+def test_bad_rows_do_not_stop_the_stream(spark, tmp_path, deliver, paths):
+    landing = str(tmp_path / "in")
+    rows = [
+        {"id": "1", "time": "99999999999999999999", "mag": "n/a"},
+        {"id": "2", "time": "12:30", "mag": "NaN"},
+        {"id": "3"},
+        {"id": "4", "time": "0", "mag": "n/a", "place": "x,"},
+    ]
+    deliver(landing, "a.csv", rows)
+    run(stream_counts(spark, landing), paths, mode="changelog")
+    assert as_set(read_changelog(spark, paths["out"])) == {
+        ("1970-01-01 00:00:00", "1970-01-01 00:15:00", "Unknown", "unknown", 1)
+    }
+
+
+def test_swapped_header_stops_the_stream(spark, tmp_path, paths):
+    os.makedirs(tmp_path / "in")
+    (tmp_path / "in" / "a.csv").write_text(
+        "time,id,latitude,longitude,depth,mag,magType,place,type\n0,1,,,,,,,\n"
+    )
+    with pytest.raises(StreamingQueryException, match="header"):
+        run(stream_counts(spark, str(tmp_path / "in")), paths)
+
+
+def test_top_regions_of_closed_windows(spark, day, tmp_path, paths):
+    top = str(tmp_path / "top")
+    run(stream_counts(spark, day, max_files=1), paths, top_table(top, 2))
+    schema = top_groups(batch_counts(spark, day), 2).schema
+    wanted = as_set(top_groups(closed(batch_counts(spark, day), MARK), 2))
+    assert as_set(read_final(spark, top, schema)) == wanted
+    chained = {"out": f"{tmp_path}/out2", "checkpoint": f"{tmp_path}/checkpoint2"}
+    run(top_groups_chained(stream_events(spark, day, max_files=1), 2), chained)
+    assert as_set(read_final(spark, chained["out"], schema)) == wanted
+
+
+def test_a_repeated_batch_replaces_itself(spark, feed, tmp_path):
+    counts = window_counts(enrich(feed(event(0), event(HOUR))))
+    versioned, appended = str(tmp_path / "versioned"), str(tmp_path / "appended")
+    process = each_batch(versioned_table(versioned), append_table(appended))
+    for batch in (0, 1, 1):
+        process(counts.where(f"hour(window_start) = {batch}"), batch)
+    assert read_final(spark, versioned).count() == 2
+    assert as_set(read_changelog(spark, versioned)) == as_set(counts)
+    assert read_final(spark, appended).count() == 3
+
+
+def test_empty_batches_write_nothing(spark, feed, tmp_path):
+    seen = []
+    counts = window_counts(enrich(feed({"time": "?"})))
+    process = each_batch(
+        versioned_table(str(tmp_path / "out")), callback(lambda frame, batch: seen.append(batch))
+    )
+    process(counts, 0)
+    assert not seen and not os.path.exists(tmp_path / "out")
+
+
+def test_a_failing_writer_frees_the_batch(spark, feed):
+    counts = window_counts(enrich(feed(event(0))))
+
+    def fail(frame, batch):
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError):
+        each_batch(callback(fail))(counts, 0)
+    assert not counts.is_cached
+
+
+@pytest.mark.parametrize(
+    "partition_by", [("region",), ("window_start",), ("window_day",), ("window_day", "region")]
+)
+@pytest.mark.parametrize("table", ["versioned", "append"])
+def test_partitioned_tables(spark, tmp_path, deliver, paths, partition_by, table):
+    landing = str(tmp_path / "in")
+    regions = ("007", "A/B", "true", "1970-01-01", "Ō=x")
+    rows = [event(h * HOUR, r) for h in range(30) for r in regions]
+    deliver(landing, "a.csv", rows + [event(100 * HOUR)])
+    run(stream_counts(spark, landing), paths, partition_by=partition_by, table=table)
+    wanted = as_set(closed(batch_counts(spark, landing), "1970-01-05 00:00:00"))
+    back = read_final(spark, paths["out"])
+    assert back.schema == RESULT_SCHEMA
+    assert as_set(back) == wanted
+    assert back.where(F.col("region") == "007").count() == 30
+    if table == "versioned":
+        assert as_set(read_changelog(spark, paths["out"])) == wanted
+
+
+def test_a_hot_folder_is_written_by_many_tasks(spark, tmp_path):
+    rows = 8000
+    counts = spark.range(rows).select(
+        F.timestamp_seconds(F.col("id") * 900).alias("window_start"),
+        F.timestamp_seconds(F.col("id") * 900 + 900).alias("window_end"),
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(
+            F.concat(F.lit("r"), (F.col("id") % 7).cast("string"))
+        ).alias("region"),
+        F.lit("6+").alias("magnitude_band"),
+        F.lit(1).cast("bigint").alias("count"),
+    )
+    out = str(tmp_path)
+    write_parquet(counts, out, rows, ("region",), rows_per_file=1000)
+    files = glob.glob(f"{out}/*/*.parquet")
+    hot = [name for name in files if "region=hot" in name]
+    assert len(hot) >= 5
+    assert len(files) <= 8 + 8
+    assert as_set(read_final(spark, out)) == as_set(counts)
+
+
+def test_files_grow_with_the_rows(spark, feed, tmp_path):
+    counts = window_counts(enrich(feed(*[event(i * HOUR) for i in range(50)]))).repartition(8)
+    write_parquet(counts, str(tmp_path / "one"), 50)
+    assert len(glob.glob(f"{tmp_path}/one/*.parquet")) == 1
+    write_parquet(counts, str(tmp_path / "many"), 50, rows_per_file=10)
+    assert len(glob.glob(f"{tmp_path}/many/*.parquet")) == 5
+    write_parquet(counts.repartition(1), str(tmp_path / "cut"), 50, rows_per_file=10)
+    assert len(glob.glob(f"{tmp_path}/cut/*.parquet")) == 3
+
+
+def test_another_checkpoint_may_not_mix_into_a_table(spark, day, paths, tmp_path):
+    run(stream_counts(spark, day), paths)
+    with pytest.raises(ValueError, match="another run"):
+        start_table(stream_counts(spark, day), paths["out"], str(tmp_path / "new"))
+    run(stream_counts(spark, day), paths)
+
+
+def test_nothing_arrived(spark, tmp_path, paths):
+    os.makedirs(tmp_path / "in")
+    run(stream_counts(spark, str(tmp_path / "in")), paths)
+    assert read_final(spark, paths["out"]).count() == 0
+
+
+def test_console_prints_some_rows(spark, day, paths):
+    out = io.StringIO()
+    results = stream_counts(spark, day, max_files=2)
+    wait_for_all([start_console(results, rows_shown=3, out=out, until_caught_up=True)])
+    text = out.getvalue()
+    assert "Batch 0: " in text and "Batch 1: " in text
+    assert "window_start" in text and "only the first 3 rows are shown" in text
+
+
+def test_console_needs_no_rows_of_the_rest(spark, feed, capsys):
+    counts = window_counts(enrich(feed(event(0))))
+    console()(counts, 4, 1)
+    assert capsys.readouterr().out.startswith("Batch 4: 1 rows\n")
+
+
+def test_standard_job(spark, day, paths, tmp_path):
+    out = io.StringIO()
+    queries = build_stream(
+        spark,
+        day,
+        paths["out"],
+        paths["checkpoint"],
+        console_checkpoint=str(tmp_path / "console"),
+        console_out=out,
+        until_caught_up=True,
+        state_partitions=3,
+        max_files=2,
+    )
+    assert len(queries) == 2 and queries[0].id != queries[1].id
+    wait_for_all(queries)
+    assert not any(query.isActive for query in queries)
+    assert "Batch 0: " in out.getvalue()
+    assert as_set(read_final(spark, paths["out"])) == as_set(closed(batch_counts(spark, day), MARK))
+    for query in queries:
+        states = query.lastProgress.stateOperators
+        assert [state.numShufflePartitions for state in states] == [3]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_standard_job_appending_changes(spark, day, paths):
+    queries = build_stream(
+        spark,
+        day,
+        paths["out"],
+        paths["checkpoint"],
+        table="append",
+        mode="changelog",
+        console_out=io.StringIO(),
+        until_caught_up=True,
+    )
+    wait_for_all(queries)
+    assert as_set(read_final(spark, paths["out"])) == as_set(batch_counts(spark, day))
+
+
+def test_unknown_table_leaves_no_query_running(spark, day, paths):
+    with pytest.raises(KeyError):
+        build_stream(spark, day, paths["out"], paths["checkpoint"], table="none")
+    assert not spark.streams.active
+
+
+def test_failure_of_any_query_is_raised_and_stops_the_others(spark, day, paths):
+    def fail(frame, batch):
+        raise RuntimeError("writer broke")
+
+    endless = start_table(stream_counts(spark, day), paths["out"], paths["checkpoint"])
+    broken = start(stream_counts(spark, day), callback(fail))
+    with pytest.raises(StreamingQueryException, match="writer broke"):
+        wait_for_all([endless, broken], poll_seconds=0.1)
+    assert not endless.isActive
+
+
+def test_interrupt_stops_all(spark, day, paths, monkeypatch):
+    query = start_table(stream_counts(spark, day), paths["out"], paths["checkpoint"])
+
+    def interrupted(timeout=None):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(query, "awaitTermination", interrupted)
+    wait_for_all([query])
+    assert not query.isActive
+
+
+def test_source_limits(spark, day, paths):
+    query = run(stream_counts(spark, day, max_bytes=1), paths)
+    assert sum(p.numInputRows > 0 for p in query.recentProgress) == 4
+    assert stream_feed(spark, day).isStreaming
+
+
+def test_each_output_sees_one_scan(spark, day, paths, tmp_path):
+    """Three writers on one query read every file once."""
+    query = run(
+        stream_counts(spark, day),
+        paths,
+        append_table(str(tmp_path / "copy")),
+        top_table(str(tmp_path / "top"), 1),
+    )
+    files = glob.glob(f"{day}/*.csv")
+    lines = sum(len(open(name).readlines()) - 1 for name in files)
+    assert sum(p.numInputRows for p in query.recentProgress) == lines
+    assert as_set(read_final(spark, str(tmp_path / "copy"))) == as_set(
+        read_final(spark, paths["out"])
+    )

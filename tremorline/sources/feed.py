@@ -33,7 +33,7 @@ def stream_feed(
     spark: SparkSession,
     landing: str,
     max_files: int | None = None,
-    max_bytes: str | None = None,
+    max_bytes: int | None = None,
     check_header: bool = True,
 ) -> DataFrame:
     """Feed files arriving in the folder (or glob) ``landing``, as a stream.

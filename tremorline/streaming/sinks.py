@@ -121,7 +121,7 @@ def write_parquet(
     rows_per_file: int = ROWS_PER_FILE,
     mode: str = "overwrite",
 ) -> None:
-    """Write about ``rows`` rows in files of up to ``rows_per_file``.
+    """Write ``rows`` rows in files of about ``rows_per_file``, at most twice that.
 
     ``partition_by`` may name any column, or ``window_day``, the date of
     ``window_start``, which makes fewer folders than ``window_start`` itself.
@@ -137,7 +137,7 @@ def write_parquet(
         results = results.repartitionByRange(files, *partition_by, *rest)
     else:
         results = results.coalesce(files)
-    writer = results.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
+    writer = results.write.mode(mode).option("maxRecordsPerFile", 2 * rows_per_file)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
