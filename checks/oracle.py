@@ -156,6 +156,23 @@ counted AS (
 )"""
 )
 
+
+def _grid(where: str) -> str:
+    return f"""
+SELECT
+  window_start,
+  window_end,
+  floor(CAST(latitude AS DOUBLE) / 5) * 5 AS lat_cell,
+  floor(CAST(longitude AS DOUBLE) / 5) * 5 AS lon_cell,
+  magnitude_band,
+  count(*) AS count
+FROM placed
+{where}
+GROUP BY 1, 2, 3, 4, 5"""
+
+
+_CLOSED_GRID = _grid("WHERE window_end <= (SELECT mark FROM watermark)")
+
 _ROUNDTRIP = """
 SELECT id, time, latitude, longitude, depth, nullif(mag, '') AS mag, magType, place, type
 FROM feed"""
@@ -174,16 +191,7 @@ SELECT
   count(*) AS count
 FROM feed
 GROUP BY 1, 2""",
-    "grid_window_counts": f"""WITH {_TUMBLING}
-SELECT
-  window_start,
-  window_end,
-  floor(CAST(latitude AS DOUBLE) / 5) * 5 AS lat_cell,
-  floor(CAST(longitude AS DOUBLE) / 5) * 5 AS lon_cell,
-  magnitude_band,
-  count(*) AS count
-FROM placed
-GROUP BY 1, 2, 3, 4, 5""",
+    "grid_window_counts": f"WITH {_TUMBLING} {_grid('')}",
     "topn_batch": f"WITH {_TUMBLING} {_top('')}",
     "recent_days": f"""WITH {_ENRICHED}
 SELECT id, time, place FROM enriched WHERE event_ts >= TIMESTAMP '2024-01-24 00:00:00'""",
@@ -192,6 +200,7 @@ SELECT id, time, place FROM enriched WHERE event_ts >= TIMESTAMP '2024-01-24 00:
     "stream_final": f"WITH {_TUMBLING} {_CLOSED_COUNTS}",
     "stream_changelog": f"WITH {_TUMBLING} {_COUNTS}",
     "stream_sliding_final": f"WITH {_SLIDING} {_CLOSED_COUNTS}",
+    "stream_grid_final": f"WITH {_TUMBLING} {_CLOSED_GRID}",
     "partitioned_readback": f"WITH {_TUMBLING} {_CLOSED_COUNTS}",
     "topn_regions": f"WITH {_TUMBLING} {_CLOSED_TOP}",
     "topn_regions_chained": f"WITH {_TUMBLING} {_CLOSED_TOP}",

@@ -307,6 +307,9 @@ def test_another_checkpoint_may_not_mix_into_a_table(spark, day, paths, tmp_path
     with pytest.raises(ValueError, match="another run"):
         start_table(stream_counts(spark, day), paths["out"], str(tmp_path / "new"))
     run(stream_counts(spark, day), paths)
+    kept = {"out": str(tmp_path / "fresh"), "checkpoint": str(tmp_path / "new")}
+    with pytest.raises(ValueError, match="another run"):
+        run(stream_counts(spark, day), kept, top_table(paths["out"], 1))
 
 
 def test_nothing_arrived(spark, tmp_path, paths):
@@ -397,6 +400,16 @@ def test_interrupt_stops_all(spark, day, paths, monkeypatch):
     assert not query.isActive
 
 
+def test_batches_at_intervals(spark, day, paths):
+    query = start_table(
+        stream_counts(spark, day), paths["out"], paths["checkpoint"], every="1 second"
+    )
+    query.processAllAvailable()
+    query.stop()
+    wait_for_all([query])
+    assert read_final(spark, paths["out"]).count() > 20
+
+
 def test_source_limits(spark, day, paths):
     query = run(stream_counts(spark, day, max_bytes=1), paths)
     assert sum(p.numInputRows > 0 for p in query.recentProgress) == 4

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,8 +78,9 @@ def _age_by_position(spark: SparkSession, out: str) -> int:
             files.append((int(part[1]), int(part[2]), entry.path))
     files.sort()
     first = int(time.time() * 1000) - len(files)
-    for position, (_, _, path) in enumerate(files):
-        set_modified(spark, path, first + position)
+    with ThreadPoolExecutor(max_workers=16) as calls:
+        ages = enumerate(path for _, _, path in files)
+        list(calls.map(lambda age: set_modified(spark, age[1], first + age[0]), ages))
     kept = {entry.path: entry.modified_ms for entry in list_dir(spark, out)}
     if any(kept[path] != first + position for position, (_, _, path) in enumerate(files)):
         raise OSError(f"the file system of {out} does not keep modification times")

@@ -145,9 +145,17 @@ def stream_sliding_final(spark: SparkSession, data_dir: str) -> DataFrame:
     return _final(spark, data_dir, "sliding", **SLIDING)
 
 
+def stream_grid_final(spark: SparkSession, data_dir: str) -> DataFrame:
+    """By coordinate cell in place of region."""
+    base, source = _replay(use_utc(spark), data_dir, "grid")
+    cells = window_counts(with_grid(stream_events(spark, **source)), (*GRID, "magnitude_band"))
+    _run(cells, base)
+    return read_final(spark, f"{base}/out", cells.schema)
+
+
 def partitioned_readback(spark: SparkSession, data_dir: str) -> DataFrame:
     base, source = _replay(use_utc(spark), data_dir, "partitioned")
-    _run(stream_counts(spark, **source), base, partition_by=("window_day", "region"))
+    _run(stream_counts(spark, **source), base, partition_by=("region",))
     return read_final(spark, f"{base}/out")
 
 
@@ -279,6 +287,7 @@ QUERIES = {
     "stream_final": stream_final,
     "stream_changelog": stream_changelog,
     "stream_sliding_final": stream_sliding_final,
+    "stream_grid_final": stream_grid_final,
     "partitioned_readback": partitioned_readback,
     "topn_regions": topn_regions,
     "topn_regions_chained": topn_regions_chained,

@@ -45,6 +45,7 @@ def start(
     mode: str = "final",
     checkpoint: str | None = None,
     until_caught_up: bool = False,
+    every: str | None = None,
     state_partitions: int | None = None,
     name: str | None = None,
 ) -> StreamingQuery:
@@ -52,10 +53,13 @@ def start(
 
     With the same ``checkpoint`` a later start goes on where this one ended; a
     new one starts afresh. ``until_caught_up`` ends the query when the files
-    that were there at the start are read. ``state_partitions`` is the number
-    of shuffle partitions; it is fixed by a checkpoint's first start.
+    that were there at the start are read. Otherwise batches follow each other
+    without pause, or start ``every`` so often ("1 minute"), which keeps the
+    number of output files down. ``state_partitions`` is the number of shuffle
+    partitions; it is fixed by a checkpoint's first start.
     """
     spark = results.sparkSession
+    sinks.refuse_foreign_batches(spark, writers, checkpoint)
     writer = results.writeStream.outputMode(MODES[mode]).foreachBatch(sinks.each_batch(*writers))
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
@@ -63,6 +67,8 @@ def start(
         writer = writer.queryName(name)
     if until_caught_up:
         writer = writer.trigger(availableNow=True)
+    elif every:
+        writer = writer.trigger(processingTime=every)
     with _shuffle_partitions(spark, state_partitions):
         return writer.start()
 
@@ -81,11 +87,8 @@ def start_table(
     ``also`` are further writers fed from the same batches; ``options`` as in
     ``start``.
     """
-    spark = results.sparkSession
-    if table == "versioned":
-        sinks.refuse_foreign_output(spark, out, checkpoint)
-    make_dir(spark, out)
     writer = TABLES[table](out, partition_by)
+    make_dir(results.sparkSession, out)
     return start(results, writer, *also, checkpoint=checkpoint, **options)
 
 
@@ -107,6 +110,7 @@ def build_stream(
     partition_by: Sequence[str] = (),
     console_out: TextIO | None = None,
     until_caught_up: bool = False,
+    every: str | None = None,
     state_partitions: int | None = None,
     **counts,
 ) -> list[StreamingQuery]:
@@ -118,7 +122,11 @@ def build_stream(
     ``counts`` as in ``stream_counts``.
     """
     results = stream_counts(spark, landing, **counts)
-    common = {"until_caught_up": until_caught_up, "state_partitions": state_partitions}
+    common = {
+        "until_caught_up": until_caught_up,
+        "every": every,
+        "state_partitions": state_partitions,
+    }
     console = start_console(results, out=console_out, checkpoint=console_checkpoint, **common)
     try:
         parquet = start_table(

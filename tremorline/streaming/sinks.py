@@ -8,7 +8,7 @@ so several outputs cost one scan and one aggregation.
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +97,7 @@ def versioned_table(
         folder = f"{out}/{_BATCH}={batch_id}"
         write_parquet(batch_df, folder, rows, partition_by, rows_per_file, mode="overwrite")
 
+    write.versioned_out = out
     return write
 
 
@@ -110,6 +111,7 @@ def top_table(out: str, n: int, key: str = "region", rows_per_file: int = ROWS_P
     def write(batch_df: DataFrame, batch_id: int, rows: int) -> None:
         table(top_groups(batch_df, n, key), batch_id, rows)
 
+    write.versioned_out = out
     return write
 
 
@@ -167,16 +169,22 @@ def read_changelog(
     return versions.groupBy(*keys).agg(F.max_by(value, _BATCH).alias(value))
 
 
-def refuse_foreign_output(spark: SparkSession, out: str, checkpoint: str) -> None:
-    """Fail if ``out`` holds batches of another run than ``checkpoint``'s.
+def refuse_foreign_batches(
+    spark: SparkSession, writers: Iterable[Writer], checkpoint: str | None
+) -> None:
+    """Fail if a versioned table holds batches of another run than ``checkpoint``'s.
 
     A new checkpoint counts its batches from 0 again and would replace them
     one by one, leaving a mixture.
     """
-    if exists(spark, f"{checkpoint}/metadata"):
+    if checkpoint and exists(spark, f"{checkpoint}/metadata"):
         return
-    if any(entry.name.startswith(f"{_BATCH}=") for entry in list_dir(spark, out)):
-        raise ValueError(f"{out} holds batches of another run; use its checkpoint or a new folder")
+    for writer in writers:
+        out = getattr(writer, "versioned_out", None)
+        if out and any(entry.name.startswith(f"{_BATCH}=") for entry in list_dir(spark, out)):
+            raise ValueError(
+                f"{out} holds batches of another run; use its checkpoint or a new folder"
+            )
 
 
 def _with_batch(schema: StructType) -> StructType:
