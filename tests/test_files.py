@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tremorline.functions import event_time
-from tremorline.plans import prepare_microfiles, prepare_replay
+from tremorline.plans import prepare, prepare_microfiles, prepare_replay
 from tremorline.schema import FEED_COLUMNS, FEED_SCHEMA
 from tremorline.sources import feed_columns, read_feed, read_raw, write_microfiles
 from tremorline.storage import scratch_dir
@@ -152,6 +152,25 @@ def test_replay_cuts_through_a_hot_time(spark, tmp_path, hot):
     assert len(sizes) == 8 and max(sizes) < 2 * 20_000 / 8
 
 
+def test_replay_stores_a_shuffled_feed_first(spark, feed, tmp_path, monkeypatch):
+    """Row numbers after a shuffle could change when a task is repeated."""
+    stored = []
+
+    def recorded(session, label):
+        stored.append(label)
+        return scratch_dir(session, label)
+
+    monkeypatch.setattr(prepare, "scratch_dir", recorded)
+    rows = feed(*[{"id": str(i), "time": "0"} for i in range(50)])
+    write_microfiles(rows, str(tmp_path / "in"))
+    read = read_feed(spark, str(tmp_path / "in"))
+    prepare_replay(read, str(tmp_path / "a"))
+    assert not stored
+    prepare_replay(read.repartition(3), str(tmp_path / "b"))
+    assert stored == ["feed"]
+    assert _rows(read_feed(spark, str(tmp_path / "b")).select("id")) == _rows(read.select("id"))
+
+
 def test_scratch_lies_in_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     one, two = scratch_dir(spark, "x"), scratch_dir(spark, "x")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tremorline.operators import enrich, top_groups, top_groups_chained, window_counts
 from tremorline.schema import RESULT_SCHEMA
+from tremorline.session import ROCKSDB_STATE
 from tremorline.sources import read_feed, stream_feed
 from tremorline.streaming import (
     LateRecorder,
@@ -410,6 +411,18 @@ def test_batches_at_intervals(spark, day, paths):
     assert read_final(spark, paths["out"]).count() > 20
 
 
+def test_state_in_rocksdb(spark, day, paths):
+    before = {key: spark.conf.get(key, None) for key in ROCKSDB_STATE}
+    for key, value in ROCKSDB_STATE.items():
+        spark.conf.set(key, value)
+    try:
+        run(stream_counts(spark, day, max_files=2), paths)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert as_set(read_final(spark, paths["out"])) == as_set(closed(batch_counts(spark, day), MARK))
+
+
 def test_source_limits(spark, day, paths):
     query = run(stream_counts(spark, day, max_bytes=1), paths)
     assert sum(p.numInputRows > 0 for p in query.recentProgress) == 4

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import event_time
 from ..operators import keep_recent
 from ..sources import MAX_RECORDS, feed_columns, read_raw, write_microfiles
-from ..storage import list_dir, set_modified
+from ..storage import list_dir, scratch_dir, set_modified
 
 _PART_FILE = re.compile(r"^part-(\d+)-.*-c(\d+)[.]csv([.]\w+)?$")
 
@@ -50,10 +50,14 @@ def prepare_replay(
     cut through a time that very many rows share, or through the rows without
     one. ``partitions`` fixes the number of ranges; otherwise it is Spark's
     shuffle setting, and adaptive execution merges small neighbours.
+
+    The row numbers must come out the same when a lost task is repeated. Rows
+    read straight from files have a fixed order; after a shuffle they have
+    none, so such a feed is first written to the shared folder.
     """
     spark = feed.sparkSession
     order = ("_event_ts", "_tie")
-    keyed = feed_columns(feed).withColumns(
+    keyed = _in_fixed_order(feed_columns(feed)).withColumns(
         {"_event_ts": event_time(F.col("time")), "_tie": F.monotonically_increasing_id()}
     )
     ranges = (
@@ -65,6 +69,14 @@ def prepare_replay(
     return _age_by_position(spark, out)
 
 
+def _in_fixed_order(feed: DataFrame) -> DataFrame:
+    if "Exchange" not in feed._jdf.queryExecution().executedPlan().toString():
+        return feed
+    stored = f"{scratch_dir(feed.sparkSession, 'feed')}/rows"
+    feed.write.parquet(stored)
+    return feed.sparkSession.read.parquet(stored)
+
+
 def _age_by_position(spark: SparkSession, out: str) -> int:
     """Set modification times in the order of task and file number.
 
