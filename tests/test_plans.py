@@ -98,4 +98,5 @@ def test_filters_reach_the_stored_results(spark, feed, tmp_path, plan):
         text = plan(frame)
         assert "PartitionFilters: [isnotnull(region" in text
         assert "GreaterThanOrEqual(window_start" in text
+    assert "SortAggregate" not in plan(read_changelog(spark, out))
     assert "count" not in _read_columns(plan(read_final(spark, out).select("window_start")))

@@ -112,11 +112,13 @@ def test_a_shorter_delay_closes_more(spark, day, paths):
     assert as_set(read_final(spark, paths["out"])) == wanted
 
 
-def test_changed_keys_are_latest_per_key(spark, tmp_path, deliver, paths):
+@pytest.mark.parametrize("table", ["versioned", "append"])
+def test_changed_keys_are_latest_per_key(spark, tmp_path, deliver, paths, table):
     """The same window grows in three batches."""
     for i in range(3):
         deliver(tmp_path / "in", f"{i}.csv", [event(i * MINUTE)] * (i + 1), age=10 - i)
-    run(stream_counts(spark, str(tmp_path / "in"), max_files=1), paths, mode="changelog")
+    counts = stream_counts(spark, str(tmp_path / "in"), max_files=1)
+    run(counts, paths, mode="changelog", table=table)
     versions = spark.read.parquet(paths["out"])
     assert sorted(row["count"] for row in versions.collect()) == [1, 3, 6]
     assert [row["count"] for row in read_changelog(spark, paths["out"]).collect()] == [6]
@@ -163,7 +165,8 @@ def test_late_events(spark, tmp_path, deliver, paths):
         (1, 1, "1970-01-01 04:30:00", 0),
         (2, 1, "1970-01-01 04:30:00", 1),
     ]
-    assert as_set(recorder.report(spark)) == as_set(report)
+    assert as_set(recorder.report(spark, forget=True)) == as_set(report)
+    assert recorder.report(spark).count() == 0
     assert {r["query_id"] for r in report.collect()} == {query.id}
     counts = {str(r["window_start"]): r["count"] for r in read_changelog(spark, paths["out"]).collect()}
     assert counts == {"1970-01-01 05:00:00": 1, "1970-01-01 00:00:00": 1}
@@ -233,6 +236,35 @@ def test_a_repeated_batch_replaces_itself(spark, feed, tmp_path):
     assert read_final(spark, appended).count() == 3
 
 
+@pytest.mark.parametrize("mode", ["final", "changelog"])
+def test_a_crash_after_the_write_is_made_good(spark, day, tmp_path, paths, mode):
+    """The batch is in the table but not in the checkpoint when the query dies."""
+    crashes = []
+
+    def crash(frame, batch):
+        if batch == 1 and not crashes:
+            crashes.append(batch)
+            raise RuntimeError("lost")
+
+    appended = str(tmp_path / "appended")
+    for attempt in range(2):
+        results = stream_counts(spark, day, max_files=1)
+        writers = (append_table(appended), callback(crash))
+        try:
+            run(results, paths, *writers, mode=mode)
+        except StreamingQueryException:
+            assert attempt == 0
+    assert crashes == [1]
+    if mode == "final":
+        wanted = as_set(closed(batch_counts(spark, day), MARK))
+        assert as_set(read_final(spark, paths["out"])) == wanted
+        assert read_final(spark, appended).count() > len(wanted)
+    else:
+        wanted = as_set(batch_counts(spark, day))
+        assert as_set(read_changelog(spark, paths["out"])) == wanted
+        assert as_set(read_changelog(spark, appended)) == wanted
+
+
 def test_empty_batches_write_nothing(spark, feed, tmp_path):
     seen = []
     counts = window_counts(enrich(feed({"time": "?"})))

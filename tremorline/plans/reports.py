@@ -230,7 +230,7 @@ def _replay(spark: SparkSession, data_dir: str, label: str) -> tuple[str, dict]:
     feed = feed_from_events(spark, data_dir)
     rows_per_file = -(-feed.count() // (2 * BATCHES))
     files = prepare_replay(feed, f"{base}/all", max(rows_per_file, 1))
-    return base, {"landing": f"{base}/all", "max_files": -(-files // BATCHES)}
+    return base, {"landing": f"{base}/all", "max_files": max(-(-files // BATCHES), 1)}
 
 
 def _run(results: DataFrame, base: str, *also, **options):
@@ -264,8 +264,14 @@ def _late_runs(spark: SparkSession, data_dir: str):
     return base, queries
 
 
-def _state_partitions(spark: SparkSession) -> int:
-    """No more than there are cores: what is left after the map-side count is small."""
+def _state_partitions(spark: SparkSession) -> int | None:
+    """The session's shuffle partitions; on one machine no more than its cores.
+
+    A cluster's number of cores is no guide: it may not have started them yet,
+    and a checkpoint keeps the number it began with.
+    """
+    if not spark.sparkContext.master.startswith("local"):
+        return None
     return min(
         int(spark.conf.get("spark.sql.shuffle.partitions")),
         spark.sparkContext.defaultParallelism,

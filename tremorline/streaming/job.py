@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import DELAY, RESULT_KEYS, WINDOW, enrich, window_counts
 from ..sources import stream_feed
-from ..storage import make_dir
+from ..storage import make_dir, scratch_dir
 from . import sinks
 
 # Output modes by what the reader gets: each window once, after it has closed,
@@ -52,17 +52,21 @@ def start(
     """Start one query that gives each batch of ``results`` to all ``writers``.
 
     With the same ``checkpoint`` a later start goes on where this one ended; a
-    new one starts afresh. ``until_caught_up`` ends the query when the files
+    new one, or none, starts afresh. ``until_caught_up`` ends the query when the files
     that were there at the start are read. Otherwise batches follow each other
     without pause, or start ``every`` so often ("1 minute"), which keeps the
     number of output files down. ``state_partitions`` is the number of shuffle
     partitions; it is fixed by a checkpoint's first start.
     """
     spark = results.sparkSession
+    # Spark's own choice, a temporary folder, may lie on one machine.
+    checkpoint = checkpoint or scratch_dir(spark, "checkpoint")
     sinks.refuse_foreign_batches(spark, writers, checkpoint)
-    writer = results.writeStream.outputMode(MODES[mode]).foreachBatch(sinks.each_batch(*writers))
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
+    writer = (
+        results.writeStream.outputMode(MODES[mode])
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(sinks.each_batch(*writers))
+    )
     if name:
         writer = writer.queryName(name)
     if until_caught_up:

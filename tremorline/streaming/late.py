@@ -59,8 +59,12 @@ class LateRecorder(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:
         pass
 
-    def report(self, spark: SparkSession) -> DataFrame:
-        return _frame(spark, list(self._rows))
+    def report(self, spark: SparkSession, forget: bool = False) -> DataFrame:
+        """The rows so far; ``forget`` them to store a long run piece by piece."""
+        rows = self._rows
+        if forget:
+            self._rows = []
+        return _frame(spark, list(rows))
 
 
 def _row(progress) -> tuple:

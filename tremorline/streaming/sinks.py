@@ -159,25 +159,28 @@ def read_changelog(
     schema: StructType = RESULT_SCHEMA,
     value: str = "count",
 ) -> DataFrame:
-    """Latest ``value`` of each key of a versioned table written in update mode.
+    """Latest ``value`` of each key of a table written in update mode.
 
     The other columns of ``schema`` are the key. A filter on them reaches the
-    scan; add it to the result.
+    scan; add it to the result. Appended tables have no batch numbers; there
+    the largest value is taken, which is the latest as counts only grow.
     """
     versions = spark.read.schema(_with_batch(schema)).parquet(out)
     keys = [name for name in schema.fieldNames() if name != value]
-    return versions.groupBy(*keys).agg(F.max_by(value, _BATCH).alias(value))
+    return versions.groupBy(*keys).agg(
+        F.max_by(value, F.coalesce(_BATCH, value)).alias(value)
+    )
 
 
 def refuse_foreign_batches(
-    spark: SparkSession, writers: Iterable[Writer], checkpoint: str | None
+    spark: SparkSession, writers: Iterable[Writer], checkpoint: str
 ) -> None:
     """Fail if a versioned table holds batches of another run than ``checkpoint``'s.
 
     A new checkpoint counts its batches from 0 again and would replace them
     one by one, leaving a mixture.
     """
-    if checkpoint and exists(spark, f"{checkpoint}/metadata"):
+    if exists(spark, f"{checkpoint}/metadata"):
         return
     for writer in writers:
         out = getattr(writer, "versioned_out", None)
