@@ -171,6 +171,30 @@ def test_replay_stores_a_shuffled_feed_first(spark, feed, tmp_path, monkeypatch)
     assert _rows(read_feed(spark, str(tmp_path / "b")).select("id")) == _rows(read.select("id"))
 
 
+def test_replay_needs_times_that_are_kept(feed, tmp_path, monkeypatch):
+    monkeypatch.setattr(prepare, "set_modified", lambda *args: None)
+    with pytest.raises(OSError, match="modification times"):
+        prepare_replay(feed({"id": "1", "time": "0"}), str(tmp_path))
+
+
+def test_replay_of_nothing(spark, feed, tmp_path):
+    nothing = feed({"id": "1"}).where("id = '2'")
+    prepare_replay(nothing, str(tmp_path))
+    assert read_feed(spark, str(tmp_path)).count() == 0
+
+
+def test_scratch_without_a_shared_folder_is_local_only(monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(Session, "x")
+
+
 def test_scratch_lies_in_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     one, two = scratch_dir(spark, "x"), scratch_dir(spark, "x")

@@ -168,7 +168,8 @@ def test_late_events(spark, tmp_path, deliver, paths):
     assert as_set(recorder.report(spark, forget=True)) == as_set(report)
     assert recorder.report(spark).count() == 0
     assert {r["query_id"] for r in report.collect()} == {query.id}
-    counts = {str(r["window_start"]): r["count"] for r in read_changelog(spark, paths["out"]).collect()}
+    changes = read_changelog(spark, paths["out"]).collect()
+    counts = {str(r["window_start"]): r["count"] for r in changes}
     assert counts == {"1970-01-01 05:00:00": 1, "1970-01-01 00:00:00": 1}
 
 

@@ -14,6 +14,9 @@ NUMBER_TEXT = r"^[+-]?[0-9]{1,38}([.][0-9]{1,38})?([eE][+-]?0*[0-9]{1,2})?$"
 def event_time(time: Column) -> Column:
     """Timestamp for ``time``; null where the text is neither form.
 
+    ISO text without an offset is in the session's zone, which ``open_session``
+    sets to UTC.
+
     Nothing in here throws, with ANSI mode on or off: a decimal(18,3) has at
     most 15 integer digits, so the milliseconds always fit a bigint and their
     microseconds do too, and a longer number becomes null.

@@ -52,11 +52,11 @@ def start(
     """Start one query that gives each batch of ``results`` to all ``writers``.
 
     With the same ``checkpoint`` a later start goes on where this one ended; a
-    new one, or none, starts afresh. ``until_caught_up`` ends the query when the files
-    that were there at the start are read. Otherwise batches follow each other
-    without pause, or start ``every`` so often ("1 minute"), which keeps the
-    number of output files down. ``state_partitions`` is the number of shuffle
-    partitions; it is fixed by a checkpoint's first start.
+    new one, or none, starts afresh. ``until_caught_up`` ends the query when
+    the files that were there at the start are read. Otherwise batches follow
+    each other without pause, or start ``every`` so often ("1 minute"), which
+    keeps the number of output files down. ``state_partitions`` is the number
+    of shuffle partitions; it is fixed by a checkpoint's first start.
     """
     spark = results.sparkSession
     # Spark's own choice, a temporary folder, may lie on one machine.
