@@ -5,13 +5,15 @@ Only names and times pass through the driver, never file contents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from typing import NamedTuple
 
 from pyspark.sql import SparkSession
 
 
+SCRATCH_SETTING = "spark.tremorline.scratch"
+
+
 class FileEntry(NamedTuple):
     path: str
     name: str
@@ -58,14 +60,14 @@ def set_modified(spark: SparkSession, path: str, modified_ms: int) -> None:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """New folder for one run, removed when the session's JVM ends.
 
-    It lies in the shared folder named by ``spark.checkpoint.dir``. Without
-    that setting only a local session gets one, on its own disk.
+    It lies in the folder that driver and executors share: ``spark.checkpoint.dir``
+    or, where the session has none, ``SCRATCH_SETTING``. Without either it fails.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SCRATCH_SETTING, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tremorline-")
+        raise ValueError(
+            f"set spark.checkpoint.dir or {SCRATCH_SETTING} to a folder that all executors share"
+        )
     path = f"{base.rstrip('/')}/tremorline/{label}-{uuid.uuid4().hex}"
     make_dir(spark, path)
     fs, jpath = _locate(spark, path)
