@@ -172,22 +172,26 @@ def _logistic(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the curve from margin to probability (Newton steps)."""
     n1, n0 = good.sum(), (~good).sum()
     target = np.where(good, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    slope, shift = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(slope * margin + shift, -30, 30)))
-        error, w = p - target, p * (1 - p) + 1e-12
-        g = np.array([(error * margin).sum() + 1e-3 * (slope - 1), error.sum()])
-        h = np.array(
-            [
-                [(w * margin * margin).sum() + 1e-3, (w * margin).sum()],
-                [(w * margin).sum(), w.sum()],
-            ]
-        )
-        step = np.linalg.solve(h, g)
-        slope, shift = slope - step[0], shift - step[1]
+
+    def loss(at):
+        z = at[0] * margin + at[1]
+        return (np.logaddexp(0, z) - target * z).sum() + 1e-3 * (at[0] - 1) ** 2
+
+    at = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(at[0] * margin + at[1], -30, 30)))
+        error, w = p - target, p * (1 - p) + 1e-9
+        slope = np.array([(error * margin).sum() + 2e-3 * (at[0] - 1), error.sum()])
+        cross = (w * margin).sum()
+        curve = np.array([[(w * margin * margin).sum() + 2e-3, cross], [cross, w.sum()]])
+        step = np.linalg.solve(curve, slope)
+        now = loss(at)
+        while loss(at - step) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        at = at - step
         if np.abs(step).max() < 1e-8:
             break
-    return max(float(slope), 0.0), float(shift)
+    return max(float(at[0]), 0.0), float(at[1])
 
 
 def fit_quality_model(
