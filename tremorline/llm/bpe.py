@@ -37,7 +37,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 MAX_VOCABULARY_BYTES = 64 << 20
 
 # Merged pre-tokens that a worker keeps.
-KEPT_MERGES = 1 << 20
+KEPT_MERGES = 1 << 18
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 _SAME = np.arange(256, dtype=np.uint8)
@@ -50,8 +50,6 @@ _WHITE += [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 class Vocabulary(NamedTuple):
     """Entries by id, and a minimal perfect hash from entry to id."""
 
-    single: list[int]  # ids of the single bytes
-    pairs: dict[int, int]
     data: np.ndarray  # bytes of all entries, by id
     offsets: np.ndarray
     displace: np.ndarray  # per bucket: a seed, or -1 - slot
@@ -78,8 +76,7 @@ def _vocabulary(raw: bytes) -> Vocabulary:
     data = np.frombuffer(b"".join(entries), np.uint8)
     offsets = np.cumsum([0, *map(len, entries)])
     hashes = span_hashes(data, offsets[:-1], offsets[1:], _SAME)
-    single = [ranks[bytes([b])] for b in range(256)]
-    return Vocabulary(single, _pairs(ranks), data, offsets, *_perfect_hash(hashes))
+    return Vocabulary(data, offsets, *_perfect_hash(hashes))
 
 
 def _seeded(hashes: np.ndarray, seed, slots: int) -> np.ndarray:
@@ -236,6 +233,10 @@ def pre_token_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class _Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        raw, at = vocabulary.data.tobytes(), vocabulary.offsets.tolist()
+        ranks = {raw[a:b]: i for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))}
+        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.pairs = _pairs(ranks)
         self.kept: dict[int, bytes] = {}
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +268,7 @@ class _Encoder:
         kept, out = self.kept, []
         if len(kept) > KEPT_MERGES:
             kept.clear()
-        pairs, single = self.vocabulary.pairs, self.vocabulary.single
+        pairs, single = self.pairs, self.single
         raw = data.tobytes()
         for key, a, b in zip(hashes.tolist(), starts.tolist(), stops.tolist(), strict=True):
             ids = kept.get(key)

@@ -11,6 +11,8 @@ from .bpe import decode, encode, share_vocabulary
 from .chat import chat_windows, conversation_digests
 from .frames import id_crc32, read_table
 from .language_id import fit_language_model, predict_language
+from .license_scan import scan_licenses
+from .order_minhash import fingerprints
 from .quality import fit_quality_model, score_quality
 from .token_files import checksums, read_tokens, write_tokens
 from .url_rules import judge_urls
@@ -30,6 +32,10 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(windows)
 
 
+def order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = F.coalesce(id_crc32() % 4 == 2, F.lit(False))
@@ -39,6 +45,11 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan_licenses(docs).drop("text", "hits")
+
+
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = share_vocabulary(spark, BYTE_RANKS)
     tokens = encode(read_table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
@@ -72,7 +83,9 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": chat_formatting,
+    "op2_order_minhash": order_minhash,
     "op3_language_id": language_id,
+    "op4_license_scan": license_scan,
     "op5_byte_bpe": byte_bpe,
     "op7_quality_classifier": quality_classifier,
     "op9_url_filters": url_filters,
