@@ -10,6 +10,7 @@ from ..storage import scratch_dir
 from .bpe import decode, encode, share_vocabulary
 from .chat import chat_windows, conversation_digests
 from .frames import id_crc32, read_table
+from .jaccard_join import jaccard_components
 from .language_id import fit_language_model, predict_language
 from .license_scan import scan_licenses
 from .order_minhash import fingerprints
@@ -61,6 +62,10 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = F.coalesce(id_crc32() % 5 == 0, F.lit(False))
@@ -87,6 +92,7 @@ QUERIES = {
     "op3_language_id": language_id,
     "op4_license_scan": license_scan,
     "op5_byte_bpe": byte_bpe,
+    "op6_jaccard_join": jaccard_join,
     "op7_quality_classifier": quality_classifier,
     "op9_url_filters": url_filters,
     "op10_token_files": token_files,
