@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorline.llm.bpe import encode, share_vocabulary
+from tremorline.llm.decontaminate import find_leaks
 from tremorline.llm.frames import read_table, stored
+from tremorline.llm.jaccard_join import jaccard_components
 from tremorline.llm.language_id import UNKNOWN, fit_language_model, predict_language
 from tremorline.llm.quality import fit_quality_model, score_quality
 from tremorline.llm.queries import BYTE_RANKS
@@ -20,20 +22,49 @@ from tremorline.llm.queries import BYTE_RANKS
 MIN_LANGUAGE_SCORE = 0.5
 
 
+def _apart(docs: DataFrame, *taken: str) -> DataFrame:
+    """The documents with columns that an operator would replace under other names."""
+    return docs.withColumnsRenamed({c: f"_own_{c}" for c in taken if c in docs.columns})
+
+
+def _together(judged: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again."""
+    own = set(judged.columns)
+    return judged.select(
+        *(F.col(f"_own_{c}" if f"_own_{c}" in own else c).alias(c) for c in docs.columns)
+    )
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no recognisable language."""
-    judged = predict_language(
-        docs.withColumn("_score", F.lit(0)), fit_language_model(docs)
-    )
-    return judged.where(
-        (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    ).select(docs.columns)
+    rows = _apart(docs, "lang_pred", "score")
+    judged = predict_language(rows, fit_language_model(docs))
+    kept = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    return _together(judged.where(kept), docs)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier predicts to be bad."""
     model = fit_quality_model(docs, read_table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).where("predicted = 1").select(docs.columns)
+    judged = score_quality(_apart(docs, "score", "predicted"), model)
+    return _together(judged.where("predicted = 1"), docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near-duplicates."""
+    found = jaccard_components(docs)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    kept = first.distinct().withColumnRenamed("doc_id", "_kept")
+    kept = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    # Rows that share an id: the first by text, as they are one document or copies.
+    return kept.dropDuplicates(["doc_id"]).select(docs.columns)
+
+
+def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a passage of the benchmark."""
+    leaks = find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    leaked = leaks.select(F.col("doc_id").alias("_leaked")).distinct()
+    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,6 +76,8 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language", known_language),
     ("quality", good_quality),
+    ("near-duplicates", one_of_each),
+    ("decontamination", not_in_benchmark),
     ("tokens", token_ids),
 ]
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..storage import scratch_dir
 from .bpe import decode, encode, share_vocabulary
 from .chat import chat_windows, conversation_digests
+from .decontaminate import find_leaks
 from .frames import id_crc32, read_table
 from .jaccard_join import jaccard_components
 from .language_id import fit_language_model, predict_language
@@ -75,6 +76,11 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -94,6 +100,7 @@ QUERIES = {
     "op5_byte_bpe": byte_bpe,
     "op6_jaccard_join": jaccard_join,
     "op7_quality_classifier": quality_classifier,
+    "op8_decontamination": decontamination,
     "op9_url_filters": url_filters,
     "op10_token_files": token_files,
 }
