@@ -52,7 +52,7 @@ from .frames import stored
 
 SHINGLE = 5
 LIST_SIZE = 32
-BLOCK_SHINGLES = 1 << 21
+BLOCK_SHINGLES = 1 << 19
 BLOOM_BITS = 23
 
 # Similar sets differ in size by a factor of 1.25 at most, so they are in the

@@ -141,7 +141,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def _range_starts(docs: DataFrame) -> list[int]:
     """First ids of ranges of about equal size; one number per range."""
-    n = RANGES_PER_PARTITION * docs.rdd.getNumPartitions()
+    n = RANGES_PER_PARTITION * max(docs.rdd.getNumPartitions(), 1)
     ranged = docs.select("key").repartitionByRange(n, "key")
     rows = ranged.groupBy(F.spark_partition_id()).agg(F.min("key").alias("key")).collect()
     return sorted({row["key"] for row in rows})
