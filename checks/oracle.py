@@ -256,3 +256,23 @@ SELECT
   (SELECT count(*) FROM state WHERE window_end > (SELECT mark FROM last_mark))
 WHERE (SELECT mark FROM last_mark) > (SELECT mark FROM first_mark)""",
 }
+
+SQL |= {
+    "changelog_compacted": SQL["stream_changelog"],
+    "append_readback": SQL["stream_final"],
+    "window_day_readback": SQL["stream_final"],
+    "stream_old_file": SQL["stream_restart"],
+    "late_recorded": SQL["late_batches"],
+    "event_time_forms": """
+SELECT
+  CAST(event_id AS VARCHAR) AS id,
+  CASE event_id % 8
+    WHEN 3 THEN epoch_us(ts) // 1000000 * 1000000
+    WHEN 4 THEN -(epoch_us(ts) // 1000 * 1000)
+    WHEN 5 THEN epoch_us(ts) // 1000000 * 1000000
+    WHEN 6 THEN epoch_us(ts) // 1000 * 1000000
+    WHEN 7 THEN 0
+    ELSE epoch_us(ts) // 1000 * 1000
+  END AS event_us
+FROM events""",
+}

@@ -200,3 +200,19 @@ def test_scratch_lies_in_the_shared_folder(spark):
     one, two = scratch_dir(spark, "x"), scratch_dir(spark, "x")
     assert one != two
     assert all(path.startswith(shared) and os.path.isdir(path) for path in (one, two))
+
+
+def test_standard_quoting_and_line_breaks(spark, tmp_path, feed):
+    """Doubled quotes, commas and backslashes come back; a line break becomes a space."""
+    path = tmp_path / "in"
+    path.mkdir()
+    header = "id,time,latitude,longitude,depth,mag,magType,place,type\n"
+    (path / "a.csv").write_text(header + '1,0,1,2,3,4,ml,"5 km of ""X"", CA",quake\n')
+    (row,) = read_feed(spark, str(path)).collect()
+    assert (row["place"], row["type"]) == ('5 km of "X", CA', "quake")
+    places = ['say "a", b', "back\\slash, c", 'end\\"', "line1\nline2, CA", "x\r\ny"]
+    rows = [{"id": str(i), "place": place} for i, place in enumerate(places)]
+    write_microfiles(feed(*rows), str(tmp_path / "out"))
+    found = {r["id"]: r["place"] for r in read_feed(spark, str(tmp_path / "out")).collect()}
+    expected = [*places[:3], "line1 line2, CA", "x y"]
+    assert found == {str(i): place for i, place in enumerate(expected)}

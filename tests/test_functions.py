@@ -29,7 +29,13 @@ TIMES = [
     ("1774744598134.7", "2026-03-29 00:36:38.134"),
     ("1.774744598134E12", "2026-03-29 00:36:38.134"),
     ("999999999999999", "+33658-09-27 01:46:39.999"),
-    ("1234567890123456", None),
+    ("1" + "0" * 20, None),
+    ("9" * 38, None),
+    ("0" * 50 + "1000", "1970-01-01 00:00:01"),
+    ("1999.9999", "1970-01-01 00:00:01.999"),
+    ("-1999.9999", "1969-12-31 23:59:58.001"),
+    ("1e-100", "1970-01-01 00:00:00"),
+    ("1e400", None),
     ("9223372036854775807", None),
     ("99999999999999999999", None),
     ("1" * 200, None),

@@ -19,6 +19,7 @@ from tremorline.streaming import (
     LateRecorder,
     append_table,
     build_stream,
+    compact,
     callback,
     console,
     each_batch,
@@ -146,13 +147,13 @@ def test_late_events(spark, tmp_path, deliver, paths):
     landing = str(tmp_path / "in")
     for age, (name, at) in zip((9, 8, 7), (("a", 5 * HOUR), ("b", 0), ("c", 0))):
         deliver(landing, f"{name}.csv", [event(at)], age=age)
-    recorder = LateRecorder()
+    recorder = LateRecorder(spark, str(tmp_path / "report"), held=2)
     spark.streams.addListener(recorder)
     try:
         query = run(stream_counts(spark, landing, max_files=1), paths, mode="changelog")
         report = late_report(spark, [query])
         deadline = time.time() + 20
-        while recorder.report(spark).count() < report.count() and time.time() < deadline:
+        while recorder.report().count() < report.count() and time.time() < deadline:
             time.sleep(0.1)
     finally:
         spark.streams.removeListener(recorder)
@@ -165,8 +166,8 @@ def test_late_events(spark, tmp_path, deliver, paths):
         (1, 1, "1970-01-01 04:30:00", 0),
         (2, 1, "1970-01-01 04:30:00", 1),
     ]
-    assert as_set(recorder.report(spark, forget=True)) == as_set(report)
-    assert recorder.report(spark).count() == 0
+    assert as_set(recorder.report()) == as_set(report)
+    assert len(recorder._rows) == 0
     assert {r["query_id"] for r in report.collect()} == {query.id}
     changes = read_changelog(spark, paths["out"]).collect()
     counts = {str(r["window_start"]): r["count"] for r in changes}
@@ -476,3 +477,38 @@ def test_each_output_sees_one_scan(spark, day, paths, tmp_path):
     assert as_set(read_final(spark, str(tmp_path / "copy"))) == as_set(
         read_final(spark, paths["out"])
     )
+
+
+def test_top_tables_are_refused_outside_final_mode(spark, tmp_path, deliver, paths):
+    deliver(tmp_path / "in", "a.csv", [event(0)])
+    counts = stream_counts(spark, str(tmp_path / "in"))
+    with pytest.raises(ValueError, match="whole windows"):
+        run(counts, paths, top_table(str(tmp_path / "top"), 1), mode="changelog")
+    run(counts, paths, top_table(str(tmp_path / "top"), 1))
+    assert read_final(spark, str(tmp_path / "top")).count() == 0  # no window has closed
+
+
+def test_a_checkpoint_of_another_table_is_refused(spark, tmp_path, deliver):
+    deliver(tmp_path / "in", "a.csv", [event(0)])
+    counts = stream_counts(spark, str(tmp_path / "in"))
+    a, b = ({"out": str(tmp_path / x), "checkpoint": str(tmp_path / f"{x}-c")} for x in "ab")
+    run(counts, a, mode="changelog")
+    run(counts, b, mode="changelog")
+    with pytest.raises(ValueError, match="another run"):
+        run(counts, {"out": b["out"], "checkpoint": a["checkpoint"]}, mode="changelog")
+
+
+def test_compaction_survives_an_interruption(spark, tmp_path, deliver, paths):
+    for i in range(3):
+        deliver(tmp_path / "in", f"{i}.csv", [event(i)], age=10 - i)
+    counts = stream_counts(spark, str(tmp_path / "in"), max_files=1)
+    run(counts, paths, mode="changelog")
+    before = as_set(read_changelog(spark, paths["out"]))
+    assert next(iter(before))[-1] == 3
+    compact(spark, paths["out"], 1)
+    assert not (tmp_path / "out" / "batch_id=0").exists()
+    assert as_set(read_changelog(spark, paths["out"])) == before
+    # As if a call had ended after it wrote the merged rows.
+    os.rename(f"{paths['out']}/batch_id=1", f"{paths['out']}/_compact=1")
+    compact(spark, paths["out"], 1)
+    assert as_set(read_changelog(spark, paths["out"])) == before

@@ -10,7 +10,7 @@ from __future__ import annotations
 import argparse
 
 from .plans import prepare_microfiles, prepare_replay
-from .session import open_session
+from .session import ROCKSDB_STATE, open_session
 from .sources import MAX_RECORDS, read_raw
 from .streaming import build_stream, wait_for_all
 
@@ -32,6 +32,10 @@ def _stream(spark, args):
         mode="changelog" if args.changelog else "final",
         every=args.every,
         until_caught_up=args.until_caught_up,
+        console_checkpoint=args.console_checkpoint,
+        max_files=args.max_files,
+        max_bytes=args.max_bytes,
+        state_partitions=args.state_partitions,
     )
     wait_for_all(queries)
 
@@ -58,12 +62,17 @@ def _arguments() -> argparse.ArgumentParser:
     stream.add_argument("--changelog", action="store_true", help="keep changes, not closed windows")
     stream.add_argument("--every", help='time between batches, such as "1 minute"')
     stream.add_argument("--until-caught-up", action="store_true")
+    stream.add_argument("--console-checkpoint", help="default: CHECKPOINT-console")
+    stream.add_argument("--max-files", type=int, help="files of a batch")
+    stream.add_argument("--max-bytes", type=int, help="bytes of a batch, if not by files")
+    stream.add_argument("--state-partitions", type=int, help="fixed by the first start")
+    stream.add_argument("--rocksdb", action="store_true", help="keep the state in RocksDB")
     return parser
 
 
 def main(argv: list[str] | None = None) -> None:
     args = _arguments().parse_args(argv)
-    spark = open_session()
+    spark = open_session(conf=ROCKSDB_STATE if getattr(args, "rocksdb", False) else None)
     try:
         args.run(spark, args)
     finally:

@@ -43,6 +43,10 @@ def top_groups_chained(
 ) -> DataFrame:
     """Same result as plain aggregations, which a stream can run in append mode.
 
+    For keys with a moderate number of values: every group is state a second
+    time, as a list entry. Where keys are free text use ``top_groups`` in the
+    batch callback (``top_table``), which keeps no lists.
+
     Spark has no bounded top-n aggregate, so the groups of a window are first
     spread over ``buckets`` by hash, each bucket keeps its ``n`` best, and the
     window then picks from those. A list holds one entry per group of its

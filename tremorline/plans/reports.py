@@ -8,12 +8,14 @@ and return what a reader of its output table sees.
 from __future__ import annotations
 
 import sys
+import time
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..functions import event_time as event_time_of
 from ..operators import (
     enrich,
     group_counts,
@@ -27,10 +29,12 @@ from ..operators import (
 )
 from ..schema import FEED_COLUMNS, RESULT_SCHEMA
 from ..session import use_utc
-from ..sources import feed_from_events, read_feed
-from ..storage import scratch_dir
+from ..sources import feed_from_events, read_events, read_feed
+from ..storage import list_dir, scratch_dir, set_modified
 from ..streaming import (
+    LateRecorder,
     build_stream,
+    compact,
     late_report,
     read_changelog,
     read_final,
@@ -51,8 +55,15 @@ RECENT_NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
 # Events up to here are there when the restarted stream runs first.
 RESTART_AT = datetime(2024, 1, 16, tzinfo=timezone.utc)
 
-# Micro-batches a replay is read in.
-BATCHES = 4
+# Files and micro-batches of a replay: fixed sizes, so their number follows the data.
+ROWS_PER_FILE = 2_000
+BATCH_BYTES = 1 << 20
+
+# State partitions of these runs; a cluster's jobs choose their own.
+STATE_PARTITIONS = 8
+
+# The second files of the old-file query are this much older than the first.
+OLDER_MS = 30 * 24 * 3600 * 1000
 
 # One event in ten arrives after all others in the late-data queries.
 LATE = "cast(id as bigint) % 10 = 0"
@@ -76,6 +87,27 @@ def event_time(spark: SparkSession, data_dir: str) -> DataFrame:
     return with_event_time(feed).select("id", "time", "event_ts")
 
 
+def event_time_forms(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Signed, fractional, exponent, padded, offset and 16-digit times, in microseconds."""
+    events = read_events(use_utc(spark), data_dir)
+    number, instant = F.col("event_id"), F.col("event_ts")
+    millis = F.unix_millis(instant).cast("string")
+    kind = F.pmod(number, F.lit(8))
+    local = F.date_format(instant + F.expr("interval '5:30' hour to minute"), "yyyy-MM-dd'T'HH:mm:ss")
+    text = (
+        F.when(kind == 0, F.concat(F.lit("+"), millis))
+        .when(kind == 1, F.concat(millis, F.lit(".9996")))
+        .when(kind == 2, F.concat(F.lit("0" * 40), millis))
+        .when(kind == 3, F.concat(F.unix_seconds(instant).cast("string"), F.lit("e3")))
+        .when(kind == 4, F.concat(F.lit("-"), millis))
+        .when(kind == 5, F.concat(local, F.lit("+05:30")))
+        .when(kind == 6, F.concat(millis, F.lit("000")))
+        .otherwise("1e-100")
+    )
+    micros = F.unix_micros(event_time_of(text))
+    return events.select(number.cast("string").alias("id"), micros.alias("event_us"))
+
+
 def region_mag(spark: SparkSession, data_dir: str) -> DataFrame:
     feed = feed_from_events(use_utc(spark), data_dir)
     return with_region_and_magnitude(feed).select("id", "region", "mag_d", "magnitude_band")
@@ -141,6 +173,26 @@ def stream_changelog(spark: SparkSession, data_dir: str) -> DataFrame:
     return read_changelog(spark, f"{base}/out")
 
 
+def changelog_compacted(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The changelog table after its batches were merged, all but the newest."""
+    base, source = _replay(use_utc(spark), data_dir, "compacted")
+    query = _run(stream_counts(spark, **source), base, mode="changelog")
+    compact(spark, f"{base}/out", max(query.lastProgress.batchId - 1, 0))
+    return read_changelog(spark, f"{base}/out")
+
+
+def append_readback(spark: SparkSession, data_dir: str) -> DataFrame:
+    base, source = _replay(use_utc(spark), data_dir, "append")
+    _run(stream_counts(spark, **source), base, table="append")
+    return read_final(spark, f"{base}/out")
+
+
+def window_day_readback(spark: SparkSession, data_dir: str) -> DataFrame:
+    base, source = _replay(use_utc(spark), data_dir, "window-day")
+    _run(stream_counts(spark, **source), base, partition_by=("window_day",))
+    return read_final(spark, f"{base}/out")
+
+
 def stream_sliding_final(spark: SparkSession, data_dir: str) -> DataFrame:
     return _final(spark, data_dir, "sliding", **SLIDING)
 
@@ -182,7 +234,7 @@ def console_and_table(spark: SparkSession, data_dir: str) -> DataFrame:
         console_checkpoint=f"{base}/console",
         console_out=sys.stderr,
         until_caught_up=True,
-        state_partitions=_state_partitions(spark),
+        state_partitions=STATE_PARTITIONS,
         **source,
     )
     wait_for_all(queries)
@@ -191,12 +243,24 @@ def console_and_table(spark: SparkSession, data_dir: str) -> DataFrame:
 
 def stream_restart(spark: SparkSession, data_dir: str) -> DataFrame:
     """Half of the files, then all, then nothing new, on one checkpoint."""
-    base = scratch_dir(use_utc(spark), "restart")
+    return _restarted(use_utc(spark), data_dir, "restart")
+
+
+def stream_old_file(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The same with second files that carry much older file times."""
+    return _restarted(use_utc(spark), data_dir, "old-file", OLDER_MS)
+
+
+def _restarted(spark: SparkSession, data_dir: str, label: str, older_ms: int = 0) -> DataFrame:
+    base = scratch_dir(spark, label)
     events = with_event_time(feed_from_events(spark, data_dir))
     early = F.coalesce(F.col("event_ts") < F.lit(RESTART_AT), F.lit(True))
     prepare_replay(events.where(early), f"{base}/landing/first")
     _run(stream_counts(spark, f"{base}/landing/*"), base)
     prepare_replay(events.where(~early), f"{base}/landing/second")
+    if older_ms:
+        for entry in list_dir(spark, f"{base}/landing/second"):
+            set_modified(spark, entry.path, entry.modified_ms - older_ms)
     for _ in range(2):
         _run(stream_counts(spark, f"{base}/landing/*"), base)
     return read_final(spark, f"{base}/out")
@@ -211,7 +275,27 @@ def stream_late(spark: SparkSession, data_dir: str) -> DataFrame:
 def late_batches(spark: SparkSession, data_dir: str) -> DataFrame:
     """The report of the same runs."""
     _, queries = _late_runs(use_utc(spark), data_dir)
-    return late_report(spark, queries).select(
+    return _late_columns(late_report(spark, queries))
+
+
+def late_recorded(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The same report, from the table that a recorder has written."""
+    recorder = LateRecorder(use_utc(spark), f"{scratch_dir(spark, 'late-report')}/rows", held=2)
+    spark.streams.addListener(recorder)
+    try:
+        _, queries = _late_runs(spark, data_dir)
+        batches = sum(len(query.recentProgress) for query in queries)
+        # The listener is called in the background, shortly after each batch.
+        deadline = time.monotonic() + 60
+        while recorder.report().count() < batches and time.monotonic() < deadline:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(recorder)
+    return _late_columns(recorder.report())
+
+
+def _late_columns(report: DataFrame) -> DataFrame:
+    return report.select(
         "batch_id",
         "input_rows",
         "watermark",
@@ -225,12 +309,10 @@ def _events(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def _replay(spark: SparkSession, data_dir: str, label: str) -> tuple[str, dict]:
-    """Feed files in event-time order, to be read in ``BATCHES`` batches."""
+    """Feed files in event-time order, to be read in batches of ``BATCH_BYTES``."""
     base = scratch_dir(spark, label)
-    feed = feed_from_events(spark, data_dir)
-    rows_per_file = -(-feed.count() // (2 * BATCHES))
-    files = prepare_replay(feed, f"{base}/all", max(rows_per_file, 1))
-    return base, {"landing": f"{base}/all", "max_files": max(-(-files // BATCHES), 1)}
+    prepare_replay(feed_from_events(spark, data_dir), f"{base}/all", ROWS_PER_FILE)
+    return base, {"landing": f"{base}/all", "max_bytes": BATCH_BYTES}
 
 
 def _run(results: DataFrame, base: str, *also, **options):
@@ -240,7 +322,7 @@ def _run(results: DataFrame, base: str, *also, **options):
         f"{base}/checkpoint",
         *also,
         until_caught_up=True,
-        state_partitions=_state_partitions(results.sparkSession),
+        state_partitions=STATE_PARTITIONS,
         **options,
     )
     wait_for_all([query])
@@ -264,25 +346,12 @@ def _late_runs(spark: SparkSession, data_dir: str):
     return base, queries
 
 
-def _state_partitions(spark: SparkSession) -> int | None:
-    """The session's shuffle partitions; on one machine no more than its cores.
-
-    A cluster's number of cores is no guide: it may not have started them yet,
-    and a checkpoint keeps the number it began with.
-    """
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    return min(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        spark.sparkContext.defaultParallelism,
-    )
-
-
 QUERIES = {
     "window_counts": window_count_report,
     "sliding_counts": sliding_counts,
     "region_band_counts": region_band_counts,
     "event_time": event_time,
+    "event_time_forms": event_time_forms,
     "region_mag": region_mag,
     "grid_counts": grid_counts,
     "grid_window_counts": grid_window_counts,
@@ -292,6 +361,11 @@ QUERIES = {
     "replay_roundtrip": replay_roundtrip,
     "stream_final": stream_final,
     "stream_changelog": stream_changelog,
+    "changelog_compacted": changelog_compacted,
+    "append_readback": append_readback,
+    "window_day_readback": window_day_readback,
+    "stream_old_file": stream_old_file,
+    "late_recorded": late_recorded,
     "stream_sliding_final": stream_sliding_final,
     "stream_grid_final": stream_grid_final,
     "partitioned_readback": partitioned_readback,

@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..schema import FEED_COLUMNS, FEED_SCHEMA
 
 # Fixed value: default number of rows in a microfile.
 MAX_RECORDS = 10_000
 
+# Bytes of a micro-batch unless the caller chooses, so that a first batch does
+# not take all that has landed.
+MAX_BYTES = 1 << 30
+
+# Moving a file keeps its time, so no age makes a delivered file too old.
+MAX_FILE_AGE = "36500d"
+
+# Standard CSV: a quote inside a quoted value is doubled, a backslash is a backslash.
+_CSV = {"quote": '"', "escape": '"'}
+
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Raw feed files: columns by header name, all text.
@@ -16,7 +28,8 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     The header of one file names the columns of all; a file whose header
     differs fails the job instead of loading values under the wrong names.
     """
-    return spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    reader = spark.read.options(**_CSV).option("header", True)
+    return reader.option("enforceSchema", False).csv(path)
 
 
 def feed_columns(raw: DataFrame) -> DataFrame:
@@ -35,26 +48,32 @@ def stream_feed(
     max_files: int | None = None,
     max_bytes: int | None = None,
     check_header: bool = True,
+    max_file_age: str = MAX_FILE_AGE,
+    archive: str | None = None,
 ) -> DataFrame:
     """Feed files arriving in the folder (or glob) ``landing``, as a stream.
 
     Each file is read once per checkpoint, oldest modification time first.
-    ``max_files`` or ``max_bytes`` bounds a micro-batch; without them a batch
-    takes all that is there. With ``check_header`` a file whose header is not
+    ``max_files`` or ``max_bytes`` bounds a micro-batch, by default ``MAX_BYTES``. Files
+    are never too old, unless ``max_file_age`` says so: Spark ignores files that
+    are older than the newest by more. It also forgets the names of such files;
+    to bound that list, and the listing of each batch, name a folder outside
+    ``landing`` as ``archive``, to which files are moved when they are done. With ``check_header`` a file whose header is not
     the feed's fails the query; without, it is read by position as it is.
     """
-    reader = _feed_options(spark.readStream, check_header)
+    reader = _feed_options(spark.readStream, check_header).option("maxFileAge", max_file_age)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    if max_bytes is not None:
-        reader = reader.option("maxBytesPerTrigger", max_bytes)
+    else:
+        reader = reader.option("maxBytesPerTrigger", MAX_BYTES if max_bytes is None else max_bytes)
+    if archive is not None:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     return reader.csv(landing)
 
 
 def _feed_options(reader, check_header: bool):
-    return (
-        reader.schema(FEED_SCHEMA).option("header", True).option("enforceSchema", not check_header)
-    )
+    reader = reader.schema(FEED_SCHEMA).options(**_CSV).option("header", True)
+    return reader.option("enforceSchema", not check_header)
 
 
 def write_microfiles(
@@ -63,12 +82,21 @@ def write_microfiles(
     """CSV files with a header and at most ``max_records`` rows each.
 
     Every task starts a new file when its current one is full, so nothing is
-    shuffled. Outer spaces of values are kept.
+    shuffled. Outer spaces of values are kept. Line breaks inside values become
+    spaces, so that a row is a line and large files can be read in pieces.
     """
     if max_records < 1:
         raise ValueError("max_records must be at least 1")
+    one_line = [
+        F.regexp_replace(f"`{f.name}`", r"\r\n|[\r\n]", " ").alias(f.name)
+        if f.dataType == StringType()
+        else f"`{f.name}`"
+        for f in feed.schema
+    ]
     (
-        feed.write.mode(mode)
+        feed.select(*one_line)
+        .write.mode(mode)
+        .options(**_CSV)
         .option("header", True)
         .option("maxRecordsPerFile", max_records)
         .option("ignoreLeadingWhiteSpace", False)

@@ -57,6 +57,38 @@ def set_modified(spark: SparkSession, path: str, modified_ms: int) -> None:
     fs.setTimes(jpath, modified_ms, -1)
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None where there is none."""
+    fs, jpath = _locate(spark, path)
+    if not fs.exists(jpath):
+        return None
+    stream = fs.open(jpath)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, jpath = _locate(spark, path)
+    stream = fs.create(jpath, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    fs, jpath = _locate(spark, old)
+    if not fs.rename(jpath, spark._jvm.org.apache.hadoop.fs.Path(new)):
+        raise OSError(f"{old} could not be renamed to {new}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, jpath = _locate(spark, path)
+    fs.delete(jpath, True)
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """New folder for one run, removed when the session's JVM ends.
 

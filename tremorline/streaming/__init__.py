@@ -11,6 +11,7 @@ from .job import (
 )
 from .late import LateRecorder, late_report
 from .sinks import (
+    compact,
     append_table,
     callback,
     console,
@@ -23,6 +24,7 @@ from .sinks import (
 )
 
 __all__ = [
+    "compact",
     "LateRecorder",
     "append_table",
     "build_stream",

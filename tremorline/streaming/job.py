@@ -61,7 +61,11 @@ def start(
     spark = results.sparkSession
     # Spark's own choice, a temporary folder, may lie on one machine.
     checkpoint = checkpoint or scratch_dir(spark, "checkpoint")
+    if mode != "final" and any(getattr(w, "whole_windows", False) for w in writers):
+        raise ValueError('top tables need whole windows: use mode="final"')
     sinks.refuse_foreign_batches(spark, writers, checkpoint)
+    for folder in sinks.versioned_folders(writers):
+        make_dir(spark, folder)
     writer = (
         results.writeStream.outputMode(MODES[mode])
         .option("checkpointLocation", checkpoint)
@@ -74,7 +78,9 @@ def start(
     elif every:
         writer = writer.trigger(processingTime=every)
     with _shuffle_partitions(spark, state_partitions):
-        return writer.start()
+        query = writer.start()
+    sinks.claim(spark, writers, str(query.id))
+    return query
 
 
 def start_table(
@@ -120,17 +126,25 @@ def build_stream(
 ) -> list[StreamingQuery]:
     """Start the standard job; returns ``[console query, table query]``.
 
-    The console shows changes and the table keeps closed windows, two output
-    modes, so each is a query of its own that reads and counts by itself. For
-    several outputs in one mode give ``start_table`` more writers instead.
-    ``counts`` as in ``stream_counts``.
+    The console shows changes. With ``mode="changelog"`` the table keeps them,
+    too: then one query feeds both and is returned twice. Closed windows are
+    another output mode, so there each output is a query of its own that reads and
+    counts by itself; the console's checkpoint is by default a folder beside the
+    table's, so that it goes on after a restart as well. ``counts`` as in
+    ``stream_counts``.
     """
     results = stream_counts(spark, landing, **counts)
+    console_checkpoint = console_checkpoint or f"{checkpoint.rstrip('/')}-console"
     common = {
         "until_caught_up": until_caught_up,
         "every": every,
         "state_partitions": state_partitions,
     }
+    if MODES[mode] == "update":
+        shown = sinks.console(out=console_out)
+        options = {"table": table, "partition_by": partition_by, "mode": mode, **common}
+        both = start_table(results, out, checkpoint, shown, **options)
+        return [both, both]
     console = start_console(results, out=console_out, checkpoint=console_checkpoint, **common)
     try:
         parquet = start_table(

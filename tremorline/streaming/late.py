@@ -8,6 +8,7 @@ many they were is at least this number.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterable
 from datetime import datetime, timezone
 
@@ -38,20 +39,26 @@ def late_report(spark: SparkSession, queries: Iterable[StreamingQuery]) -> DataF
 
 
 class LateRecorder(StreamingQueryListener):
-    """Keeps the report of whole runs, one small row per batch.
+    """Keeps the report of whole runs in a Parquet table at ``out``.
 
     Add it with ``spark.streams.addListener`` before the queries start. Spark
-    calls it in the background, shortly after each batch.
+    calls it in the background, shortly after each batch. ``held`` rows wait in
+    memory at most; then they are appended to the table.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, spark: SparkSession, out: str, held: int = 50) -> None:
+        self._spark, self._out, self._held = spark, out, held
         self._rows: list[tuple] = []
+        self._lock = threading.Lock()
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
-        self._rows.append(_row(event.progress))
+        with self._lock:
+            self._rows.append(_row(event.progress))
+            if len(self._rows) >= self._held:
+                self._store()
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -59,12 +66,15 @@ class LateRecorder(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:
         pass
 
-    def report(self, spark: SparkSession, forget: bool = False) -> DataFrame:
-        """The rows so far; ``forget`` them to store a long run piece by piece."""
-        rows = self._rows
-        if forget:
-            self._rows = []
-        return _frame(spark, list(rows))
+    def report(self) -> DataFrame:
+        """All rows so far, from the table."""
+        with self._lock:
+            self._store()
+        return self._spark.read.schema(REPORT_SCHEMA).parquet(self._out)
+
+    def _store(self) -> None:
+        _frame(self._spark, self._rows).coalesce(1).write.mode("append").parquet(self._out)
+        self._rows = []
 
 
 def _row(progress) -> tuple:

@@ -7,6 +7,7 @@ so several outputs cost one scan and one aggregation.
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Callable, Iterable, Sequence
 from typing import TextIO
@@ -17,13 +18,14 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import top_groups
 from ..schema import RESULT_SCHEMA
-from ..storage import exists, list_dir
+from ..storage import exists, list_dir, read_text, remove, rename, write_text
 
 Writer = Callable[[DataFrame, int, int], None]
 
 ROWS_PER_FILE = 1_000_000
 
 _BATCH = "batch_id"
+_RUN = "_run"
 
 
 def each_batch(*writers: Writer) -> Callable[[DataFrame, int], None]:
@@ -104,14 +106,18 @@ def versioned_table(
 def top_table(out: str, n: int, key: str = "region", rows_per_file: int = ROWS_PER_FILE) -> Writer:
     """Write the top ``n`` groups of each window of a batch, versioned.
 
-    For append-mode queries: only there does a batch hold whole windows.
+    For queries in final mode, others are refused: only there does a batch hold
+    whole windows.
     """
     table = versioned_table(out, rows_per_file=rows_per_file)
 
     def write(batch_df: DataFrame, batch_id: int, rows: int) -> None:
-        table(top_groups(batch_df, n, key), batch_id, rows)
+        # At most n rows of each window are left; that is what files are sized by.
+        windows = batch_df.agg(F.approx_count_distinct("window_start")).first()[0]
+        table(top_groups(batch_df, n, key), batch_id, min(rows, n * max(windows, 1)))
 
     write.versioned_out = out
+    write.whole_windows = True
     return write
 
 
@@ -165,7 +171,10 @@ def read_changelog(
     scan; add it to the result. Appended tables have no batch numbers; there
     the largest value is taken, which is the latest as counts only grow.
     """
-    versions = spark.read.schema(_with_batch(schema)).parquet(out)
+    return _latest(spark.read.schema(_with_batch(schema)).parquet(out), schema, value)
+
+
+def _latest(versions: DataFrame, schema: StructType, value: str) -> DataFrame:
     keys = [name for name in schema.fieldNames() if name != value]
     return versions.groupBy(*keys).agg(
         F.max_by(value, F.coalesce(_BATCH, value)).alias(value)
@@ -180,15 +189,71 @@ def refuse_foreign_batches(
     A new checkpoint counts its batches from 0 again and would replace them
     one by one, leaving a mixture.
     """
-    if exists(spark, f"{checkpoint}/metadata"):
-        return
-    for writer in writers:
-        out = getattr(writer, "versioned_out", None)
-        if out and any(entry.name.startswith(f"{_BATCH}=") for entry in list_dir(spark, out)):
+    known = read_text(spark, f"{checkpoint}/metadata")
+    run = json.loads(known)["id"] if known else None
+    for out in versioned_folders(writers):
+        owner = read_text(spark, f"{out}/{_RUN}")
+        if owner is not None:
+            foreign = owner != run
+        else:
+            foreign = run is None and bool(_batches(spark, out))
+        if foreign:
             raise ValueError(
                 f"{out} holds batches of another run; use its checkpoint or a new folder"
             )
 
 
+def versioned_folders(writers: Iterable[Writer]) -> list[str]:
+    return [w.versioned_out for w in writers if getattr(w, "versioned_out", None)]
+
+
+def claim(spark: SparkSession, writers: Iterable[Writer], run: str) -> None:
+    """Note in each versioned table which query writes it."""
+    for out in versioned_folders(writers):
+        if read_text(spark, f"{out}/{_RUN}") is None:
+            write_text(spark, f"{out}/{_RUN}", run)
+
+
+def _batches(spark: SparkSession, out: str) -> list[int]:
+    names = [entry.name for entry in list_dir(spark, out)]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{_BATCH}="))
+
+
+def compact(
+    spark: SparkSession,
+    out: str,
+    up_to_batch: int,
+    schema: StructType = RESULT_SCHEMA,
+    value: str = "count",
+    partition_by: Sequence[str] = (),
+) -> None:
+    """Replace the batches of an update-mode table up to one by their latest values.
+
+    The result takes the place of batch ``up_to_batch``, so what later batches
+    changed still wins. Call it for batches that the query has committed. It is
+    first written beside the table; a call that was interrupted is finished by
+    the next one, and older batches are removed last.
+    """
+    merged = f"{out}/_compact={up_to_batch}"
+    target = f"{out}/{_BATCH}={up_to_batch}"
+    old = [b for b in _batches(spark, out) if b <= up_to_batch]
+    if not exists(spark, f"{merged}/_SUCCESS") and len(old) > 1:
+        remove(spark, merged)
+        folders = [f"{out}/{_BATCH}={b}" for b in old]
+        versions = spark.read.schema(_with_batch(schema)).option("basePath", out).parquet(*folders)
+        latest = _latest(versions, schema, value)
+        latest = latest.persist()
+        try:
+            write_parquet(latest, merged, latest.count(), partition_by)
+        finally:
+            latest.unpersist()
+    if exists(spark, f"{merged}/_SUCCESS"):
+        remove(spark, target)
+        rename(spark, merged, target)
+    for batch in old:
+        if batch < up_to_batch:
+            remove(spark, f"{out}/{_BATCH}={batch}")
+
+
 def _with_batch(schema: StructType) -> StructType:
     return StructType([*schema.fields, StructField(_BATCH, LongType(), True)])
