@@ -20,7 +20,7 @@ def _prepare(spark, args):
 
 
 def _replay(spark, args):
-    prepare_replay(read_raw(spark, args.raw), args.landing, args.max_records)
+    prepare_replay(read_raw(spark, args.raw), args.landing, args.max_records, fixed_order=True)
 
 
 def _stream(spark, args):

@@ -39,6 +39,7 @@ def prepare_replay(
     out: str,
     max_records: int = MAX_RECORDS,
     partitions: int | None = None,
+    fixed_order: bool = False,
 ) -> int:
     """Feed rows as files whose age follows event time; returns how many.
 
@@ -51,13 +52,15 @@ def prepare_replay(
     one. ``partitions`` fixes the number of ranges; otherwise it is Spark's
     shuffle setting, and adaptive execution merges small neighbours.
 
-    The row numbers must come out the same when a lost task is repeated. Rows
-    read straight from files have a fixed order; after a shuffle they have
-    none, so such a feed is first written to the shared folder.
+    The row numbers must come out the same when a lost task is repeated, so the
+    feed is first written to the shared folder. ``fixed_order`` says that its
+    rows come in the same order each time they are read, as rows straight from
+    files do, also after filters and projections; then it is read in place.
     """
     spark = feed.sparkSession
     order = ("_event_ts", "_tie")
-    keyed = _in_fixed_order(feed_columns(feed)).withColumns(
+    rows = feed_columns(feed)
+    keyed = (rows if fixed_order else _stored(rows)).withColumns(
         {"_event_ts": event_time(F.col("time")), "_tie": F.monotonically_increasing_id()}
     )
     ranges = (
@@ -69,9 +72,7 @@ def prepare_replay(
     return _age_by_position(spark, out)
 
 
-def _in_fixed_order(feed: DataFrame) -> DataFrame:
-    if "Exchange" not in feed._jdf.queryExecution().executedPlan().toString():
-        return feed
+def _stored(feed: DataFrame) -> DataFrame:
     stored = f"{scratch_dir(feed.sparkSession, 'feed')}/rows"
     feed.write.parquet(stored)
     return feed.sparkSession.read.parquet(stored)

@@ -255,9 +255,9 @@ def _restarted(spark: SparkSession, data_dir: str, label: str, older_ms: int = 0
     base = scratch_dir(spark, label)
     events = with_event_time(feed_from_events(spark, data_dir))
     early = F.coalesce(F.col("event_ts") < F.lit(RESTART_AT), F.lit(True))
-    prepare_replay(events.where(early), f"{base}/landing/first")
+    prepare_replay(events.where(early), f"{base}/landing/first", fixed_order=True)
     _run(stream_counts(spark, f"{base}/landing/*"), base)
-    prepare_replay(events.where(~early), f"{base}/landing/second")
+    prepare_replay(events.where(~early), f"{base}/landing/second", fixed_order=True)
     if older_ms:
         for entry in list_dir(spark, f"{base}/landing/second"):
             set_modified(spark, entry.path, entry.modified_ms - older_ms)
@@ -311,7 +311,8 @@ def _events(spark: SparkSession, data_dir: str) -> DataFrame:
 def _replay(spark: SparkSession, data_dir: str, label: str) -> tuple[str, dict]:
     """Feed files in event-time order, to be read in batches of ``BATCH_BYTES``."""
     base = scratch_dir(spark, label)
-    prepare_replay(feed_from_events(spark, data_dir), f"{base}/all", ROWS_PER_FILE)
+    feed = feed_from_events(spark, data_dir)
+    prepare_replay(feed, f"{base}/all", ROWS_PER_FILE, fixed_order=True)
     return base, {"landing": f"{base}/all", "max_bytes": BATCH_BYTES}
 
 
@@ -340,7 +341,7 @@ def _late_runs(spark: SparkSession, data_dir: str):
     feed = feed_from_events(spark, data_dir)
     queries = []
     for folder, rows in (("first", f"not ({LATE})"), ("second", LATE)):
-        prepare_replay(feed.where(rows), f"{base}/landing/{folder}")
+        prepare_replay(feed.where(rows), f"{base}/landing/{folder}", fixed_order=True)
         results = stream_counts(spark, f"{base}/landing/*")
         queries.append(_run(results, base, mode="changelog"))
     return base, queries
