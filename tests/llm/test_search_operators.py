@@ -348,6 +348,23 @@ def test_paraphrased_leaks(spark):
     assert not [r for r in found if r["doc_id"] >= 1000]
 
 
+def test_leaks_of_a_large_benchmark(spark):
+    """Far more items than a latent space has room for, verbatim and with words replaced."""
+    rng = random.Random(12)
+    pool = [f"w{i}" for i in range(4000)]
+    items = [(i, " ".join(rng.choices(pool, k=rng.randint(20, 50)))) for i in range(1000)]
+    docs = []
+    for i, text in items[::5]:
+        words = [w if (i // 5) % 2 or k % 7 else "changed" for k, w in enumerate(text.split(), 1)]
+        docs.append((i, " ".join([*rng.choices(pool, k=70), *words, *rng.choices(pool, k=90)])))
+    docs += [(5000 + i, " ".join(rng.choices(pool, k=200))) for i in range(50)]
+    found = decontaminate.find_leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string"),
+    ).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i, _ in items[::5]}
+
+
 def test_common_subsequence():
     rng = random.Random(6)
     for _ in range(200):
