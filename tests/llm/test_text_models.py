@@ -362,6 +362,25 @@ def test_url_edges(spark):
     assert {r["verdict"] for r in unlabelled} == {"allow"}
 
 
+def test_given_url_rules(spark):
+    """The five rules, written out."""
+    fits = {
+        "http://a.org/x": ("org/", "allow"),
+        "http://example.org/es/x": ("example.org/es/", "block"),
+        "http://example.org/en/12": ("example.org/en/1", "block"),
+        "http://b.com/fr/x": ("com/fr/", "allow"),
+        "http://b.com/de/x": ("com/de/", "block"),
+        "http://b.com/de": (None, None),
+        "http://b.com/demo/x": (None, None),
+        "http://b.com/design": (None, None),
+    }
+    pages = spark.createDataFrame(list(enumerate(fits)), "page_id long, url string")
+    host, path = url_rules.host_and_path()
+    pages = pages.select("url", host.alias("host"), path.alias("path"))
+    given = url_rules.given_rule(F.col("host"), F.col("path"), url_rules.GIVEN_RULES)
+    assert {r[0]: (r[1], r[2]) for r in pages.select("url", *given).collect()} == fits
+
+
 def test_mined_rules_match_brute_force(spark):
     rng = random.Random(2)
     sets = []

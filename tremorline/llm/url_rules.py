@@ -34,7 +34,7 @@ GIVEN_RULES = [
     ("example.org", "/es/", "block"),
     ("example.org", "/en/1", "block"),
     ("com", "/fr/", "allow"),
-    ("com", "/de", "block"),
+    ("com", "/de/", "block"),
 ]
 
 MIN_SUPPORT = 0.002
