@@ -365,6 +365,26 @@ def test_leaks_of_a_large_benchmark(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i, _ in items[::5]}
 
 
+def test_leaks_of_short_and_long_items(spark):
+    rng = random.Random(13)
+    pool = [f"w{i}" for i in range(3000)]
+    sizes = [1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 70, 130, 300, 450, 600, 1500] * 4
+    items = [(i, " ".join(f"{w}x" if n < 4 else w for w in rng.choices(pool, k=n)))
+             for i, n in enumerate(sizes)]
+    docs = []
+    for i, text in items:
+        words = text.split()
+        if len(words) > 64 and i % 2:  # a paraphrase with no eight words in a row
+            words = [w if k % 7 else "changed" for k, w in enumerate(words, 1)]
+        docs.append((i, " ".join([*rng.choices(pool, k=205), *words, *rng.choices(pool, k=331)])))
+    found = decontaminate.find_leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string"),
+    ).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i, _ in items}
+    assert all(r["cosine"] > 0 for r in found)
+
+
 def test_common_subsequence():
     rng = random.Random(6)
     for _ in range(200):
