@@ -202,6 +202,53 @@ def test_rules_pass_their_gates():
         assert any(all(part in text for part in stem) for stem in STEMS), (rule, text)
 
 
+def matches(parsed):
+    """Texts that a parsed pattern matches: every alternative, with and without options."""
+    texts = [""]
+    for kind, value in parsed:
+        if kind is re._constants.LITERAL:
+            more = [chr(value)]
+        elif kind is re._constants.IN:
+            more = [chr(value[0][1])] if value[0][0] is re._constants.LITERAL else ["x"]
+        elif kind is re._constants.BRANCH:
+            more = [t for branch in value[1] for t in matches(branch)]
+        elif kind is re._constants.SUBPATTERN:
+            more = matches(value[3])
+        else:
+            assert kind is re._constants.MAX_REPEAT
+            more = [t * n for n in {value[0], value[0] + 1} for t in matches(value[2])]
+        texts = [t + m for t in texts for m in more]
+    return texts
+
+
+def test_keywords_stand_in_every_alternative():
+    """The rule's own, or that of a rule that is as strong and takes the same text (mpl, psf)."""
+    rules = all_rules()
+    for rule in rules:
+        for text in matches(re._parser.parse(rule.pattern)):
+            assert re.fullmatch(rule.pattern, text), (rule, text)
+            assert f" {rule.keyword} " in f" {text} " or any(
+                f" {r.keyword} " in f" {text} " and re.fullmatch(r.pattern, text)
+                for r in rules
+                if r.priority <= rule.priority
+            ), (rule, text)
+
+
+def test_licenses_by_each_name(spark):
+    texts = {
+        "SPDX-License-Identifier: EUPL-1.2": "eupl-1.2",
+        "under the ODbL license": "odbl",
+        "the Open RAIL-M license": "openrail",
+        "the Open RAIL license": "openrail",
+        "General Public License version 2": "gpl,gpl-2",
+        "GNU Lesser General Public License 3.0": "gpl,lgpl-3.0",
+        "Affero General Public License version 2": "agpl-2,gpl",
+    }
+    rows = license_scan.scan_licenses(frame(spark, list(texts))).collect()
+    assert {r["text"]: r["labels"] for r in rows} == texts
+    check_licenses([r.asDict() for r in rows], list(enumerate(texts)))
+
+
 def _first(m):
     return "" if m[2] == "?" else m[1]
 

@@ -18,7 +18,8 @@ class Rule(NamedTuple):
     pattern: str
 
 
-# Label, names (a pattern over words), keyword of every name, versions.
+# Label, names (a pattern over words), keyword of every name, versions. Those
+# whose name holds "general public" have all versions of the gpl, whose rules fit in them.
 FAMILIES = [
     ("apache", "apache", "apache", ("1 0", "1 1", "2 0")),
     ("mit", "mit|expat mit", "mit", ()),
@@ -27,12 +28,12 @@ FAMILIES = [
     ("bsd-2-clause", "bsd 2 clause|simplified bsd|freebsd bsd", "bsd", ()),
     ("bsd-3-clause", "bsd 3 clause|new bsd|revised bsd|modified bsd", "bsd", ()),
     ("bsd-4-clause", "bsd 4 clause|original bsd", "bsd", ()),
-    ("gpl", "(?:gnu )?general public|gnu gpl|gpl", "gpl", ("1 0", "2 0", "2", "3 0", "3")),
-    ("gpl", "gnu general public", "general public", ("1 0", "2 0", "2", "3 0", "3")),
+    ("gpl", "gnu gpl|gpl", "gpl", ("1 0", "2 0", "2", "3 0", "3")),
+    ("gpl", "(?:gnu )?general public", "general public", ("1 0", "2 0", "2", "3 0", "3")),
     ("lgpl", "gnu lgpl|lgpl", "lgpl", ("2 0", "2 1", "3 0", "3")),
-    ("lgpl", "(?:gnu )?(?:lesser|library) general public", "general public", ("2 0", "2 1", "3")),
+    ("lgpl", "(?:gnu )?(?:lesser|library) general public", "general public", ("1 0", "2 0", "2 1", "2", "3 0", "3")),
     ("agpl", "gnu agpl|agpl", "agpl", ("1 0", "3 0", "3")),
-    ("agpl", "(?:gnu )?affero general public", "affero", ("1 0", "3 0", "3")),
+    ("agpl", "(?:gnu )?affero general public", "affero", ("1 0", "2 0", "2", "3 0", "3")),
     ("gfdl", "gnu free documentation", "free documentation", ("1 1", "1 2", "1 3")),
     ("mpl", "mozilla public|mpl", "mozilla", ("1 0", "1 1", "2 0")),
     ("mpl", "mpl", "mpl", ("1 0", "1 1", "2 0")),
@@ -40,7 +41,8 @@ FAMILIES = [
     ("edl", "eclipse distribution", "eclipse", ("1 0",)),
     ("cddl", "common development and distribution", "common development", ("1 0", "1 1")),
     ("cpl", "common public", "common public", ("1 0",)),
-    ("eupl", "european union public|eupl", "european union", ("1 0", "1 1", "1 2")),
+    ("eupl", "european union public", "european union", ("1 0", "1 1", "1 2")),
+    ("eupl", "eupl", "eupl", ("1 0", "1 1", "1 2")),
     ("artistic", "artistic", "artistic", ("1 0", "2 0")),
     ("boost", "boost software|boost", "boost", ("1 0",)),
     ("zlib", "zlib|zlib libpng", "zlib", ()),
@@ -51,7 +53,8 @@ FAMILIES = [
     ("ms-rl", "microsoft reciprocal", "microsoft reciprocal", ()),
     ("osl", "open software", "open software", ("1 0", "2 0", "2 1", "3 0")),
     ("afl", "academic free", "academic free", ("1 1", "2 0", "2 1", "3 0")),
-    ("odbl", "open database|odbl", "open database", ("1 0",)),
+    ("odbl", "open database", "open database", ("1 0",)),
+    ("odbl", "odbl", "odbl", ("1 0",)),
     ("odc-by", "open data commons attribution", "data commons", ("1 0",)),
     ("pddl", "public domain dedication and", "public domain", ("1 0",)),
     ("ncsa", "university of illinois ncsa open source|ncsa", "ncsa", ()),
@@ -68,7 +71,8 @@ FAMILIES = [
     ("sspl", "server side public", "server side", ("1 0", "1")),
     ("busl", "business source", "business source", ("1 0", "1 1")),
     ("elastic", "elastic", "elastic", ("1 0", "2 0")),
-    ("openrail", "open rail m?|openrail(?: m)?", "openrail", ()),
+    ("openrail", "openrail(?: m)?", "openrail", ()),
+    ("openrail", "open rail(?: m)?", "open rail", ()),
     ("llama", "llama (?:[23] )?community", "llama", ()),
     ("wtfpl", "do what the fuck you want to public", "what the fuck", ("2",)),
     ("unlicense", "the unlicense|unlicense", "unlicense", ()),
