@@ -50,21 +50,34 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return _together(judged.where("predicted = 1"), docs)
 
 
+def _numbered(docs: DataFrame, label: str) -> DataFrame:
+    """The documents with a number per row, as ids may be null or repeated.
+
+    Stored, so that a row has the same number whenever it is read.
+    """
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), label)
+
+
+def _by_number(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("_row").alias("doc_id"), "text")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates."""
-    found = jaccard_components(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    kept = first.distinct().withColumnRenamed("doc_id", "_kept")
-    kept = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    # Rows that share an id: the first by text, as they are one document or copies.
-    return kept.dropDuplicates(["doc_id"]).select(docs.columns)
+    """Keeps the row with the smallest id of each group of near-duplicates."""
+    rows = _numbered(docs, "pipeline-rows")
+    found = jaccard_components(_by_number(rows)).withColumnRenamed("doc_id", "_row")
+    named = found.select("_row", "component_id").join(rows.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row"))
+    kept = named.groupBy("component_id").agg(first.alias("first")).select("first._row")
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
-    leaks = find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
-    leaked = leaks.select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    """Drops rows that hold a passage of the benchmark."""
+    rows = _numbered(docs, "pipeline-rows")
+    leaks = find_leaks(_by_number(rows), read_table(spark, sf_dir, "benchmark"))
+    leaked = leaks.select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(leaked, "_row", "left_anti").select(docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

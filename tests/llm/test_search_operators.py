@@ -487,6 +487,24 @@ def test_pipeline(spark, tmp_path):
     assert final.columns == ["doc_id", "n_tokens", "ids"] and final.count() > 100
 
 
+def test_pipeline_keeps_rows_that_share_an_id(spark, tmp_path):
+    passage = "one two three four five six seven eight nine ten eleven twelve"
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    other = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    rows = [(None, other[0]), (None, other[1]), (None, ""), (7, other[2]), (7, other[3])]
+    rows += [(7, other[0]), (3, other[3]), (9, other[4]), (9, other[4]), (None, other[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.one_of_each(spark, docs, str(tmp_path)).collect()
+    expected = [(None, other[1]), (None, ""), (7, other[2]), (3, other[3])]
+    expected += [(7, other[0]), (9, other[4]), (None, other[5])]
+    assert sorted(map(tuple, kept), key=str) == sorted(expected, key=str)
+    leaked = [*rows, (7, f"x y {passage} z"), (None, passage)]
+    docs = spark.createDataFrame(leaked, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.not_in_benchmark(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted(rows, key=str)
+
+
 def test_pipeline_edges(spark, tmp_path):
     labels = spark.createDataFrame([(4, 1, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
