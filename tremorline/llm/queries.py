@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import scratch_dir
+from .alignment import align_texts, count_links
 from .bpe import decode, encode, share_vocabulary
 from .chat import chat_windows, conversation_digests
 from .decontaminate import find_leaks
@@ -21,6 +22,8 @@ from .url_rules import judge_urls
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +95,16 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksums(read_tokens(spark, path))
 
 
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    aligned = align_texts(docs, BYTE_TOKENIZER, PIECE_TOKENIZER)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    counted = count_links(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    return counted.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 QUERIES = {
     "op1_chat_formatting": chat_formatting,
     "op2_order_minhash": order_minhash,
@@ -103,6 +116,7 @@ QUERIES = {
     "op8_decontamination": decontamination,
     "op9_url_filters": url_filters,
     "op10_token_files": token_files,
+    "op13_token_alignment": token_alignment,
 }
 
 SQL: dict[str, str] = {}
