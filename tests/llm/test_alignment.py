@@ -111,12 +111,13 @@ COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 
 
 def test_slices_and_links():
-    a_ends, b_ends = [2, 3, 7, 9], [1, 3, 5, 6, 9]
-    pieces = alignment.common_slices(a_ends, b_ends)
-    assert pieces == [(0, 2, 0, 2), (2, 4, 2, 5)]
-    assert alignment.slice_links(pieces[0], a_ends, b_ends) == [(0, 0), (0, 1), (1, 1)]
-    assert alignment.slice_links(pieces[1], a_ends, b_ends) == [(2, 2), (2, 3), (2, 4), (3, 4)]
-    assert alignment.common_slices([], []) == []
+    a_ends, b_ends = np.array([2, 3, 7, 9]), np.array([1, 3, 5, 6, 9])
+    common, a_past, b_past = alignment.common_slices(a_ends, b_ends)
+    assert (common.tolist(), a_past.tolist(), b_past.tolist()) == ([3, 9], [2, 4], [2, 5])
+    a, b, _ = alignment.slice_links(a_ends, b_ends)
+    links = list(zip(a.tolist(), b.tolist(), strict=True))
+    assert links == [(0, 0), (0, 1), (1, 1), (2, 2), (2, 3), (2, 4), (3, 4)]
+    assert all(len(x) == 0 for x in alignment.common_slices(a_ends[:0], b_ends[:0]))
 
 
 def _run_of(aligner, texts):

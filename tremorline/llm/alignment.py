@@ -11,7 +11,7 @@ Neither tokenizer looks across a space that follows a visible character: A
 splits there before it merges, and no piece of B has a space after another
 character (checked when it is loaded). So both lists are cut there in any case, and
 the spans between these places are encoded and aligned once for all texts of a
-worker that have them. A text that one of the tokenizers does not give back
+run that have them. A text that one of the tokenizers does not give back
 byte by byte is encoded as a whole, and has no tokens if its bytes still differ.
 
 The count of an id pair is the number of documents of the whole corpus that
@@ -31,6 +31,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator, Sequence
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +44,9 @@ from pyspark.sql import functions as F
 from .bytetext import ranges, runs, span_hashes, text_bytes
 from .frames import stored
 
-# Text of a chunk, and spans that a worker keeps.
+# Text of a chunk, and spans that are encoded in a row.
 CHUNK_BYTES = 8 << 20
-KEPT_SPANS = 1 << 18
-KEPT_BYTES = 64  # longer spans are not kept
+ROW_SPANS = 1024
 
 # Both files are broadcast; larger ones are refused.
 MAX_FILE_BYTES = 64 << 20
@@ -70,31 +71,25 @@ _ALIGNED = (
 )
 
 
-def common_slices(a_ends: Sequence[int], b_ends: Sequence[int]) -> list[tuple[int, int, int, int]]:
-    """First and past-last index in A and in B of each group."""
-    in_a = {end: i for i, end in enumerate(a_ends, 1)}
-    in_b = {end: i for i, end in enumerate(b_ends, 1)}
-    out, a, b = [], 0, 0
-    for end in sorted(in_a.keys() & in_b.keys()):
-        out.append((a, in_a[end], b, in_b[end]))
-        a, b = in_a[end], in_b[end]
-    return out
-
-
-def slice_links(
-    piece: tuple[int, int, int, int], a_ends: Sequence[int], b_ends: Sequence[int]
-) -> list[tuple[int, int]]:
-    """Indexes of the tokens of a group whose byte ranges overlap."""
-    a, a_past, b, b_past = piece
-    if a_past - a == 1 or b_past - b == 1:
-        return [(i, j) for i in range(a, a_past) for j in range(b, b_past)]
-    out = []
-    while a < a_past and b < b_past:
-        out.append((a, b))
-        a_end, b_end = a_ends[a], b_ends[b]
-        a += a_end <= b_end
-        b += b_end <= a_end
-    return out
+def common_slices(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The ends that both have, and the past-last index in A and in B of the slices up to them."""
+    in_a = dict(zip(a_ends.tolist(), range(1, len(a_ends) + 1), strict=True))
+    in_b = dict(zip(b_ends.tolist(), range(1, len(b_ends) + 1), strict=True))
+    common = sorted(in_a.keys() & in_b.keys())
+    return tuple(
+        np.array(x, np.int64)
+        for x in (common, [in_a[end] for end in common], [in_b[end] for end in common])
+    )
+
+
+def slice_links(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Index in A, index in B and end of each link.
+
+    The ends of both lists together cut a slice into stretches; each lies in one
+    token of A and one of B, and no two in the same two.
+    """
+    stretches = np.union1d(a_ends, b_ends)
+    return np.searchsorted(a_ends, stretches), np.searchsorted(b_ends, stretches), stretches
 
 
 def _plain_bytes() -> dict[str, int]:
@@ -104,20 +99,17 @@ def _plain_bytes() -> dict[str, int]:
     return {chr(b): b for b in kept} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-class Aligned:
-    """What is known of a span or text: numbers, linked id pairs, groups as text."""
-
-    __slots__ = ("numbers", "pairs", "groups")
+class Aligned(NamedTuple):
+    """What is known of a list of spans."""
 
-    def __init__(self, numbers: tuple[int, int, int, int], pairs: np.ndarray, groups: str):
-        self.numbers, self.pairs, self.groups = numbers, pairs, groups
-
-
-_NOTHING = Aligned((0, 0, 0, 0), np.zeros(0, np.int64), "")
+    good: np.ndarray  # whether both tokenizers give a span back
+    numbers: np.ndarray  # tokens of A and B, groups and links of each span
+    pairs: np.ndarray  # linked ids, span by span
+    groups: list[str]  # each group ends in a semicolon
 
 
 class Aligner:
-    """Both tokenizers, and the spans that were aligned already."""
+    """Both tokenizers and the bytes of their tokens."""
 
     def __init__(self, a_file: bytes, b_file: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -128,77 +120,107 @@ class Aligner:
         self.a.encode_special_tokens = True
         plain = _plain_bytes()
         names = {i: name for name, i in self.a.get_vocab(with_added_tokens=False).items()}
-        self.a_bytes = {i: bytes(map(plain.__getitem__, name)) for i, name in names.items()}
+        a_bytes = [
+            bytes(map(plain.__getitem__, names.get(i, ""))) for i in range(max(names, default=0) + 1)
+        ]
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_file)
-        self.b_bytes, self.space_starts_pieces = [], True
+        b_bytes, self.space_starts_pieces = [], True
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             if self.b.is_byte(i):
-                self.b_bytes.append(bytes([int(piece[3:5], 16)]))
+                b_bytes.append(bytes([int(piece[3:5], 16)]))
             else:
-                self.b_bytes.append(piece.replace("▁", " ").encode())
-                self.space_starts_pieces &= " " not in self.b_bytes[-1].decode().lstrip(" ")
-        self.space = self.b.piece_to_id("▁")
-        self.kept: dict[int, Aligned | None] = {}
-
-    def align(self, a_ids: Sequence[int], b_ids: Sequence[int], wanted: bytes) -> Aligned | None:
-        """The groups and links of two id lists; None if either is not ``wanted``."""
-        a_parts, b_parts = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        if b"".join(a_parts) != wanted or b"".join(b_parts) != wanted:
-            return None
-        a_ends = np.cumsum([len(p) for p in a_parts]).tolist()
-        b_ends = np.cumsum([len(p) for p in b_parts]).tolist()
-        pairs, groups = [], []
-        for piece in common_slices(a_ends, b_ends):
-            links = slice_links(piece, a_ends, b_ends)
-            pairs += [a_ids[i] << _ID_BITS | b_ids[j] for i, j in links]
-            a, a_past, b, b_past = piece
-            groups.append(
-                f"{','.join(map(str, a_ids[a:a_past]))}|{','.join(map(str, b_ids[b:b_past]))}"
-            )
-        numbers = (len(a_ids), len(b_ids), len(groups), len(pairs))
-        return Aligned(numbers, np.array(pairs, np.int64), ";".join(groups))
-
-    def whole(self, text: bytes) -> Aligned:
-        """A text by itself, without the space before it."""
-        decoded = text.decode("utf-8", "replace")
-        if not decoded:
-            return _NOTHING
-        a_ids = self.a.encode(" " + decoded, add_special_tokens=False).ids
-        return self.align(a_ids, self.b.encode(decoded), b" " + text) or _NOTHING
-
-    def spans(self, texts: Sequence[bytes]) -> list[Aligned | None]:
-        """Spans that begin with a space; None for those that do not come back as they are."""
-        decoded = [t.decode("utf-8", "replace") for t in texts]
-        out: list[Aligned | None] = []
-        for k in range(0, len(texts), 4096):
-            part = decoded[k : k + 4096]
-            a_lists = self.a.encode_batch_fast(part, add_special_tokens=False)
-            b_lists = self.b.encode([t[1:] for t in part], num_threads=1)
-            for text, a, b in zip(texts[k : k + 4096], a_lists, b_lists, strict=True):
+                b_bytes.append(piece.replace("▁", " ").encode())
+                self.space_starts_pieces &= "▁" not in piece.lstrip("▁")
+        self.bytes = (a_bytes, b_bytes)
+        self.sizes = tuple(np.array([len(x) for x in side], np.int64) for side in self.bytes)
+        # Each id as text: within and at the end of a group's A ids, then its B ids.
+        self.texts = [
+            f"{i}{mark}"
+            for side, marks in zip(self.bytes, (",|", ",;"), strict=True)
+            for mark in marks
+            for i in range(len(side))
+        ]
+        self.space = [self.b.piece_to_id("▁")]
+
+    def distinct(self, texts: Sequence[bytes]) -> Aligned:
+        """Spans that begin with a space, each as if it stood alone.
+
+        Those that end in a visible character are encoded many at a time, in a row:
+        neither tokenizer looks across such an end.
+        """
+        a_parts, b_parts = [], []
+        odd = [k for k, t in enumerate(texts) if not _VISIBLE[t[-1]]]
+        cuts = [0, *(k + d for k in odd for d in (0, 1)), len(texts)]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            step = ROW_SPANS if self.space_starts_pieces else 1
+            for k in range(low, high, step):
+                text = b"".join(texts[k : min(k + step, high)]).decode("utf-8", "replace")
+                a_parts.append(self.a.encode(text, add_special_tokens=False).ids)
                 # A lone space is a space before nothing, for which B has no ids.
-                out.append(self.align(a.ids, [self.space] if text == b" " else b, text))
-        return out
-
-    def known(self, data: bytes, hashes: np.ndarray, starts, ends) -> list[Aligned | None]:
-        """The distinct spans of a run, by hash."""
-        if len(self.kept) > KEPT_SPANS:
-            self.kept.clear()
-        keys, found = hashes.tolist(), {}
-        missing = [i for i, key in enumerate(keys) if key not in self.kept]
-        for i, aligned in zip(
-            missing, self.spans([data[starts[i] : ends[i]] for i in missing]), strict=True
+                b_parts.append(self.space if text == " " else self.b.encode(text[1:]))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a_parts, b_parts))
+        wanted = b"".join(texts)
+        if all(
+            b"".join(map(side.__getitem__, ids.tolist())) == wanted
+            for ids, side in zip((a, b), self.bytes, strict=True)
         ):
-            keep = ends[i] - starts[i] <= KEPT_BYTES
-            (self.kept if keep else found)[keys[i]] = aligned
-        return [found[key] if key in found else self.kept[key] for key in keys]
+            return self.align(a, b, np.ones(len(texts), bool), texts)
+        return self.each(texts)
+
+    def each(self, texts: Sequence[bytes]) -> Aligned:
+        """The same one by one; spans whose bytes do not come back have no ids."""
+        good, a_parts, b_parts = [], [], []
+        for span in texts:
+            text = span.decode("utf-8", "replace")
+            a_ids = self.a.encode(text, add_special_tokens=False).ids
+            b_ids = self.space if text == " " else self.b.encode(text[1:])
+            sides = zip((a_ids, b_ids), self.bytes, strict=True)
+            good.append(all(b"".join([side[i] for i in ids]) == span for ids, side in sides))
+            a_parts.append(a_ids if good[-1] else [])
+            b_parts.append(b_ids if good[-1] else [])
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a_parts, b_parts))
+        return self.align(a, b, np.array(good, bool), texts)
+
+    def align(self, a: np.ndarray, b: np.ndarray, good: np.ndarray, texts) -> Aligned:
+        """The groups and links of each good span, from the ids of all in a row."""
+        a_ends, b_ends = (
+            np.cumsum(size[ids]) for size, ids in zip(self.sizes, (a, b), strict=True)
+        )
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        span_ends = np.cumsum(np.where(good, lengths, 0))
+        common, a_past, b_past = common_slices(a_ends, b_ends)
+        i, j, stretches = slice_links(a_ends, b_ends)
+        pairs = a[i] << _ID_BITS | b[j]
+        past = [
+            np.searchsorted(ends, span_ends, side="right")
+            for ends in (a_ends, b_ends, common, stretches)
+        ]
+        numbers = np.diff(np.stack(past), axis=1, prepend=0).T
+        groups = self._written(a, b, a_past, b_past, past[0] + past[1])
+        return Aligned(good, numbers, pairs, groups)
+
+    def _written(self, a, b, a_past, b_past, span_ends: np.ndarray) -> list[str]:
+        """Groups as text, span by span."""
+        n_a, n_b = len(self.bytes[0]), len(self.bytes[1])
+        a_code, b_code = a.copy(), b + 2 * n_a
+        a_code[a_past - 1] += n_a
+        b_code[b_past - 1] += n_b
+        codes = np.empty(len(a) + len(b), np.int64)
+        # The A ids of a group come after the B ids of those before it.
+        a_sizes, b_sizes = np.diff(a_past, prepend=0), np.diff(b_past, prepend=0)
+        codes[np.arange(len(a)) + np.repeat(b_past - b_sizes, a_sizes)] = a_code
+        codes[np.arange(len(b)) + np.repeat(a_past, b_sizes)] = b_code
+        written = list(map(self.texts.__getitem__, codes.tolist()))
+        ends = span_ends.tolist()
+        return ["".join(written[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 _aligners: list[Aligner] = []
 
 
 def _aligner(files: tuple[bytes, bytes]) -> Aligner:
-    """One per worker process; its tasks share the spans it has aligned."""
+    """One per worker process, as the files take a while to load."""
     if not _aligners or _aligners[0].source != files:
         _aligners[:] = [Aligner(*files)]
     return _aligners[0]
@@ -228,38 +250,38 @@ class _Run:
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(spaced))
         hashes = span_hashes(spaced, starts, ends, _EXACT)
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        found = aligner.known(spaced.tobytes(), distinct, starts[first], ends[first])
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = spaced.tobytes()
+        found = aligner.distinct(
+            [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        )
         span_ends = np.searchsorted(starts, begin)
+        text_of = np.repeat(np.arange(n), np.diff(span_ends))
+
+        # Texts to be taken as a whole have no other spans; empty ones have none at all.
+        alone = np.diff(offsets) == 0
+        odd = np.setdiff1d(text_of[~found.good[which]], np.flatnonzero(alone))
+        alone[odd] = True
+        keep = ~alone[text_of]
+        which, text_of = which[keep], text_of[keep]
+        numbers, pairs, parts = [found.numbers], [found.pairs], found.groups
+        for i in odd.tolist():
+            one = aligner.each([b" " + texts[offsets[i] : offsets[i + 1]]])
+            at = np.searchsorted(text_of, i)
+            which = np.insert(which, at, len(parts))
+            text_of = np.insert(text_of, at, i)
+            numbers.append(one.numbers)
+            pairs.append(one.pairs)
+            parts = parts + one.groups
+        numbers, flat = np.concatenate(numbers), np.concatenate(pairs)
 
-        # Texts to be taken as a whole get a span of their own.
-        odd = np.array([x is None for x in found], bool)
-        alone = np.unique(np.searchsorted(begin, starts[odd[which]], side="right") - 1)
-        alone = np.union1d(alone, np.flatnonzero(np.diff(offsets) == 0))
-        keep = np.ones(len(which), bool)
-        for i in alone.tolist():
-            keep[span_ends[i] : span_ends[i + 1]] = False
-        text_of = np.repeat(np.arange(n), np.diff(span_ends))[keep]
-        which = which[keep]
-        found = [x or _NOTHING for x in found]
-        found += [aligner.whole(texts[offsets[i] : offsets[i + 1]]) for i in alone.tolist()]
-        text_of = np.concatenate([text_of, alone])
-        which = np.concatenate([which, len(distinct) + np.arange(len(alone))])
-        order = np.argsort(text_of, kind="stable")
-        text_of, which = text_of[order], which[order]
-
-        numbers = np.array([x.numbers for x in found], np.int64).reshape(-1, 4)
         totals = np.zeros((len(which) + 1, 4), np.int64)
         np.cumsum(numbers[which], axis=0, out=totals[1:])
         at = np.searchsorted(text_of, np.arange(n + 1))
         self.numbers = totals[at[1:]] - totals[at[:-1]]
-        parts, which_list, at_list = [x.groups for x in found], which.tolist(), at.tolist()
-        self.groups = [
-            ";".join([parts[k] for k in which_list[a:b]])
-            for a, b in zip(at_list[:-1], at_list[1:], strict=True)
-        ]
+        listed, at = list(map(parts.__getitem__, which.tolist())), at.tolist()
+        self.groups = ["".join(listed[a:b])[:-1] for a, b in zip(at[:-1], at[1:], strict=True)]
 
-        flat = np.concatenate([x.pairs for x in found] or [np.zeros(0, np.int64)])
         self.keys, place = np.unique(flat, return_inverse=True)
         sizes = numbers[:, 3]
         links = place[ranges((np.cumsum(sizes) - sizes)[which], sizes[which])]
