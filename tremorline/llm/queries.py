@@ -16,6 +16,7 @@ from .jaccard_join import jaccard_components
 from .language_id import fit_language_model, predict_language
 from .license_scan import scan_licenses
 from .order_minhash import fingerprints
+from .packing import pack_documents, with_checksums
 from .quality import fit_quality_model, score_quality
 from .token_files import checksums, read_tokens, write_tokens
 from .url_rules import judge_urls
@@ -95,6 +96,10 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksums(read_tokens(spark, path))
 
 
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_checksums(pack_documents(read_table(spark, sf_dir, "documents"), WORD_TOKENIZER))
+
+
 def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     aligned = align_texts(docs, BYTE_TOKENIZER, PIECE_TOKENIZER)
@@ -116,6 +121,7 @@ QUERIES = {
     "op8_decontamination": decontamination,
     "op9_url_filters": url_filters,
     "op10_token_files": token_files,
+    "op11_packing": packing,
     "op13_token_alignment": token_alignment,
 }
 
