@@ -12,6 +12,7 @@ from .bpe import decode, encode, share_vocabulary
 from .chat import chat_windows, conversation_digests
 from .decontaminate import find_leaks
 from .frames import id_crc32, read_table
+from .hard_negatives import mine
 from .jaccard_join import jaccard_components
 from .language_id import fit_language_model, predict_language
 from .license_scan import scan_licenses
@@ -100,6 +101,12 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_checksums(pack_documents(read_table(spark, sf_dir, "documents"), WORD_TOKENIZER))
 
 
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read_table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     aligned = align_texts(docs, BYTE_TOKENIZER, PIECE_TOKENIZER)
@@ -122,7 +129,35 @@ QUERIES = {
     "op9_url_filters": url_filters,
     "op10_token_files": token_files,
     "op11_packing": packing,
+    "op12_hard_negatives": hard_negatives,
     "op13_token_alignment": token_alignment,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op12_hard_negatives": """
+        WITH vectors AS (
+            SELECT vec_id,
+                CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scores AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+            FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id
+            WHERE a.vec_id % 100 = 0
+        ), positives AS (
+            SELECT * FROM scores WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT p.anchor_id, p.vec_id AS positive_id,
+            CAST(row_number() OVER (
+                PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id
+            ) AS INTEGER) AS "rank",
+            n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same
+            AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+        QUALIFY "rank" <= 5
+    """,
+}
