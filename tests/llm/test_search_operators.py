@@ -8,11 +8,13 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
+from tremorline.llm.bytetext import text_bytes
 from tremorline.llm import decontaminate, jaccard_join, license_scan, order_minhash
 from tremorline.llm.components import connected_components
 from tremorline.llm.license_rules import STEMS, all_rules
@@ -334,6 +336,66 @@ def test_jaccard_near_copies(spark, monkeypatch, size, block):
     assert found_components(frame(spark, texts).repartition(5)) == expected
 
 
+def passages_in_long_lists(low: int, high: int, seed: int, hosts: int) -> list[str]:
+    """Passages of about so many shingles, alone and with own words up to the limit of
+    similarity; overlapping thirds of each stand in ``hosts`` other documents."""
+    rng = random.Random(seed)
+
+    def words(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    texts = []
+    for _ in range(5):
+        n = rng.randint(low, high)
+        passage = words(n + 4)
+        third = -(-n // 3)
+        texts.append(passage)
+        # 100 * n >= 80 * (n + own)
+        for own in (n // 4, n // 4 - rng.randint(0, n // 20), n // 4 + 1):
+            texts.append(passage + words(own))
+        for at in range(0, n, third):
+            texts += [passage[at : at + third + 4] + words(15) for _ in range(hosts)]
+    rng.shuffle(texts)
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("bounds", [(40, 70), (240, 330), (480, 650), (1900, 2600)])
+def test_jaccard_around_the_steps_of_the_part(spark, monkeypatch, bounds):
+    """Links that stand in long lists alone, between sets compared on parts of other shares."""
+    monkeypatch.setattr(jaccard_join, "LIST_SIZE", 3)
+    docs = list(enumerate(t for seed in range(2) for t in passages_in_long_lists(*bounds, seed, 5)))
+    expected = sorted(brute_components(docs), key=str)
+    assert len({c for _, _, c in expected}) < len(docs)
+    assert found_components(frame(spark, [t for _, t in docs]).repartition(3)) == expected
+
+
+def test_jaccard_partner_that_is_compared_on_a_smaller_part(spark):
+    """A passage whose shingles are all long, and a longer text that finds its own partners:
+    it has few long lists on the part that it asks in, enough on the one it is listed on."""
+    rng = random.Random(4)
+
+    def words(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    passage = words(54)
+    known = set(_shingles(passage))
+    while True:
+        longer = passage + words(12)
+        own = np.array(sorted(set(_shingles(longer)) - known))
+        if (own < jaccard_join._under(62 + 62 // 4 + 1)).sum() >= 8:
+            break
+    texts = [passage, longer]
+    texts += [passage[a:b] + words(15) for a, b in ((0, 22), (18, 40), (32, 54)) for _ in range(40)]
+    found = found_components(frame(spark, [" ".join(t) for t in texts]))
+    assert [c for i, _, c in found if i in (0, 1)] == [0, 0]
+    assert len({c for _, _, c in found}) == len(texts) - 1
+
+
+def _shingles(words):
+    data, offsets = text_bytes(pa.array([" ".join(words)]))
+    return next(jaccard_join.shingle_sets(data, offsets)).tolist()
+
+
 def test_jaccard_edges(spark):
     docs = _pairs(EDGE_TEXTS)
     expected = sorted(brute_components(docs), key=str)

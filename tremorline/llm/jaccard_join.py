@@ -14,7 +14,9 @@ as long as ``L < T``.
 
 For the rest, the sets made of common shingles almost alone, the same search runs over
 whole sets, where ``T`` is 8/9 of a set, so that its rarest ninth has to be
-merged only. These are dealt by size, in blocks of bounded size: each block of
+merged only. A partner that such a set meets in long lists alone is in ``T`` long lists
+of the part that the smaller set asks in, which is no larger than the part that
+the partner is listed on; so the partner's long lists are counted on all of its part. These are dealt by size, in blocks of bounded size: each block of
 queries meets each block of sets.
 
 Nothing is capped: ``LIST_SIZE`` and block sizes decide by which of the two ways a
@@ -59,9 +61,9 @@ BLOOM_BITS = 23
 # same or neighbouring classes of size.
 _SIZE_STEP = 1.3
 
-_SETS = "doc_id long, n int, cls long, used int, n_long int, shingles array<long>"
-_LISTS = "cls long, n int, used int, n_long int, others array<long>, sizes array<int>"
-_FOUND = "x long, y long, n int, n_long int, least int"
+_SETS = "doc_id long, n int, cls long, used int, n_long int, all_long int, shingles array<long>"
+_LISTS = "cls long, n int, used int, n_long int, all_long int, others array<long>, sizes array<int>"
+_FOUND = "x long, y long, n int, n_long int, all_long int, least int"
 
 
 def overlap_needed(a, b):
@@ -137,11 +139,11 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             used.append(asks if new else -1)
         values, times = np.unique(np.concatenate([*parts, np.zeros(0, np.int64)]), return_counts=True)
         long = values[times > LIST_SIZE]
-        n_long = np.zeros(len(parts), int)
+        n_long, all_long = np.zeros((2, len(parts)), int)
         if len(long):
             for i, part in enumerate(parts):
                 common = np.isin(part, long)
-                n_long[i] = common[: max(used[i], 0)].sum()
+                n_long[i], all_long[i] = common[: max(used[i], 0)].sum(), common.sum()
                 parts[i] = part[~common]
         ids = batch.column("doc_id").to_pylist()
         yield pa.RecordBatch.from_arrays(
@@ -151,9 +153,10 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([*classes, 0], pa.int64()),
                 pa.array([*used, 0], pa.int32()),
                 pa.array([*n_long, 0], pa.int32()),
+                pa.array([*all_long, 0], pa.int32()),
                 _lists([*parts, long]),
             ],
-            names=["doc_id", "n", "cls", "used", "n_long", "shingles"],
+            names=["doc_id", "n", "cls", "used", "n_long", "all_long", "shingles"],
         )
 
 
@@ -197,7 +200,7 @@ def _suffixes(rows: np.ndarray, long_shingle: int | None) -> pa.RecordBatch:
     at = np.arange(len(shingle))
     # A set asks in the shingles that sets up to 1.25 times its size surely have, too.
     asks = (n >= 0) & (shingle < _under(n + n // 4 + 1))
-    rows_out = np.flatnonzero(asks & (is_long | (end - at > 1)))
+    rows_out = np.flatnonzero((n >= 0) & is_long | asks & (end - at > 1))
     lengths = np.where(is_long[rows_out], 0, end[rows_out] - rows_out - 1)
     inside = ranges(rows_out + 1, lengths)
     ends = pa.array(np.r_[0, np.cumsum(lengths)], pa.int32())
@@ -206,11 +209,12 @@ def _suffixes(rows: np.ndarray, long_shingle: int | None) -> pa.RecordBatch:
             pa.array(cls[rows_out]),
             pa.array(n[rows_out].astype(np.int32)),
             pa.array(np.zeros(len(rows_out), np.int32)),
+            pa.array((is_long & asks)[rows_out].astype(np.int32)),
             pa.array(is_long[rows_out].astype(np.int32)),
             pa.ListArray.from_arrays(ends, pa.array(cls[inside])),
             pa.ListArray.from_arrays(ends, pa.array(n[inside].astype(np.int32))),
         ],
-        names=["cls", "n", "used", "n_long", "others", "sizes"],
+        names=["cls", "n", "used", "n_long", "all_long", "others", "sizes"],
     )
 
 
@@ -231,16 +235,17 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def finish():
         n, used, n_long = state["n"], state["used"], state["n_long"]
         same_size = used - (n - overlap_needed(n, n))
-        out.append((state["cls"], None, n, n_long, same_size - n_long))
+        out.append((state["cls"], None, n, n_long, state["all_long"], same_size - n_long))
         sizes = state["sizes"]
         for y, met in merge_count(state["lists"], 1):
             m = sizes[y]
             needed = used - (n - overlap_needed(n, m))
             if 100 * n >= 80 * m and met + n_long >= needed:
-                out.append((state["cls"], y, n, 0, 0))
+                out.append((state["cls"], y, n, 0, 0, 0))
 
     for batch in batches:
-        cls, n, used, n_long = (batch.column(c).to_numpy() for c in ("cls", "n", "used", "n_long"))
+        names = ("cls", "n", "used", "n_long", "all_long")
+        cls, n, used, n_long, all_long = (batch.column(c).to_numpy() for c in names)
         others, sizes = batch.column("others"), batch.column("sizes")
         at = others.offsets.to_numpy()
         flat, flat_n = others.values.to_numpy(), sizes.values.to_numpy()
@@ -248,10 +253,12 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if state is None or state["cls"] != cls[i]:
                 if state is not None:
                     finish()
-                state = {"cls": int(cls[i]), "n": 0, "used": 0, "n_long": 0, "lists": [], "sizes": {}}
+                state = {"cls": int(cls[i]), "n": 0, "used": 0, "n_long": 0, "all_long": 0}
+                state |= {"lists": [], "sizes": {}}
             state["n"] = int(n[i])
             state["used"] = max(state["used"], int(used[i]))
             state["n_long"] += int(n_long[i])
+            state["all_long"] += int(all_long[i])
             if at[i + 1] > at[i]:
                 members = flat[at[i] : at[i + 1]].tolist()
                 state["lists"].append(sorted(members))
@@ -264,9 +271,9 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _found_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
     names = [field.split()[0] for field in _FOUND.split(", ")]
-    values = list(zip(*rows, strict=True)) or [()] * 5
+    values = list(zip(*rows, strict=True)) or [()] * 6
     arrays = [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -397,6 +404,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         "n",
         "used",
         "n_long",
+        "all_long",
         F.array().cast("array<long>").alias("others"),
         F.array().cast("array<int>").alias("sizes"),
     )
@@ -413,7 +421,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     fewest = fewest.withColumn("asked", F.explode(F.array("size", F.col("size") + 1)))
     common = about.join(
         F.broadcast(fewest.select(F.col("asked").alias("size"), "fewest")), "size"
-    ).where("n_long >= fewest")
+    ).where("all_long >= fewest")
     whole = common.select(F.col("x").alias("cls"))
     for side in ("x", "y"):
         whole = whole.unionByName(pairs.select(F.col(side).alias("cls")))
