@@ -2,7 +2,13 @@
 
 Each stage takes the documents its predecessor kept, is written as Parquet to
 the shared folder and read again as the next one's input. All but the last
-return the columns of ``documents``. Extra columns stay as they are.
+return the columns of ``documents``.
+
+Edge cases: extra columns stay as they are, whatever their names. Null and empty texts
+have no recognisable language and go in the first stage. Rows with null or
+repeated ids are rows of their own; of repeated rows, as of all near-duplicates, one stays: that
+with the smallest id (null last), any of those with the same. An empty
+table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -55,7 +61,7 @@ def _numbered(docs: DataFrame, label: str) -> DataFrame:
 
     Stored, so that a row has the same number whenever it is read.
     """
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), label)
+    return stored(_apart(docs, "_row").withColumn("_row", F.monotonically_increasing_id()), label)
 
 
 def _by_number(rows: DataFrame) -> DataFrame:
@@ -69,7 +75,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = found.select("_row", "component_id").join(rows.select("_row", "doc_id"), "_row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row"))
     kept = named.groupBy("component_id").agg(first.alias("first")).select("first._row")
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    return _together(rows.join(kept, "_row", "left_semi"), docs)
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +83,7 @@ def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = _numbered(docs, "pipeline-rows")
     leaks = find_leaks(_by_number(rows), read_table(spark, sf_dir, "benchmark"))
     leaked = leaks.select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(leaked, "_row", "left_anti").select(docs.columns)
+    return _together(rows.join(leaked, "_row", "left_anti"), docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
