@@ -578,3 +578,21 @@ def test_pipeline_edges(spark, tmp_path):
             assert stage(spark, docs, str(tmp_path)).columns == docs.columns
         n = docs.count()
         assert corpus_pipeline.token_ids(spark, docs, str(tmp_path)).count() == n
+
+
+@pytest.mark.parametrize("contracted", [1, 7, 1 << 18])
+def test_components_of_random_links(spark, monkeypatch, contracted):
+    from tremorline.llm import components
+
+    monkeypatch.setattr(components, "CONTRACTED", contracted)
+    rng = random.Random(contracted)
+    links = [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(70)]
+    links += [(5, 5), (None, 3), (4, None), (200, 201), (200, 201)]
+    least = {n: n for pair in links if None not in pair and pair[0] != pair[1] for n in pair}
+    for _ in least:
+        for a, b in links:
+            if a in least and b in least:
+                least[a] = least[b] = min(least[a], least[b])
+    table = spark.createDataFrame(links, "a long, b long").repartition(4)
+    found = connected_components(table).collect()
+    assert {r.node: r.root for r in found} == least and len(found) == len(least)

@@ -358,7 +358,7 @@ def _bits(classes: np.ndarray) -> np.ndarray:
 
 
 def _whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``cls``, ``n`` and all ``shingles`` of the given classes, one row each."""
+    """``cls``, ``n`` and all ``shingles`` of the given distinct classes, one row each."""
     shared = docs.sparkSession.sparkContext.broadcast(_bloom(classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +382,7 @@ def _whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
             )
 
     sets = docs.select("text").mapInArrow(run, "cls long, n int, shingles array<long>")
-    return sets.join(classes.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
+    return sets.join(classes, "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def _size_class(n: str):
@@ -425,7 +425,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     whole = common.select(F.col("x").alias("cls"))
     for side in ("x", "y"):
         whole = whole.unionByName(pairs.select(F.col(side).alias("cls")))
-    whole = stored(_whole_sets(docs, whole), "jaccard-whole")
+    whole = stored(_whole_sets(docs, stored(whole.distinct(), "jaccard-wanted")), "jaccard-whole")
 
     links = _probe(pairs, whole).unionByName(_search_blocks(unsafe, common, whole))
     roots = connected_components(links)
