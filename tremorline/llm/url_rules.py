@@ -24,7 +24,6 @@ from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,6 +115,8 @@ def mine_rules(
     sets = labelled.select(
         F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items")
     )
+    from pyspark.ml.fpm import FPGrowth  # with pandas, 40 MB that other drivers can do without
+
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(
         sets
     )
