@@ -15,6 +15,7 @@ from tremorline.operators import enrich, top_groups, top_groups_chained, window_
 from tremorline.schema import RESULT_SCHEMA
 from tremorline.session import ROCKSDB_STATE
 from tremorline.sources import read_feed, stream_feed
+from tremorline.streaming import sinks, versions
 from tremorline.streaming import (
     LateRecorder,
     append_table,
@@ -498,17 +499,98 @@ def test_a_checkpoint_of_another_table_is_refused(spark, tmp_path, deliver):
         run(counts, {"out": b["out"], "checkpoint": a["checkpoint"]}, mode="changelog")
 
 
-def test_compaction_survives_an_interruption(spark, tmp_path, deliver, paths):
-    for i in range(3):
+@pytest.fixture
+def changelog(spark, tmp_path, deliver, paths):
+    """A changelog table of four batches, with or without partitions; its folder and rows."""
+
+    def make(partition_by=()):
+        for i in range(4):
+            place = f"1 km N of A, {'CA' if i % 2 else 'NV'}"
+            rows = [event(i), {**event(i + 50), "place": place}]
+            deliver(tmp_path / "in", f"{i}.csv", rows, age=10 - i)
+        counts = stream_counts(spark, str(tmp_path / "in"), max_files=1)
+        run(counts, paths, mode="changelog", partition_by=partition_by)
+        return paths["out"], as_set(read_changelog(spark, paths["out"]))
+
+    return make
+
+
+PARTITIONS = [(), ("region",), ("window_day", "region")]
+
+
+@pytest.mark.parametrize("partition_by", PARTITIONS)
+def test_compaction_keeps_rows_and_layout(spark, changelog, partition_by):
+    out, before = changelog(partition_by)
+    open_reader = read_changelog(spark, out)
+    for up_to in (1, 1, 2, 3, 3):
+        compact(spark, out, up_to)
+        assert as_set(read_changelog(spark, out)) == before
+        version = versions.current_version(spark, out)
+        assert version.up_to_batch == up_to
+        assert versions.partitioning(spark, out) == list(partition_by)
+        merged = f"{version.path(out)}/batch_id={up_to}"
+        assert sorted({n.split("=")[0] for n in os.listdir(merged) if "=" in n}) == list(partition_by[:1])
+        if up_to == 1:
+            assert as_set(open_reader) == before
+    assert not [n for n in os.listdir(out) if n.startswith("batch_id=") and n <= "batch_id=2"]
+    compact(spark, out, 3, kept_versions=1)
+    assert not [n for n in os.listdir(out) if n.startswith("batch_id=")]
+    assert len(os.listdir(f"{out}/_merged")) == 1
+    assert as_set(read_changelog(spark, out)) == before
+
+
+class Ended(Exception):
+    pass
+
+
+@pytest.mark.parametrize("partition_by", PARTITIONS)
+@pytest.mark.parametrize("step", ["write_parquet", "commit", "rename", "clean", "remove"])
+def test_compaction_that_ends_at_any_step(spark, changelog, monkeypatch, partition_by, step):
+    """Readers see the latest values after it, and the next calls finish."""
+    out, before = changelog(partition_by)
+    compact(spark, out, 0)
+    compact(spark, out, 1)
+    place = sinks if step == "write_parquet" else versions
+    real = getattr(place, step)
+
+    def after_or_before(*args, **options):
+        if step in ("write_parquet", "remove"):  # ends with its work done
+            real(*args, **options)
+        raise Ended
+
+    monkeypatch.setattr(place, step, after_or_before)
+    with pytest.raises(Ended):
+        compact(spark, out, 2)
+        compact(spark, out, 3)
+    assert as_set(read_changelog(spark, out)) == before
+    monkeypatch.setattr(place, step, real)
+    assert as_set(read_changelog(spark, out)) == before
+    for up_to in (2, 3):
+        compact(spark, out, up_to)
+        assert as_set(read_changelog(spark, out)) == before
+    compact(spark, out, 3, kept_versions=1)
+    assert len(os.listdir(f"{out}/_merged")) == 1
+    assert as_set(read_changelog(spark, out)) == before
+
+
+def test_compaction_while_the_query_goes_on(spark, tmp_path, deliver, paths, changelog):
+    """Batches after the merged ones win, also those of a restarted query."""
+    out, _ = changelog(("region",))
+    compact(spark, out, 3)
+    deliver(tmp_path / "in", "later.csv", [event(1), event(2)], age=1)
+    counts = stream_counts(spark, str(tmp_path / "in"), max_files=1)
+    run(counts, paths, mode="changelog", partition_by=("region",))
+    after = as_set(read_changelog(spark, out))
+    assert sum(row[-1] for row in after) == 10
+    compact(spark, out, 4)
+    assert as_set(read_changelog(spark, out)) == after
+
+
+def test_appended_and_empty_tables_are_not_compacted(spark, tmp_path, deliver, paths):
+    for i in range(2):
         deliver(tmp_path / "in", f"{i}.csv", [event(i)], age=10 - i)
     counts = stream_counts(spark, str(tmp_path / "in"), max_files=1)
-    run(counts, paths, mode="changelog")
+    run(counts, paths, mode="changelog", table="append")
     before = as_set(read_changelog(spark, paths["out"]))
-    assert next(iter(before))[-1] == 3
-    compact(spark, paths["out"], 1)
-    assert not (tmp_path / "out" / "batch_id=0").exists()
-    assert as_set(read_changelog(spark, paths["out"])) == before
-    # As if a call had ended after it wrote the merged rows.
-    os.rename(f"{paths['out']}/batch_id=1", f"{paths['out']}/_compact=1")
-    compact(spark, paths["out"], 1)
+    compact(spark, paths["out"], 5)
     assert as_set(read_changelog(spark, paths["out"])) == before

@@ -56,8 +56,8 @@ RECENT_NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
 RESTART_AT = datetime(2024, 1, 16, tzinfo=timezone.utc)
 
 # Files and micro-batches of a replay: fixed sizes, so their number follows the data.
-ROWS_PER_FILE = 2_000
-BATCH_BYTES = 1 << 20
+ROWS_PER_FILE = 10_000
+BATCH_BYTES = 2 << 20
 
 # State partitions of these runs; a cluster's jobs choose their own.
 STATE_PARTITIONS = 8
@@ -174,11 +174,29 @@ def stream_changelog(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def changelog_compacted(spark: SparkSession, data_dir: str) -> DataFrame:
-    """The changelog table after its batches were merged, all but the newest."""
+    """A partitioned changelog table that is compacted while its query runs, and after it.
+
+    The result is read before the last compaction removes what it was read from.
+    """
     base, source = _replay(use_utc(spark), data_dir, "compacted")
-    query = _run(stream_counts(spark, **source), base, mode="changelog")
-    compact(spark, f"{base}/out", max(query.lastProgress.batchId - 1, 0))
-    return read_changelog(spark, f"{base}/out")
+    out, counts = f"{base}/out", stream_counts(spark, **source)
+    query = start_table(
+        counts,
+        out,
+        f"{base}/checkpoint",
+        partition_by=("region",),
+        mode="changelog",
+        until_caught_up=True,
+        state_partitions=STATE_PARTITIONS,
+    )
+    while not query.awaitTermination(1):
+        # The batch that is being written is left alone.
+        compact(spark, out, len(query.recentProgress) - 1)
+    last = query.lastProgress.batchId
+    compact(spark, out, last - 1)
+    read = read_changelog(spark, out)
+    compact(spark, out, last)
+    return read
 
 
 def append_readback(spark: SparkSession, data_dir: str) -> DataFrame:

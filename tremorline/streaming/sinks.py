@@ -14,17 +14,17 @@ from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from ..operators import top_groups
 from ..schema import RESULT_SCHEMA
-from ..storage import exists, list_dir, read_text, remove, rename, write_text
+from ..storage import read_text, write_text
+from . import versions
 
 Writer = Callable[[DataFrame, int, int], None]
 
 ROWS_PER_FILE = 1_000_000
 
-_BATCH = "batch_id"
 _RUN = "_run"
 
 
@@ -96,7 +96,7 @@ def versioned_table(
     """
 
     def write(batch_df: DataFrame, batch_id: int, rows: int) -> None:
-        folder = f"{out}/{_BATCH}={batch_id}"
+        folder = f"{out}/{versions.BATCH}={batch_id}"
         write_parquet(batch_df, folder, rows, partition_by, rows_per_file, mode="overwrite")
 
     write.versioned_out = out
@@ -112,9 +112,7 @@ def top_table(out: str, n: int, key: str = "region", rows_per_file: int = ROWS_P
     table = versioned_table(out, rows_per_file=rows_per_file)
 
     def write(batch_df: DataFrame, batch_id: int, rows: int) -> None:
-        # At most n rows of each window are left; that is what files are sized by.
-        windows = batch_df.agg(F.approx_count_distinct("window_start")).first()[0]
-        table(top_groups(batch_df, n, key), batch_id, min(rows, n * max(windows, 1)))
+        table(top_groups(batch_df, n, key), batch_id, rows)
 
     write.versioned_out = out
     write.whole_windows = True
@@ -171,13 +169,13 @@ def read_changelog(
     scan; add it to the result. Appended tables have no batch numbers; there
     the largest value is taken, which is the latest as counts only grow.
     """
-    return _latest(spark.read.schema(_with_batch(schema)).parquet(out), schema, value)
+    return _latest(versions.read_batches(spark, out, schema), schema, value)
 
 
-def _latest(versions: DataFrame, schema: StructType, value: str) -> DataFrame:
+def _latest(rows: DataFrame, schema: StructType, value: str) -> DataFrame:
     keys = [name for name in schema.fieldNames() if name != value]
-    return versions.groupBy(*keys).agg(
-        F.max_by(value, F.coalesce(_BATCH, value)).alias(value)
+    return rows.groupBy(*keys).agg(
+        F.max_by(value, F.coalesce(versions.BATCH, value)).alias(value)
     )
 
 
@@ -196,7 +194,7 @@ def refuse_foreign_batches(
         if owner is not None:
             foreign = owner != run
         else:
-            foreign = run is None and bool(_batches(spark, out))
+            foreign = run is None and bool(versions.batches(spark, out))
         if foreign:
             raise ValueError(
                 f"{out} holds batches of another run; use its checkpoint or a new folder"
@@ -214,46 +212,33 @@ def claim(spark: SparkSession, writers: Iterable[Writer], run: str) -> None:
             write_text(spark, f"{out}/{_RUN}", run)
 
 
-def _batches(spark: SparkSession, out: str) -> list[int]:
-    names = [entry.name for entry in list_dir(spark, out)]
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{_BATCH}="))
-
-
 def compact(
     spark: SparkSession,
     out: str,
     up_to_batch: int,
     schema: StructType = RESULT_SCHEMA,
     value: str = "count",
-    partition_by: Sequence[str] = (),
+    kept_versions: int = 2,
 ) -> None:
     """Replace the batches of an update-mode table up to one by their latest values.
 
-    The result takes the place of batch ``up_to_batch``, so what later batches
-    changed still wins. Call it for batches that the query has committed. It is
-    first written beside the table; a call that was interrupted is finished by
-    the next one, and older batches are removed last.
+    Call it for batches that the query has committed, one call at a time; the
+    query and readers may go on meanwhile. The result keeps the table's
+    partitioning and becomes part of the table in one step; a call that ends
+    before it changes nothing. What it replaces is removed by the
+    next call, for readers that have begun; ``kept_versions=1`` removes it at once.
     """
-    merged = f"{out}/_compact={up_to_batch}"
-    target = f"{out}/{_BATCH}={up_to_batch}"
-    old = [b for b in _batches(spark, out) if b <= up_to_batch]
-    if not exists(spark, f"{merged}/_SUCCESS") and len(old) > 1:
-        remove(spark, merged)
-        folders = [f"{out}/{_BATCH}={b}" for b in old]
-        versions = spark.read.schema(_with_batch(schema)).option("basePath", out).parquet(*folders)
-        latest = _latest(versions, schema, value)
+    version = versions.current_version(spark, out)
+    done = -1 if version is None else version.up_to_batch
+    merged = [n for n in versions.batches(spark, out, done) if n <= up_to_batch]
+    if len(merged) + (version is not None) > 1:
+        latest = _latest(versions.read_batches(spark, out, schema, up_to_batch), schema, value)
         latest = latest.persist()
+        folder = versions.new_folder()
         try:
-            write_parquet(latest, merged, latest.count(), partition_by)
+            path = versions.merged_path(out, folder, merged[-1])
+            write_parquet(latest, path, latest.count(), versions.partitioning(spark, out))
         finally:
             latest.unpersist()
-    if exists(spark, f"{merged}/_SUCCESS"):
-        remove(spark, target)
-        rename(spark, merged, target)
-    for batch in old:
-        if batch < up_to_batch:
-            remove(spark, f"{out}/{_BATCH}={batch}")
-
-
-def _with_batch(schema: StructType) -> StructType:
-    return StructType([*schema.fields, StructField(_BATCH, LongType(), True)])
+        versions.commit(spark, out, merged[-1], folder)
+    versions.clean(spark, out, kept_versions)
