@@ -41,7 +41,17 @@ def test_prepare_replay_and_stream(spark, tmp_path):
         tmp_path / "checkpoint",
         "--changelog",
         "--until-caught-up",
+        "--max-files",
+        "1",
+        "--partition-by",
+        "region",
+        "--archive",
+        tmp_path / "archive",
     )
-    assert "Batch 0: 4 rows" in printed
-    counts = read_changelog(spark, str(tmp_path / "out")).collect()
-    assert [row["count"] for row in counts] == [15] * 4
+    assert "Batch 0: " in printed
+    for _ in range(2):
+        counts = read_changelog(spark, str(tmp_path / "out")).collect()
+        assert [row["count"] for row in counts] == [15] * 4
+        assert list((tmp_path / "out").glob("batch_id=*/region=A"))
+        _job("compact", tmp_path / "out", "1", "--kept-versions", "1")
+    assert not list((tmp_path / "out").glob("batch_id=[01]"))

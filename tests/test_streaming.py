@@ -376,14 +376,14 @@ def test_standard_job(spark, day, paths, tmp_path):
         day,
         paths["out"],
         paths["checkpoint"],
-        console_checkpoint=str(tmp_path / "console"),
         console_out=out,
         until_caught_up=True,
         state_partitions=3,
         max_files=2,
     )
-    assert len(queries) == 2 and queries[0].id != queries[1].id
+    assert len(queries) == 2 and queries[0] is queries[1]
     wait_for_all(queries)
+    assert sum(p["numInputRows"] for p in queries[0].recentProgress) == read_feed(spark, day).count()
     assert not any(query.isActive for query in queries)
     assert "Batch 0: " in out.getvalue()
     assert as_set(read_final(spark, paths["out"])) == as_set(closed(batch_counts(spark, day), MARK))
@@ -393,6 +393,48 @@ def test_standard_job(spark, day, paths, tmp_path):
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
 
 
+@pytest.mark.parametrize("options", [{}, {"length": "1 hour", "slide": "20 minutes"}])
+def test_closed_windows_from_changes(spark, day, paths, tmp_path, options):
+    """The same batches as a query in final mode writes, through restarts and a repeated batch."""
+    own = {k: f"{v}-final" for k, v in paths.items()}
+    broken = [True]
+
+    def fail_once(frame, batch):
+        if batch == 2 and broken:
+            broken.clear()
+            raise RuntimeError("writer broke")
+
+    def changes():
+        counts = stream_counts(spark, day, max_files=1, **options)
+        closing = sinks.ClosedWindows(versioned_table(paths["out"]), paths["out"])
+        writers = (closing, callback(fail_once), versioned_table(str(tmp_path / "changes")))
+        query = start(counts, *writers, mode="changelog", until_caught_up=True,
+                      checkpoint=paths["checkpoint"], state_partitions=2)
+        wait_for_all([query])
+
+    with pytest.raises(StreamingQueryException):
+        changes()
+    changes()
+    run(stream_counts(spark, day, max_files=1, **options), own)
+    assert as_set(read_final(spark, paths["out"])) == as_set(read_final(spark, own["out"]))
+
+    def rows_of(out):
+        folders = glob.glob(f"{out}/batch_id=*")
+        found = {f.split("=")[-1]: as_set(spark.read.schema(RESULT_SCHEMA).parquet(f)) for f in folders}
+        return {batch: rows for batch, rows in found.items() if rows}
+
+    assert rows_of(paths["out"]) == rows_of(own["out"])
+    everything = window_counts(enrich(read_feed(spark, day)), **options)
+    assert as_set(read_changelog(spark, str(tmp_path / "changes"))) == as_set(everything)
+    assert len(os.listdir(f"{paths['out']}/_open")) <= 2
+
+
+def test_closed_windows_need_changes(spark, day, paths):
+    closing = sinks.ClosedWindows(versioned_table(paths["out"]), paths["out"])
+    with pytest.raises(ValueError, match="changelog"):
+        start(stream_counts(spark, day), closing, checkpoint=paths["checkpoint"])
+
+
 def test_standard_job_appending_changes(spark, day, paths):
     queries = build_stream(
         spark,

@@ -3,6 +3,7 @@
     python -m tremorline prepare RAW STAGING [--max-records N] [--last-days N]
     python -m tremorline replay RAW LANDING [--max-records N]
     python -m tremorline stream LANDING OUT CHECKPOINT [--changelog] [--every DURATION]
+    python -m tremorline compact OUT UP_TO_BATCH
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import argparse
 from .plans import prepare_microfiles, prepare_replay
 from .session import ROCKSDB_STATE, open_session
 from .sources import MAX_RECORDS, read_raw
-from .streaming import build_stream, wait_for_all
+from .streaming import build_stream, compact, wait_for_all
 
 
 def _prepare(spark, args):
@@ -32,7 +33,9 @@ def _stream(spark, args):
         mode="changelog" if args.changelog else "final",
         every=args.every,
         until_caught_up=args.until_caught_up,
-        console_checkpoint=args.console_checkpoint,
+        table="append" if args.append else "versioned",
+        partition_by=args.partition_by,
+        archive=args.archive,
         max_files=args.max_files,
         max_bytes=args.max_bytes,
         state_partitions=args.state_partitions,
@@ -40,6 +43,10 @@ def _stream(spark, args):
     wait_for_all(queries)
 
 
+def _compact(spark, args):
+    compact(spark, args.out, int(args.up_to_batch), kept_versions=args.kept_versions)
+
+
 def _arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="tremorline")
     jobs = parser.add_subparsers(required=True)
@@ -62,11 +69,16 @@ def _arguments() -> argparse.ArgumentParser:
     stream.add_argument("--changelog", action="store_true", help="keep changes, not closed windows")
     stream.add_argument("--every", help='time between batches, such as "1 minute"')
     stream.add_argument("--until-caught-up", action="store_true")
-    stream.add_argument("--console-checkpoint", help="default: CHECKPOINT-console")
+    stream.add_argument("--append", action="store_true", help="append plainly, not by batch")
+    stream.add_argument("--partition-by", nargs="*", default=[], metavar="COLUMN")
+    stream.add_argument("--archive", help="folder outside LANDING for files that are done")
     stream.add_argument("--max-files", type=int, help="files of a batch")
     stream.add_argument("--max-bytes", type=int, help="bytes of a batch, if not by files")
     stream.add_argument("--state-partitions", type=int, help="fixed by the first start")
     stream.add_argument("--rocksdb", action="store_true", help="keep the state in RocksDB")
+
+    merge = job(_compact, "merge batches of a changelog table", "out", "up_to_batch")
+    merge.add_argument("--kept-versions", type=int, default=2)
     return parser
 
 

@@ -243,13 +243,12 @@ def topn_regions_chained(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def console_and_table(spark: SparkSession, data_dir: str) -> DataFrame:
-    """The standard job: two queries over one landing folder."""
+    """The standard job: changes to the console, closed windows to a table, from one query."""
     base, source = _replay(use_utc(spark), data_dir, "job")
     queries = build_stream(
         spark,
         out=f"{base}/out",
         checkpoint=f"{base}/checkpoint",
-        console_checkpoint=f"{base}/console",
         console_out=sys.stderr,
         until_caught_up=True,
         state_partitions=STATE_PARTITIONS,

@@ -11,9 +11,10 @@ from .job import (
 )
 from .late import LateRecorder, late_report
 from .sinks import (
-    compact,
+    ClosedWindows,
     append_table,
     callback,
+    compact,
     console,
     each_batch,
     read_changelog,
@@ -24,11 +25,12 @@ from .sinks import (
 )
 
 __all__ = [
-    "compact",
+    "ClosedWindows",
     "LateRecorder",
     "append_table",
     "build_stream",
     "callback",
+    "compact",
     "console",
     "each_batch",
     "late_report",

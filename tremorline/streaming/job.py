@@ -63,6 +63,11 @@ def start(
     checkpoint = checkpoint or scratch_dir(spark, "checkpoint")
     if mode != "final" and any(getattr(w, "whole_windows", False) for w in writers):
         raise ValueError('top tables need whole windows: use mode="final"')
+    for writer in writers:
+        if isinstance(writer, sinks.ClosedWindows):
+            if mode != "changelog":
+                raise ValueError('closed windows are taken from changes: use mode="changelog"')
+            writer.checkpoint = checkpoint
     sinks.refuse_foreign_batches(spark, writers, checkpoint)
     for folder in sinks.versioned_folders(writers):
         make_dir(spark, folder)
@@ -114,7 +119,6 @@ def build_stream(
     landing: str,
     out: str,
     checkpoint: str,
-    console_checkpoint: str | None = None,
     table: str = "versioned",
     mode: str = "final",
     partition_by: Sequence[str] = (),
@@ -126,34 +130,27 @@ def build_stream(
 ) -> list[StreamingQuery]:
     """Start the standard job; returns ``[console query, table query]``.
 
-    The console shows changes. With ``mode="changelog"`` the table keeps them,
-    too: then one query feeds both and is returned twice. Closed windows are
-    another output mode, so there each output is a query of its own that reads and
-    counts by itself; the console's checkpoint is by default a folder beside the
-    table's, so that it goes on after a restart as well. ``counts`` as in
+    The console shows changes. The table keeps them, too, with
+    ``mode="changelog"``, or with ``mode="final"`` each window once it has closed. Either way one
+    query reads and counts for both and is returned twice. ``counts`` as in
     ``stream_counts``.
     """
     results = stream_counts(spark, landing, **counts)
-    console_checkpoint = console_checkpoint or f"{checkpoint.rstrip('/')}-console"
-    common = {
-        "until_caught_up": until_caught_up,
-        "every": every,
-        "state_partitions": state_partitions,
-    }
-    if MODES[mode] == "update":
-        shown = sinks.console(out=console_out)
-        options = {"table": table, "partition_by": partition_by, "mode": mode, **common}
-        both = start_table(results, out, checkpoint, shown, **options)
-        return [both, both]
-    console = start_console(results, out=console_out, checkpoint=console_checkpoint, **common)
-    try:
-        parquet = start_table(
-            results, out, checkpoint, table=table, partition_by=partition_by, mode=mode, **common
-        )
-    except BaseException:
-        console.stop()
-        raise
-    return [console, parquet]
+    writer = TABLES[table](out, partition_by)
+    if MODES[mode] == "append":
+        writer = sinks.ClosedWindows(writer, out)
+    make_dir(spark, out)
+    both = start(
+        results,
+        sinks.console(out=console_out),
+        writer,
+        checkpoint=checkpoint,
+        mode="changelog",
+        until_caught_up=until_caught_up,
+        every=every,
+        state_partitions=state_partitions,
+    )
+    return [both, both]
 
 
 def wait_for_all(queries: Sequence[StreamingQuery], poll_seconds: float = 0.5) -> None:

@@ -1,7 +1,7 @@
 """What happens to the output of each micro-batch.
 
 A writer is called as ``writer(batch_df, batch_id, rows)`` with the number of
-rows, which is never 0. ``each_batch`` runs any number of them on one result,
+rows, which is never 0 unless it ``takes_empty`` batches. ``each_batch`` runs any number of them on one result,
 so several outputs cost one scan and one aggregation.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from ..operators import top_groups
 from ..schema import RESULT_SCHEMA
-from ..storage import read_text, write_text
+from ..storage import exists, read_text, remove, write_text
 from . import versions
 
 Writer = Callable[[DataFrame, int, int], None]
@@ -40,8 +40,8 @@ def each_batch(*writers: Writer) -> Callable[[DataFrame, int], None]:
         batch_df.persist()
         try:
             rows = batch_df.count()
-            if rows:
-                for write in writers:
+            for write in writers:
+                if rows or getattr(write, "takes_empty", False):
                     write(batch_df, batch_id, rows)
         finally:
             batch_df.unpersist()
@@ -119,6 +119,57 @@ def top_table(out: str, n: int, key: str = "region", rows_per_file: int = ROWS_P
     return write
 
 
+class ClosedWindows:
+    """Hands the windows that close in a batch of changes to another writer, each window once.
+
+    For queries in changelog mode, which so serve both kinds of output with one
+    scan and one state. The counts of windows that are still open lie in
+    ``out/_open``, a folder per batch, which is written from that of the batch
+    before and the batch's changes; a repeated batch writes the same again. A
+    window is closed when the watermark that Spark noted for the batch has passed its end: the
+    batch's own changes still count, later ones Spark drops.
+    """
+
+    takes_empty = True  # a batch without changes can close windows, too
+
+    def __init__(self, writer: Writer, out: str, value: str = "count") -> None:
+        self._writer, self._out, self._value = writer, out, value
+        self.versioned_out = getattr(writer, "versioned_out", None)
+        self.checkpoint: str | None = None  # set when the query starts
+
+    def __call__(self, batch_df: DataFrame, batch_id: int, rows: int) -> None:
+        spark = batch_df.sparkSession
+        watermark = self._watermark_ms(spark, batch_id)
+        kept = f"{self._out}/_open/{versions.BATCH}="
+        latest = batch_df
+        if exists(spark, f"{kept}{batch_id - 1}"):
+            before = spark.read.schema(batch_df.schema).parquet(f"{kept}{batch_id - 1}")
+            keys = [c for c in batch_df.columns if c != self._value]
+            # Counts only grow, so the larger one is the later.
+            latest = before.unionByName(batch_df).groupBy(*keys).agg(
+                F.max(self._value).alias(self._value)
+            )
+            latest = latest.select(*batch_df.columns)
+        closed = F.unix_millis("window_end") <= F.lit(watermark)
+        latest = latest.persist()
+        try:
+            counted = {r[0]: r[1] for r in latest.groupBy(closed.alias("closed")).count().collect()}
+            if counted.get(True):
+                self._writer(latest.where(closed), batch_id, counted[True])
+            write_parquet(latest.where(~closed), f"{kept}{batch_id}", counted.get(False, 0))
+        finally:
+            latest.unpersist()
+        # The one before is needed again if this batch is repeated.
+        remove(spark, f"{kept}{batch_id - 2}")
+
+    def _watermark_ms(self, spark: SparkSession, batch_id: int) -> int:
+        """From the query's log of batches, which has an entry before the batch runs."""
+        lines = (read_text(spark, f"{self.checkpoint}/offsets/{batch_id}") or "").splitlines()
+        if len(lines) < 2:
+            raise ValueError(f"no entry for batch {batch_id} in {self.checkpoint}")
+        return json.loads(lines[1])["batchWatermarkMs"]
+
+
 def write_parquet(
     results: DataFrame,
     path: str,
