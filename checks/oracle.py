@@ -258,6 +258,7 @@ WHERE (SELECT mark FROM last_mark) > (SELECT mark FROM first_mark)""",
 }
 
 SQL |= {
+    "replay_order": f"WITH {_FEED} SELECT id, TRUE AS in_order FROM feed",
     "changelog_compacted": SQL["stream_changelog"],
     "append_readback": SQL["stream_final"],
     "window_day_readback": SQL["stream_final"],

@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tremorline.functions import event_time
-from tremorline.plans import prepare, prepare_microfiles, prepare_replay
+from tremorline.plans import deliver_ranges, prepare, prepare_microfiles, prepare_replay
 from tremorline.schema import FEED_COLUMNS, FEED_SCHEMA
 from tremorline.sources import feed_columns, read_feed, read_raw, write_microfiles
 from tremorline.storage import scratch_dir
@@ -112,28 +112,61 @@ def test_prepare_keeps_recent_days_of_both_time_forms(spark, feed, tmp_path):
 
 
 def _replayed(spark, path):
-    """Rows of the files in order of modification time, as (position, row)."""
-    files = sorted(glob.glob(f"{path}/*.csv"), key=lambda name: os.stat(name).st_mtime_ns)
-    for position, name in enumerate(files):
-        times = read_feed(spark, name).select("id", event_time(F.col("time")).alias("ts"))
-        yield position, times.collect()
+    """Rows of the ranges in order, file by file."""
+    for folder in sorted(glob.glob(f"{path}/range=*"), key=lambda name: int(name.split("=")[1])):
+        for name in sorted(glob.glob(f"{folder}/*.csv"), key=lambda name: name.split("-c")[-1]):
+            yield folder, read_feed(spark, name).select(
+                "id", event_time(F.col("time")).alias("ts")
+            ).collect()
 
 
 @pytest.mark.parametrize("partitions", [None, 5])
-def test_replay_files_follow_event_time(spark, feed, tmp_path, partitions):
+def test_replay_ranges_follow_event_time(spark, feed, tmp_path, partitions):
     rows = [{"id": str(i), "time": str((i * 7919) % 1000 * 1000)} for i in range(1000)]
     rows += [{"id": f"none {i}", "time": "?"} for i in range(20)]
     frame = feed(*rows).repartition(6)
-    count = prepare_replay(frame, str(tmp_path), 100, partitions)
+    count = prepare_replay(frame, str(tmp_path), 100, partitions, range_records=300)
     replayed = list(_replayed(spark, tmp_path))
-    assert len(replayed) == count >= 11
+    assert len({folder for folder, _ in replayed}) == count == (partitions or 4)
+    assert max(len(rows) for _, rows in replayed) <= 100
     flat = [row for _, file_rows in replayed for row in file_rows]
     assert sorted(row["id"] for row in flat) == sorted(row["id"] for row in rows)
     times = [row["ts"] for row in flat]
     known = [t for t in times if t is not None]
     assert times[:20] == [None] * 20 and known == sorted(known)
-    stamps = [os.stat(name).st_mtime_ns for name in glob.glob(f"{tmp_path}/*.csv")]
-    assert len(set(stamps)) == count
+
+
+def test_ranges_are_delivered_in_order(spark, feed, tmp_path, monkeypatch):
+    """One call a range; one that ended early is finished; file times do not matter."""
+    rows = feed(*[{"id": str(i), "time": str(i * 1000)} for i in range(100)])
+    prepared, landing = str(tmp_path / "prepared"), str(tmp_path / "landing")
+    assert prepare_replay(rows, prepared, 5, 4) == 4
+    real, calls = prepare.rename, []
+
+    def third_fails(spark, old, new):
+        calls.append(new)
+        if len(calls) == 3:
+            raise OSError
+        real(spark, old, new)
+
+    monkeypatch.setattr(prepare, "rename", third_fails)
+    with pytest.raises(OSError):
+        deliver_ranges(spark, prepared, landing)
+    assert sorted(os.listdir(landing)) == ["000000000", "000000001"]
+    assert deliver_ranges(spark, prepared, landing) == 2 and len(calls) == 5
+    assert sorted(os.listdir(landing)) == [f"{i:09d}" for i in range(4)]
+    last = -1
+    for i in range(4):
+        ids = [int(r.id) for r in read_feed(spark, f"{landing}/{i:09d}").collect()]
+        assert min(ids) == last + 1
+        last = max(ids)
+    assert last == 99
+    assert deliver_ranges(spark, prepared, landing) == 0
+
+
+def test_ranges_are_delivered_when_all_are_prepared(spark, tmp_path):
+    with pytest.raises(ValueError, match="list of ranges"):
+        deliver_ranges(spark, str(tmp_path), str(tmp_path / "landing"))
 
 
 @pytest.mark.parametrize("hot", ["1774744598134", None])
@@ -147,7 +180,7 @@ def test_replay_cuts_through_a_hot_time(spark, tmp_path, hot):
         ]
     )
     prepare_replay(frame, str(tmp_path), 1_000_000, partitions=8)
-    sizes = list(_lines(tmp_path).values())
+    sizes = [n for i in range(8) for n in _lines(tmp_path / f"range={i}").values()]
     assert sum(sizes) == 20_000
     assert len(sizes) == 8 and max(sizes) < 2 * 20_000 / 8
 
@@ -171,16 +204,10 @@ def test_replay_stores_a_feed_without_fixed_order_first(spark, feed, tmp_path, m
     assert _rows(read_feed(spark, str(tmp_path / "b")).select("id")) == _rows(read.select("id"))
 
 
-def test_replay_needs_times_that_are_kept(feed, tmp_path, monkeypatch):
-    monkeypatch.setattr(prepare, "set_modified", lambda *args: None)
-    with pytest.raises(OSError, match="modification times"):
-        prepare_replay(feed({"id": "1", "time": "0"}), str(tmp_path))
-
-
 def test_replay_of_nothing(spark, feed, tmp_path):
     nothing = feed({"id": "1"}).where("id = '2'")
-    prepare_replay(nothing, str(tmp_path))
-    assert read_feed(spark, str(tmp_path)).count() == 0
+    assert prepare_replay(nothing, str(tmp_path)) == 0
+    assert deliver_ranges(spark, str(tmp_path), str(tmp_path / "landing")) == 0
 
 
 def test_scratch_without_a_shared_folder_is_local_only(monkeypatch):

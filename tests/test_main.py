@@ -33,10 +33,12 @@ def test_prepare_replay_and_stream(spark, tmp_path):
     _job("prepare", raw, tmp_path / "staging", "--max-records", 25)
     assert read_feed(spark, str(tmp_path / "staging")).count() == 60
     assert len(list((tmp_path / "staging").glob("*.csv"))) == 3
-    _job("replay", raw, tmp_path / "landing", "--max-records", 25)
+    landing = tmp_path / "landing"
+    _job("replay", raw, tmp_path / "ranges", landing, "--max-records", 25, "--range-records", 30)
+    assert [p.name for p in sorted(landing.iterdir())] == ["000000000", "000000001"]
     printed = _job(
         "stream",
-        tmp_path / "landing",
+        landing / "*",
         tmp_path / "out",
         tmp_path / "checkpoint",
         "--changelog",

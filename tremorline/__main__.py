@@ -1,7 +1,7 @@
 """Jobs from the command line.
 
     python -m tremorline prepare RAW STAGING [--max-records N] [--last-days N]
-    python -m tremorline replay RAW LANDING [--max-records N]
+    python -m tremorline replay RAW STAGING LANDING [--max-records N] [--pause SECONDS]
     python -m tremorline stream LANDING OUT CHECKPOINT [--changelog] [--every DURATION]
     python -m tremorline compact OUT UP_TO_BATCH
 """
@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import argparse
 
-from .plans import prepare_microfiles, prepare_replay
+from .plans import deliver_ranges, prepare_microfiles, prepare_replay
+from .plans.prepare import RANGE_RECORDS
 from .session import ROCKSDB_STATE, open_session
 from .sources import MAX_RECORDS, read_raw
 from .streaming import build_stream, compact, wait_for_all
@@ -21,7 +22,11 @@ def _prepare(spark, args):
 
 
 def _replay(spark, args):
-    prepare_replay(read_raw(spark, args.raw), args.landing, args.max_records, fixed_order=True)
+    raw = read_raw(spark, args.raw)
+    prepare_replay(
+        raw, args.staging, args.max_records, fixed_order=True, range_records=args.range_records
+    )
+    deliver_ranges(spark, args.staging, args.landing, pause=args.pause)
 
 
 def _stream(spark, args):
@@ -62,8 +67,10 @@ def _arguments() -> argparse.ArgumentParser:
     prepare.add_argument("--max-records", type=int, default=MAX_RECORDS)
     prepare.add_argument("--last-days", type=float, default=0)
 
-    replay = job(_replay, "lay raw files out in event-time order", "raw", "landing")
+    replay = job(_replay, "deliver raw files by range of event time", "raw", "staging", "landing")
     replay.add_argument("--max-records", type=int, default=MAX_RECORDS)
+    replay.add_argument("--range-records", type=int, default=RANGE_RECORDS)
+    replay.add_argument("--pause", type=float, default=0, help="seconds after each range")
 
     stream = job(_stream, "count events as they arrive", "landing", "out", "checkpoint")
     stream.add_argument("--changelog", action="store_true", help="keep changes, not closed windows")

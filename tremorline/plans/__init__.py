@@ -1,5 +1,5 @@
 """Batch jobs built from the sources and operators."""
 
-from .prepare import prepare_microfiles, prepare_replay
+from .prepare import deliver_ranges, prepare_microfiles, prepare_replay
 
-__all__ = ["prepare_microfiles", "prepare_replay"]
+__all__ = ["deliver_ranges", "prepare_microfiles", "prepare_replay"]

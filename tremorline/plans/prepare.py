@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-import re
 import time
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import event_time
 from ..operators import keep_recent
 from ..sources import MAX_RECORDS, feed_columns, read_raw, write_microfiles
-from ..storage import list_dir, scratch_dir, set_modified
+from ..storage import list_dir, make_dir, read_text, rename, scratch_dir, write_text
 
-_PART_FILE = re.compile(r"^part-(\d+)-.*-c(\d+)[.]csv([.]\w+)?$")
+# Rows of a range, which a stream takes as one batch.
+RANGE_RECORDS = 1_000_000
+
+_RANGE = "range"
+_MANIFEST = "_ranges"
 
 
 def prepare_microfiles(
@@ -40,17 +44,18 @@ def prepare_replay(
     max_records: int = MAX_RECORDS,
     partitions: int | None = None,
     fixed_order: bool = False,
+    range_records: int = RANGE_RECORDS,
 ) -> int:
-    """Feed rows as files whose age follows event time; returns how many.
+    """Feed rows in folders by range of event time, to be delivered one after the other.
 
-    A stream reads old files first, so it meets the events in time order, in
-    batches of any number of files, and its watermark drops none. Rows without
-    a readable time come first.
+    ``out/range=<n>`` holds the files of a range, in time order; a list of the folders
+    is written last. ``deliver_ranges`` hands them to a stream. Rows
+    without a readable time come first. Returns how many ranges there are.
 
     The rows are sorted in ranges. A row number breaks ties, so the ranges can
     cut through a time that very many rows share, or through the rows without
-    one. ``partitions`` fixes the number of ranges; otherwise it is Spark's
-    shuffle setting, and adaptive execution merges small neighbours.
+    one. ``partitions`` fixes the number of ranges; otherwise they have about ``range_records``
+    rows each.
 
     The row numbers must come out the same when a lost task is repeated, so the
     feed is first written to the shared folder. ``fixed_order`` says that its
@@ -60,41 +65,59 @@ def prepare_replay(
     spark = feed.sparkSession
     order = ("_event_ts", "_tie")
     rows = feed_columns(feed)
-    keyed = (rows if fixed_order else _stored(rows)).withColumns(
+    rows = rows if fixed_order else _stored(rows)
+    if partitions is None:
+        partitions = max(1, -(-rows.count() // range_records))
+    keyed = rows.withColumns(
         {"_event_ts": event_time(F.col("time")), "_tie": F.monotonically_increasing_id()}
     )
-    ranges = (
-        keyed.repartitionByRange(*order)
-        if partitions is None
-        else keyed.repartitionByRange(partitions, *order)
-    )
-    write_microfiles(ranges.sortWithinPartitions(*order).drop(*order), out, max_records)
-    return _age_by_position(spark, out)
+    ranges = keyed.repartitionByRange(partitions, *order)
+    # The folder comes first in the order, so that the writer need not sort again.
+    ranges = ranges.withColumn(_RANGE, F.spark_partition_id()).sortWithinPartitions(_RANGE, *order)
+    write_microfiles(ranges.drop(*order), out, max_records, partition_by=(_RANGE,))
+    names = [entry.name for entry in list_dir(spark, out) if entry.name.startswith(f"{_RANGE}=")]
+    names.sort(key=_number)
+    write_text(spark, f"{out}/{_MANIFEST}", "".join(f"{name}\n" for name in names))
+    return len(names)
+
+
+def deliver_ranges(
+    spark: SparkSession,
+    prepared: str,
+    landing: str,
+    queries: Sequence[StreamingQuery] = (),
+    pause: float = 0,
+) -> int:
+    """Move prepared ranges to ``landing`` in order; returns how many were moved.
+
+    A range is one folder and one call, whatever the number of its files. Before the next one,
+    ``queries``, which read ``landing/*``, have taken it, so their batches are in
+    time order and their watermarks drop none; no file times are needed. ``pause``
+    is the number of seconds after each range. A call that ended early is
+    finished by the next one.
+    """
+    text = read_text(spark, f"{prepared}/{_MANIFEST}")
+    if text is None:
+        raise ValueError(f"{prepared} has no list of ranges; prepare_replay writes it last")
+    make_dir(spark, landing)
+    there = {entry.name for entry in list_dir(spark, prepared)}
+    moved = 0
+    for name in text.split():
+        if name in there:
+            rename(spark, f"{prepared}/{name}", f"{landing}/{_number(name):09d}")
+            moved += 1
+            time.sleep(pause)
+        # Also for one that an earlier call moved last.
+        for query in queries:
+            query.processAllAvailable()
+    return moved
+
+
+def _number(name: str) -> int:
+    return int(name.split("=")[1])
 
 
 def _stored(feed: DataFrame) -> DataFrame:
     stored = f"{scratch_dir(feed.sparkSession, 'feed')}/rows"
     feed.write.parquet(stored)
     return feed.sparkSession.read.parquet(stored)
-
-
-def _age_by_position(spark: SparkSession, out: str) -> int:
-    """Set modification times in the order of task and file number.
-
-    Steps of one millisecond: a stream forgets files that are more than
-    ``maxFileAge`` (a week) older than its newest, whatever their number.
-    """
-    files = []
-    for entry in list_dir(spark, out):
-        part = _PART_FILE.match(entry.name)
-        if part:
-            files.append((int(part[1]), int(part[2]), entry.path))
-    files.sort()
-    first = int(time.time() * 1000) - len(files)
-    with ThreadPoolExecutor(max_workers=16) as calls:
-        ages = enumerate(path for _, _, path in files)
-        list(calls.map(lambda age: set_modified(spark, age[1], first + age[0]), ages))
-    kept = {entry.path: entry.modified_ms for entry in list_dir(spark, out)}
-    if any(kept[path] != first + position for position, (_, _, path) in enumerate(files)):
-        raise OSError(f"the file system of {out} does not keep modification times")
-    return len(files)

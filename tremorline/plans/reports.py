@@ -8,10 +8,11 @@ and return what a reader of its output table sees.
 from __future__ import annotations
 
 import sys
+import threading
 import time
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -29,8 +30,8 @@ from ..operators import (
 )
 from ..schema import FEED_COLUMNS, RESULT_SCHEMA
 from ..session import use_utc
-from ..sources import feed_from_events, read_events, read_feed
-from ..storage import list_dir, scratch_dir, set_modified
+from ..sources import feed_columns, feed_from_events, read_events, read_feed, write_microfiles
+from ..storage import exists, list_dir, scratch_dir, set_modified
 from ..streaming import (
     LateRecorder,
     build_stream,
@@ -44,7 +45,7 @@ from ..streaming import (
     top_table,
     wait_for_all,
 )
-from .prepare import prepare_microfiles, prepare_replay
+from .prepare import deliver_ranges, prepare_microfiles, prepare_replay
 
 TOP_N = 3
 SLIDING = {"length": "30 minutes", "slide": "10 minutes"}
@@ -55,9 +56,9 @@ RECENT_NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
 # Events up to here are there when the restarted stream runs first.
 RESTART_AT = datetime(2024, 1, 16, tzinfo=timezone.utc)
 
-# Files and micro-batches of a replay: fixed sizes, so their number follows the data.
+# Files and ranges of a replay: fixed sizes, so their number follows the data.
 ROWS_PER_FILE = 10_000
-BATCH_BYTES = 2 << 20
+ROWS_PER_RANGE = 25_000
 
 # State partitions of these runs; a cluster's jobs choose their own.
 STATE_PARTITIONS = 8
@@ -156,8 +157,23 @@ def microfile_roundtrip(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def replay_roundtrip(spark: SparkSession, data_dir: str) -> DataFrame:
-    landing, _ = _replay(use_utc(spark), data_dir, "replay")
-    return read_feed(spark, f"{landing}/all")
+    base, source = _replay(use_utc(spark), data_dir, "replay")
+    deliver_ranges(spark, f"{base}/prepared", f"{base}/all")
+    return read_feed(spark, source["landing"])
+
+
+def replay_order(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Whether each event comes no earlier than all events of the ranges before its own."""
+    base, source = _replay(use_utc(spark), data_dir, "replay-order")
+    deliver_ranges(spark, f"{base}/prepared", f"{base}/all")
+    folder = F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder")
+    events = with_event_time(read_feed(spark, source["landing"]).select("id", "time", folder))
+    spans = events.groupBy("folder").agg(F.max("event_ts").alias("latest"))
+    # A row per range.
+    earlier = Window.orderBy("folder").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("before", F.max("latest").over(earlier))
+    in_order = F.coalesce(F.col("event_ts") >= F.col("before"), F.col("before").isNull())
+    return events.join(spans, "folder").select("id", in_order.alias("in_order"))
 
 
 # Streaming queries --------------------------------------------------------
@@ -186,12 +202,22 @@ def changelog_compacted(spark: SparkSession, data_dir: str) -> DataFrame:
         f"{base}/checkpoint",
         partition_by=("region",),
         mode="changelog",
-        until_caught_up=True,
         state_partitions=STATE_PARTITIONS,
     )
-    while not query.awaitTermination(1):
-        # The batch that is being written is left alone.
-        compact(spark, out, len(query.recentProgress) - 1)
+    done = threading.Event()
+
+    def keep_compact() -> None:
+        while not done.wait(1):
+            # The batch that is being written is left alone.
+            compact(spark, out, len(query.recentProgress) - 2)
+
+    compacting = threading.Thread(target=keep_compact)
+    compacting.start()
+    try:
+        _delivered(spark, base, [query])
+    finally:
+        done.set()
+        compacting.join()
     last = query.lastProgress.batchId
     compact(spark, out, last - 1)
     read = read_changelog(spark, out)
@@ -250,11 +276,10 @@ def console_and_table(spark: SparkSession, data_dir: str) -> DataFrame:
         out=f"{base}/out",
         checkpoint=f"{base}/checkpoint",
         console_out=sys.stderr,
-        until_caught_up=True,
         state_partitions=STATE_PARTITIONS,
         **source,
     )
-    wait_for_all(queries)
+    _delivered(spark, base, queries[:1])
     return read_final(spark, f"{base}/out")
 
 
@@ -272,9 +297,9 @@ def _restarted(spark: SparkSession, data_dir: str, label: str, older_ms: int = 0
     base = scratch_dir(spark, label)
     events = with_event_time(feed_from_events(spark, data_dir))
     early = F.coalesce(F.col("event_ts") < F.lit(RESTART_AT), F.lit(True))
-    prepare_replay(events.where(early), f"{base}/landing/first", fixed_order=True)
+    write_microfiles(feed_columns(events.where(early)), f"{base}/landing/first")
     _run(stream_counts(spark, f"{base}/landing/*"), base)
-    prepare_replay(events.where(~early), f"{base}/landing/second", fixed_order=True)
+    write_microfiles(feed_columns(events.where(~early)), f"{base}/landing/second")
     if older_ms:
         for entry in list_dir(spark, f"{base}/landing/second"):
             set_modified(spark, entry.path, entry.modified_ms - older_ms)
@@ -326,24 +351,41 @@ def _events(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def _replay(spark: SparkSession, data_dir: str, label: str) -> tuple[str, dict]:
-    """Feed files in event-time order, to be read in batches of ``BATCH_BYTES``."""
+    """Feed files by range of event time, and where a stream finds them when they are delivered."""
     base = scratch_dir(spark, label)
     feed = feed_from_events(spark, data_dir)
-    prepare_replay(feed, f"{base}/all", ROWS_PER_FILE, fixed_order=True)
-    return base, {"landing": f"{base}/all", "max_bytes": BATCH_BYTES}
+    prepare_replay(
+        feed, f"{base}/prepared", ROWS_PER_FILE, fixed_order=True, range_records=ROWS_PER_RANGE
+    )
+    return base, {"landing": f"{base}/all/*"}
+
+
+def _delivered(spark: SparkSession, base: str, queries) -> None:
+    """Hand the prepared ranges to running queries and end them."""
+    try:
+        deliver_ranges(spark, f"{base}/prepared", f"{base}/all", queries)
+    finally:
+        for query in queries:
+            query.stop()
 
 
 def _run(results: DataFrame, base: str, *also, **options):
+    """Read what was prepared in ``base`` range by range, or else all that is there at once."""
+    spark = results.sparkSession
+    prepared = exists(spark, f"{base}/prepared")
     query = start_table(
         results,
         f"{base}/out",
         f"{base}/checkpoint",
         *also,
-        until_caught_up=True,
+        until_caught_up=not prepared,
         state_partitions=STATE_PARTITIONS,
         **options,
     )
-    wait_for_all([query])
+    if prepared:
+        _delivered(spark, base, [query])
+    else:
+        wait_for_all([query])
     return query
 
 
@@ -358,7 +400,7 @@ def _late_runs(spark: SparkSession, data_dir: str):
     feed = feed_from_events(spark, data_dir)
     queries = []
     for folder, rows in (("first", f"not ({LATE})"), ("second", LATE)):
-        prepare_replay(feed.where(rows), f"{base}/landing/{folder}", fixed_order=True)
+        write_microfiles(feed_columns(feed.where(rows)), f"{base}/landing/{folder}")
         results = stream_counts(spark, f"{base}/landing/*")
         queries.append(_run(results, base, mode="changelog"))
     return base, queries
@@ -377,6 +419,7 @@ QUERIES = {
     "recent_days": recent_days,
     "microfile_roundtrip": microfile_roundtrip,
     "replay_roundtrip": replay_roundtrip,
+    "replay_order": replay_order,
     "stream_final": stream_final,
     "stream_changelog": stream_changelog,
     "changelog_compacted": changelog_compacted,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -77,10 +79,16 @@ def _feed_options(reader, check_header: bool):
 
 
 def write_microfiles(
-    feed: DataFrame, path: str, max_records: int = MAX_RECORDS, mode: str = "overwrite"
+    feed: DataFrame,
+    path: str,
+    max_records: int = MAX_RECORDS,
+    mode: str = "overwrite",
+    partition_by: Sequence[str] = (),
 ) -> None:
     """CSV files with a header and at most ``max_records`` rows each.
 
+    Columns of ``partition_by`` name folders and are not in the files.
+
     Every task starts a new file when its current one is full, so nothing is
     shuffled. Outer spaces of values are kept. Line breaks inside values become
     spaces, so that a row is a line and large files can be read in pieces.
@@ -96,6 +104,7 @@ def write_microfiles(
     (
         feed.select(*one_line)
         .write.mode(mode)
+        .partitionBy(*partition_by)
         .options(**_CSV)
         .option("header", True)
         .option("maxRecordsPerFile", max_records)
