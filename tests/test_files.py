@@ -114,7 +114,7 @@ def test_prepare_keeps_recent_days_of_both_time_forms(spark, feed, tmp_path):
 def _replayed(spark, path):
     """Rows of the ranges in order, file by file."""
     for folder in sorted(glob.glob(f"{path}/range=*"), key=lambda name: int(name.split("=")[1])):
-        for name in sorted(glob.glob(f"{folder}/*.csv"), key=lambda name: name.split("-c")[-1]):
+        for name in sorted(glob.glob(f"{folder}/*.csv")):
             yield folder, read_feed(spark, name).select(
                 "id", event_time(F.col("time")).alias("ts")
             ).collect()
@@ -180,7 +180,7 @@ def test_replay_cuts_through_a_hot_time(spark, tmp_path, hot):
         ]
     )
     prepare_replay(frame, str(tmp_path), 1_000_000, partitions=8)
-    sizes = [n for i in range(8) for n in _lines(tmp_path / f"range={i}").values()]
+    sizes = [sum(_lines(tmp_path / f"range={i}").values()) for i in range(8)]
     assert sum(sizes) == 20_000
     assert len(sizes) == 8 and max(sizes) < 2 * 20_000 / 8
 

@@ -18,6 +18,9 @@ from ..storage import list_dir, make_dir, read_text, rename, scratch_dir, write_
 # Rows of a range, which a stream takes as one batch.
 RANGE_RECORDS = 1_000_000
 
+# Tasks that write one range, at most.
+MAX_PIECES = 8
+
 _RANGE = "range"
 _MANIFEST = "_ranges"
 
@@ -71,9 +74,12 @@ def prepare_replay(
     keyed = rows.withColumns(
         {"_event_ts": event_time(F.col("time")), "_tie": F.monotonically_increasing_id()}
     )
-    ranges = keyed.repartitionByRange(partitions, *order)
+    # Several tasks write a range that makes several files.
+    pieces = min(MAX_PIECES, -(-range_records // max_records))
+    number = F.floor(F.spark_partition_id() / pieces).cast("int")
+    ranges = keyed.repartitionByRange(partitions * pieces, *order).withColumn(_RANGE, number)
     # The folder comes first in the order, so that the writer need not sort again.
-    ranges = ranges.withColumn(_RANGE, F.spark_partition_id()).sortWithinPartitions(_RANGE, *order)
+    ranges = ranges.sortWithinPartitions(_RANGE, *order)
     write_microfiles(ranges.drop(*order), out, max_records, partition_by=(_RANGE,))
     names = [entry.name for entry in list_dir(spark, out) if entry.name.startswith(f"{_RANGE}=")]
     names.sort(key=_number)
