@@ -362,6 +362,42 @@ def test_url_edges(spark):
     assert {r["verdict"] for r in unlabelled} == {"allow"}
 
 
+@pytest.mark.parametrize("decides", ["segment", "key"])
+def test_url_verdict_by_a_late_part(spark, decides):
+    """The label hangs on the third segment of the path, or on the second key of the query."""
+    urls = []
+    for i in range(400):
+        bad = i % 2
+        third = ("x" if bad else "y") if decides == "segment" else "z"
+        key = ("evil" if bad else "good") if decides == "key" else "k"
+        site = f"h{i % 7}.net" if i >= 300 else f"h{i % 7}.{'bad' if bad else 'fine'}.test"
+        urls.append((i, f"http://{site}/a/{i % 5}b/{third}/{i}?p={i}&{key}=1&q=2#t"))
+    given = [("bad.test", "/", "block"), ("fine.test", "/", "allow")]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    # Names that the operator uses inside, and one with a dot.
+    pages = pages.withColumns({c: F.lit(1) for c in ("_given", "_mined", "_why", "own", "_tokens")})
+    pages = pages.withColumn("a.b", F.lit(2))
+    judged = url_rules.judge_urls(pages, given, min_support=0.02)
+    assert judged.columns == [*pages.columns, "host", "path", "rule", "verdict", "why"]
+    for r in judged.collect():
+        assert r["verdict"] == ("block" if r["page_id"] % 2 else "allow")
+        assert (r["rule"] is None) == (r["page_id"] >= 300)
+
+
+def test_url_with_very_many_parts(spark):
+    """Frequent parts far beyond the number that is mined, of which one tells the label."""
+    urls = []
+    for i in range(200):
+        segments = "/".join(f"s{k}" for k in range(40))
+        end = "bad" if i % 2 else "fine"
+        host = "new.net" if i >= 160 else f"{end}.test"
+        urls.append((i, f"http://{host}/{segments}/{end}?" + "&".join(f"k{k}=1" for k in range(40))))
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    given = [("bad.test", "/", "block"), ("fine.test", "/", "allow")]
+    for r in url_rules.judge_urls(pages, given, min_support=0.02).collect():
+        assert r["verdict"] == ("block" if r["page_id"] % 2 else "allow")
+
+
 def test_given_url_rules(spark):
     """The five rules, written out."""
     fits = {

@@ -6,19 +6,23 @@ confidence and lift, and where no shorter rule is as sure. They are matched
 through an inverted index from token to rules: a rule fires when all its
 tokens were met.
 
-A URL has at most one token of each kind (see ``url_tokens``), so the number of
-token sets per URL is bounded and very long URLs or query strings cost no more
-than others.
+A URL has a token for each segment of its path, by depth, and for each key of its
+query, wherever they stand. Rules are mined from those that are frequent, counted
+over all labelled rows. Of a URL that has more than ``MOST_TOKENS`` of them, those that tell most
+about the label are mined: the sets of tokens grow with the power of their
+number. Mined rules are matched against all tokens of a URL.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, fits
 no rule and gets the method's verdict like any other. Of two given rules of one
 length the first by text wins. Where no mined rule fires, or nothing was labelled,
 the verdict is the more frequent label, ``allow`` if they are equal. Repeated rows
-count as often as they occur.
+count as often as they occur. Other columns stay, but for those named like a
+result.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
@@ -27,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import stored
+
 # Host, path and verdict of the given rules.
 GIVEN_RULES = [
     ("org", "/", "allow"),
@@ -36,6 +42,9 @@ GIVEN_RULES = [
     ("com", "/de/", "block"),
 ]
 
+# Tokens of one URL that rules are mined from.
+MOST_TOKENS = 12
+
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
 
@@ -78,7 +87,7 @@ def given_rule(
 
 
 def url_tokens(url: str, host: Column, path: Column) -> Column:
-    """At most one token per kind; digits are told by number, not by value."""
+    """The distinct tokens of a URL; digits of its path are told by number, not by value."""
 
     def token(kind: str, value: Column) -> Column:
         return F.when(value != "", F.concat(F.lit(kind + ":"), value))
@@ -91,14 +100,40 @@ def url_tokens(url: str, host: Column, path: Column) -> Column:
         token("top", F.element_at(labels, -1)),
         token("site", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")),
         token("sub", F.when(F.size(labels) > 2, F.element_at(labels, 1)).otherwise("")),
-        token("first", F.regexp_replace(F.coalesce(F.get(parts, F.lit(0)), F.lit("")), "[0-9]+", "0")),
-        token("second", F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), "[0-9]+", "0")),
         token("depth", F.least(F.size(parts), F.lit(9)).cast("string")),
         token("end", F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)),
-        token("key", F.regexp_extract(plain, r"\?([^=&#]+)", 1)),
         token("mark", F.when(plain.contains("#"), "yes").otherwise("")),
     )
-    return F.array_distinct(F.array_compact(found))
+    segments = F.transform(
+        parts,
+        lambda part, i: F.concat(
+            F.lit("path"), (i + 1).cast("string"), F.lit(":"), F.regexp_replace(part, "[0-9]+", "0")
+        ),
+    )
+    query = F.split(F.regexp_extract(plain, r"^[^?#]*\?([^#]*)", 1), "[&;]")
+    keys = F.transform(query, lambda pair: token("key", F.regexp_extract(pair, "^[^=]*", 0)))
+    return F.array_distinct(F.array_compact(F.concat(found, segments, keys)))
+
+
+def _telling_sets(labelled: DataFrame, least: int, share: float) -> DataFrame:
+    """``items``: each row's frequent tokens, the most telling, and its verdict.
+
+    A token tells the more, the farther its share of ``allow`` is from that of all
+    rows, in terms of what chance would make of as many rows.
+    """
+    rows = labelled.withColumn("row", F.monotonically_increasing_id())
+    tokens = rows.select("row", F.explode("tokens").alias("token"), "verdict")
+    allowed = F.sum((F.col("verdict") == "allow").cast("long"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n"), allowed.alias("allowed"))
+    telling = F.abs(F.col("allowed") / F.col("n") - share) * F.sqrt("n")
+    counts = counts.where(F.col("n") >= least).select("token", (-telling).alias("minus"))
+    ranked = F.sort_array(F.collect_list(F.struct("minus", "token")))
+    kept = tokens.join(counts, "token").groupBy("row", "verdict").agg(
+        F.slice(ranked, 1, MOST_TOKENS)["token"].alias("tokens")
+    )
+    return kept.select(
+        F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items")
+    )
 
 
 def mine_rules(
@@ -112,14 +147,17 @@ def mine_rules(
     if n == 0:
         return []
     share = {row["verdict"]: row["count"] / n for row in total}
-    sets = labelled.select(
-        F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items")
-    )
+    # Rows without a frequent token are left out of the sets, so support is of those left.
+    least = max(1, math.ceil(min_support * n))
+    sets = stored(_telling_sets(labelled, least, share.get("allow", 0.0)), "url-tokens")
+    left = sets.count()
+    if not left:
+        default = min(share, key=lambda v: (-share[v], v))
+        return [MinedRule((), default, share[default], 1.0)]
     from pyspark.ml.fpm import FPGrowth  # with pandas, 40 MB that other drivers can do without
 
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(
-        sets
-    )
+    support = min(1.0, min_support * n / left)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(sets)
     rules = (
         model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("=")))
         .where(F.col("lift") > 1)
@@ -189,15 +227,23 @@ def judge_urls(
     ``why`` names the tokens of the mined rule that decided; null for a given rule.
     """
     host, path = host_and_path(url)
-    new = ["host", "path", "rule", "verdict", "why", "_tokens"]
-    kept = [c for c in pages.columns if c not in new]
-    split = pages.select(*kept, host.alias("host"), path.alias("path"))
+    new = ["host", "path", "rule", "verdict", "why"]
+    kept = [F.col(f"`{c}`") for c in pages.columns if c not in new]
+    # The caller's columns in one, so that no name can meet one of those used here.
+    split = pages.select(
+        F.struct(*kept, F.lit(0).alias("_")).alias("own"),
+        host.alias("host"),
+        path.alias("path"),
+        F.col(url).alias("url"),
+    )
     name, verdict = given_rule(F.col("host"), F.col("path"), given)
     split = split.select(
-        "*",
+        "own",
+        "host",
+        "path",
         name.alias("rule"),
         verdict.alias("_given"),
-        url_tokens(url, F.col("host"), F.col("path")).alias("_tokens"),
+        url_tokens("url", F.col("host"), F.col("path")).alias("_tokens"),
     )
     labelled = split.where(F.col("_given").isNotNull()).select(
         F.col("_tokens").alias("tokens"), F.col("_given").alias("verdict")
@@ -227,12 +273,10 @@ def judge_urls(
                 names=[*names, "_mined", "_why"],
             )
 
-    schema = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in split.drop("_tokens").schema
-    )
-    judged = split.mapInArrow(run, f"{schema}, _mined string, _why string")
+    schema = split.drop("_tokens").schema.add("_mined", "string").add("_why", "string")
+    judged = split.mapInArrow(run, schema)
     return judged.select(
-        *kept,
+        *(F.col("own").getField(c).alias(c) for c in pages.columns if c not in new),
         "host",
         "path",
         "rule",
