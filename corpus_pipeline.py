@@ -13,6 +13,8 @@ table stays empty through all stages.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,22 @@ from tremorline.llm.queries import BYTE_RANKS
 MIN_LANGUAGE_SCORE = 0.5
 
 
+# Bytes that pass between Spark and a Python worker at a time, unless the session says otherwise.
+# Stages follow each other in the same executors, whose workers hold a batch or two each.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _in_small_batches(stage):
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(_BATCH_SETTING, None) is None:
+            spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def _apart(docs: DataFrame, *taken: str) -> DataFrame:
     """The documents with columns that an operator would replace under other names."""
     return docs.withColumnsRenamed({c: f"_own_{c}" for c in taken if c in docs.columns})
@@ -41,6 +59,7 @@ def _together(judged: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+@_in_small_batches
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no recognisable language."""
     rows = _apart(docs, "lang_pred", "score")
@@ -49,6 +68,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _together(judged.where(kept), docs)
 
 
+@_in_small_batches
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier predicts to be bad."""
     model = fit_quality_model(docs, read_table(spark, sf_dir, "labels"))
@@ -68,6 +88,7 @@ def _by_number(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("_row").alias("doc_id"), "text")
 
 
+@_in_small_batches
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the smallest id of each group of near-duplicates."""
     rows = _numbered(docs, "pipeline-rows")
@@ -78,6 +99,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _together(rows.join(kept, "_row", "left_semi"), docs)
 
 
+@_in_small_batches
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows that hold a passage of the benchmark."""
     rows = _numbered(docs, "pipeline-rows")
@@ -86,6 +108,7 @@ def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _together(rows.join(leaked, "_row", "left_anti"), docs)
 
 
+@_in_small_batches
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids that are trained on."""
     tokens = encode(docs, share_vocabulary(spark, BYTE_RANKS), keep=["doc_id"])
