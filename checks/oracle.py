@@ -258,6 +258,13 @@ WHERE (SELECT mark FROM last_mark) > (SELECT mark FROM first_mark)""",
 }
 
 SQL |= {
+    "feed_rejects": """
+SELECT
+  CAST(event_id AS VARCHAR) AS id,
+  concat(event_id, CASE event_id % 10
+    WHEN 0 THEN ',1,0,0,0,2,ml,near x, CA,earthquake' ELSE ',1,0' END) AS line
+FROM events
+WHERE event_id % 10 IN (0, 1)""",
     "replay_order": f"WITH {_FEED} SELECT id, TRUE AS in_order FROM feed",
     "changelog_compacted": SQL["stream_changelog"],
     "append_readback": SQL["stream_final"],

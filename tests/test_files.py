@@ -13,7 +13,15 @@ from pyspark.sql import functions as F
 from tremorline.functions import event_time
 from tremorline.plans import deliver_ranges, prepare, prepare_microfiles, prepare_replay
 from tremorline.schema import FEED_COLUMNS, FEED_SCHEMA
-from tremorline.sources import feed_columns, read_feed, read_raw, write_microfiles
+from tremorline.sources import (
+    feed_columns,
+    read_feed,
+    read_raw,
+    read_rejects,
+    read_whole_rows,
+    stream_feed,
+    write_microfiles,
+)
 from tremorline.storage import scratch_dir
 
 AWKWARD = [
@@ -243,3 +251,30 @@ def test_standard_quoting_and_line_breaks(spark, tmp_path, feed):
     found = {r["id"]: r["place"] for r in read_feed(spark, str(tmp_path / "out")).collect()}
     expected = [*places[:3], "line1 line2, CA", "x y"]
     assert found == {str(i): place for i, place in enumerate(expected)}
+
+
+def test_lines_with_other_numbers_of_values(spark, tmp_path):
+    """They are told apart, as a table and as a stream; quoted commas are no separators."""
+    whole = ['1,0,0,0,0,1,ml,"near x, CA",earthquake', "2,,,,,,,,"]
+    ragged = ["3,0,0,0,0,1,ml,x, CA,earthquake", "4,0,0"]
+    (tmp_path / "in").mkdir()
+    lines = [",".join(FEED_COLUMNS), whole[0], ragged[0], ragged[1], whole[1]]
+    (tmp_path / "in" / "a.csv").write_text("\n".join(lines) + "\n")
+    path = str(tmp_path / "in")
+    rejects = read_rejects(spark, path)
+    assert sorted((r.id, r.line) for r in rejects.collect()) == [("3", ragged[0]), ("4", ragged[1])]
+    assert rejects.count() == 2
+    table = read_whole_rows(spark, path)
+    assert table.columns == list(FEED_COLUMNS)
+    assert sorted(r.id for r in table.collect()) == ["1", "2"]
+    assert table.count() == 2 and {r.place for r in table.select("place").collect()} == {"near x, CA", None}
+    query = (
+        stream_feed(spark, path, whole_rows=True)
+        .writeStream.format("memory").queryName("whole_rows").trigger(availableNow=True)
+        .option("checkpointLocation", str(tmp_path / "checkpoint")).start()
+    )
+    query.awaitTermination()
+    assert sorted(r.id for r in spark.table("whole_rows").collect()) == ["1", "2"]
+    (tmp_path / "in" / "b.csv").write_text("id,other\n1,2\n")
+    with pytest.raises(Exception, match="header"):
+        read_whole_rows(spark, path).collect()

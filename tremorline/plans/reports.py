@@ -30,7 +30,14 @@ from ..operators import (
 )
 from ..schema import FEED_COLUMNS, RESULT_SCHEMA
 from ..session import use_utc
-from ..sources import feed_columns, feed_from_events, read_events, read_feed, write_microfiles
+from ..sources import (
+    feed_columns,
+    feed_from_events,
+    read_events,
+    read_feed,
+    read_rejects,
+    write_microfiles,
+)
 from ..storage import exists, list_dir, scratch_dir, set_modified
 from ..streaming import (
     LateRecorder,
@@ -156,6 +163,24 @@ def microfile_roundtrip(spark: SparkSession, data_dir: str) -> DataFrame:
     return read_feed(spark, f"{base}/landing")
 
 
+def feed_rejects(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Lines with a value too many or with too few, of files that also hold whole ones."""
+    base = scratch_dir(use_utc(spark), "rejects")
+    number = F.col("event_id")
+    kind = F.pmod(number, F.lit(10))
+    values = (
+        F.when(kind == 0, ",1,0,0,0,2,ml,near x, CA,earthquake")
+        .when(kind == 1, ",1,0")
+        .otherwise(",1,0,0,0,2,ml,near x; CA,earthquake")
+    )
+    lines = read_events(spark, data_dir).select(
+        F.concat(number.cast("string"), values).alias(",".join(FEED_COLUMNS))
+    )
+    # A separator that stands in no line, so that lines are written as they are.
+    lines.write.option("header", True).option("sep", "\u0001").csv(f"{base}/feed")
+    return read_rejects(spark, f"{base}/feed")
+
+
 def replay_roundtrip(spark: SparkSession, data_dir: str) -> DataFrame:
     base, source = _replay(use_utc(spark), data_dir, "replay")
     deliver_ranges(spark, f"{base}/prepared", f"{base}/all")
@@ -418,6 +443,7 @@ QUERIES = {
     "topn_batch": topn_batch,
     "recent_days": recent_days,
     "microfile_roundtrip": microfile_roundtrip,
+    "feed_rejects": feed_rejects,
     "replay_roundtrip": replay_roundtrip,
     "replay_order": replay_order,
     "stream_final": stream_final,

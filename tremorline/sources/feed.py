@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schema import FEED_COLUMNS, FEED_SCHEMA
 
@@ -24,6 +24,10 @@ MAX_FILE_AGE = "36500d"
 _CSV = {"quote": '"', "escape": '"'}
 
 
+# A line that does not have the feed's number of values.
+_LINE = "_line"
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Raw feed files: columns by header name, all text.
 
@@ -44,6 +48,39 @@ def read_feed(spark: SparkSession, path: str, check_header: bool = True) -> Data
     return _feed_options(spark.read, check_header).csv(path)
 
 
+def read_rejects(spark: SparkSession, path: str, check_header: bool = True) -> DataFrame:
+    """Lines of feed files that have more or fewer values than the feed has columns.
+
+    ``line`` is as it stands in the file, ``id`` its first value. ``read_feed``
+    loads such lines with values under wrong names or missing; ``read_whole_rows`` does not.
+    """
+    rows = _with_rejects(spark.read, check_header).csv(path)
+    return rows.where(_is_whole(False)).select("id", F.col(_LINE).alias("line"))
+
+
+def read_whole_rows(spark: SparkSession, path: str, check_header: bool = True) -> DataFrame:
+    """Feed files as a table, without the lines that ``read_rejects`` gives."""
+    rows = _with_rejects(spark.read, check_header).csv(path)
+    return rows.where(_is_whole(True)).select(*FEED_COLUMNS)
+
+
+def _is_whole(wanted: bool) -> Column:
+    # Spark refuses to read that column alone, so the condition needs another one, too.
+    whole = F.col(_LINE).isNull() if wanted else F.col(_LINE).isNotNull()
+    return whole & (F.length(F.coalesce("id", F.lit(""))) >= 0)
+
+
+def _with_rejects(reader, check_header: bool):
+    # All values of a line are counted, so columns cannot be pruned.
+    return (
+        _feed_options(reader, check_header)
+        .schema(StructType([*FEED_SCHEMA.fields, StructField(_LINE, StringType())]))
+        .option("columnNameOfCorruptRecord", _LINE)
+        .option("mode", "PERMISSIVE")
+        .option("columnPruning", False)
+    )
+
+
 def stream_feed(
     spark: SparkSession,
     landing: str,
@@ -52,6 +89,7 @@ def stream_feed(
     check_header: bool = True,
     max_file_age: str = MAX_FILE_AGE,
     archive: str | None = None,
+    whole_rows: bool = False,
 ) -> DataFrame:
     """Feed files arriving in the folder (or glob) ``landing``, as a stream.
 
@@ -61,16 +99,19 @@ def stream_feed(
     are older than the newest by more. It also forgets the names of such files;
     to bound that list, and the listing of each batch, name a folder outside
     ``landing`` as ``archive``, to which files are moved when they are done. With ``check_header`` a file whose header is not
-    the feed's fails the query; without, it is read by position as it is.
+    the feed's fails the query; without, it is read by position as it is. ``whole_rows``
+    leaves out lines with too many or too few values, which ``read_rejects`` lists.
     """
-    reader = _feed_options(spark.readStream, check_header).option("maxFileAge", max_file_age)
+    options = _with_rejects if whole_rows else _feed_options
+    reader = options(spark.readStream, check_header).option("maxFileAge", max_file_age)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     else:
         reader = reader.option("maxBytesPerTrigger", MAX_BYTES if max_bytes is None else max_bytes)
     if archive is not None:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return reader.csv(landing)
+    rows = reader.csv(landing)
+    return rows.where(_is_whole(True)).select(*FEED_COLUMNS) if whole_rows else rows
 
 
 def _feed_options(reader, check_header: bool):
