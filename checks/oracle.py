@@ -269,6 +269,9 @@ WHERE event_id % 10 IN (0, 1)""",
     "changelog_compacted": SQL["stream_changelog"],
     "append_readback": SQL["stream_final"],
     "window_day_readback": SQL["stream_final"],
+    "window_day_pruned": f"""
+SELECT * FROM ({SQL["stream_final"]}) AS windows
+WHERE window_start >= TIMESTAMP '2024-01-16 00:00:00'""",
     "stream_old_file": SQL["stream_restart"],
     "late_recorded": SQL["late_batches"],
     "event_time_forms": """

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from tremorline.operators import (
     enrich,
@@ -18,6 +20,8 @@ from tremorline.operators import (
 from tremorline.sources import feed_columns, read_feed, read_raw, write_microfiles
 from tremorline.streaming import read_changelog, read_final, write_parquet
 
+from .conftest import as_set
+
 
 @pytest.fixture
 def landing(spark, feed, tmp_path):
@@ -100,3 +104,30 @@ def test_filters_reach_the_stored_results(spark, feed, tmp_path, plan):
         assert "GreaterThanOrEqual(window_start" in text
     assert "SortAggregate" not in plan(read_changelog(spark, out))
     assert "count" not in _read_columns(plan(read_final(spark, out).select("window_start")))
+
+
+@pytest.mark.parametrize("partition_by", [("window_day",), ("window_day", "region"), ("region",), ()])
+def test_days_outside_are_not_read(spark, feed, tmp_path, plan, partition_by):
+    hour = 3_600_000
+    rows = [{"time": str(h * hour), "place": f"a, {h % 3}"} for h in range(240)]
+    counts = window_counts(enrich(feed(*rows))).persist()
+    out = str(tmp_path / "out")
+    for batch in range(2):
+        part = counts.where(F.dayofyear("window_start") % 2 == batch)
+        write_parquet(part, f"{out}/batch_id={batch}", 120, partition_by)
+    start, end = (datetime(1970, 1, d, 6, tzinfo=timezone.utc) for d in (4, 5))
+    frame = read_final(spark, out, start=start, end=end)
+    inside = (F.col("window_start") >= F.lit(start)) & (F.col("window_start") < F.lit(end))
+    assert frame.columns == counts.columns
+    assert as_set(frame) == as_set(counts.where(inside)) and frame.count() == 24
+    assert as_set(read_final(spark, out, start=start)) == as_set(
+        counts.where(F.col("window_start") >= F.lit(start))
+    )
+    if "window_day" in partition_by:
+        assert re.search(r"PartitionFilters: \[[^]]*window_day", plan(frame))
+        days = {re.search(r"window_day=([0-9-]+)", f)[1] for f in frame.inputFiles()}
+        read = frame.select("_metadata.file_path").distinct().collect()
+        assert days and {re.search(r"day=([0-9-]+)", r[0])[1] for r in read} <= {
+            "1970-01-04", "1970-01-05"
+        }
+    counts.unpersist()

@@ -262,6 +262,13 @@ def window_day_readback(spark: SparkSession, data_dir: str) -> DataFrame:
     return read_final(spark, f"{base}/out")
 
 
+def window_day_pruned(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The later windows of the same table; folders of earlier days are not read."""
+    base, source = _replay(use_utc(spark), data_dir, "window-day-pruned")
+    _run(stream_counts(spark, **source), base, partition_by=("window_day",))
+    return read_final(spark, f"{base}/out", start=RESTART_AT)
+
+
 def stream_sliding_final(spark: SparkSession, data_dir: str) -> DataFrame:
     return _final(spark, data_dir, "sliding", **SLIDING)
 
@@ -451,6 +458,7 @@ QUERIES = {
     "changelog_compacted": changelog_compacted,
     "append_readback": append_readback,
     "window_day_readback": window_day_readback,
+    "window_day_pruned": window_day_pruned,
     "stream_old_file": stream_old_file,
     "late_recorded": late_recorded,
     "stream_sliding_final": stream_sliding_final,

@@ -10,11 +10,12 @@ from __future__ import annotations
 import json
 import sys
 from collections.abc import Callable, Iterable, Sequence
+from datetime import datetime
 from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, StructField, StructType
 
 from ..operators import top_groups
 from ..schema import RESULT_SCHEMA
@@ -200,12 +201,32 @@ def write_parquet(
     writer.parquet(path)
 
 
-def read_final(spark: SparkSession, out: str, schema: StructType = RESULT_SCHEMA) -> DataFrame:
+def read_final(
+    spark: SparkSession,
+    out: str,
+    schema: StructType = RESULT_SCHEMA,
+    start: datetime | None = None,
+    end: datetime | None = None,
+) -> DataFrame:
     """Rows of a table written in append mode: one per window and group.
 
-    The schema is given, so a folder like ``region=007`` stays text.
+    The schema is given, so a folder like ``region=007`` stays text. With ``start``
+    or ``end`` only windows that start in between (``end`` itself is out); of a table with a
+    folder per ``window_day``, only those days' folders are read.
     """
-    return spark.read.schema(schema).parquet(out).select(*schema.fieldNames())
+    days = "window_day" in versions.partitioning(spark, out) and "window_day" not in schema.names
+    fields = [*schema.fields, StructField("window_day", DateType())] if days else schema.fields
+    rows = spark.read.schema(StructType(fields)).parquet(out)
+    # A day more on either side: the table may be written in another time zone.
+    if start is not None:
+        rows = rows.where(F.col("window_start") >= F.lit(start))
+        if days:
+            rows = rows.where(F.col("window_day") >= F.date_sub(F.to_date(F.lit(start)), 1))
+    if end is not None:
+        rows = rows.where(F.col("window_start") < F.lit(end))
+        if days:
+            rows = rows.where(F.col("window_day") <= F.date_add(F.to_date(F.lit(end)), 1))
+    return rows.select(*schema.fieldNames())
 
 
 def read_changelog(
