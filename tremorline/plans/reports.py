@@ -65,7 +65,7 @@ RESTART_AT = datetime(2024, 1, 16, tzinfo=timezone.utc)
 
 # Files and ranges of a replay: fixed sizes, so their number follows the data.
 ROWS_PER_FILE = 10_000
-ROWS_PER_RANGE = 25_000
+ROWS_PER_RANGE = 50_000
 
 # State partitions of these runs; a cluster's jobs choose their own.
 STATE_PARTITIONS = 8
