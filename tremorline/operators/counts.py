@@ -73,6 +73,45 @@ def window_totals(
     )
 
 
+def pane_counts(
+    events: DataFrame,
+    keys: Sequence[str],
+    length: str,
+    slide: str,
+    delay: str = DELAY,
+) -> DataFrame:
+    """Rows per pane and group: parts as long as ``slide``, of which windows of ``length`` consist.
+
+    In a stream a pane stays in state until the last window that holds it has closed, so it
+    takes every event that is in time for one of its windows. For that the time is moved on by the
+    time between the two ends, and the watermark as much further back: it is the same as by window.
+    """
+    after = time_after_pane(length, slide)
+    if not events.isStreaming:
+        return window_counts(events, keys, slide)
+    distance = F.expr(f"interval {after} milliseconds")
+    moved = events.withColumn("_moved_ts", F.col("event_ts") + distance)
+    panes = (
+        moved.withWatermark("_moved_ts", f"{after + _millis(delay)} milliseconds")
+        .groupBy(F.window("_moved_ts", slide), *keys)
+        .agg(F.count(F.lit(1)).alias("count"))
+    )
+    return flatten_window(panes).withColumns(
+        {name: F.col(name) - distance for name in ("window_start", "window_end")}
+    )
+
+
+def time_after_pane(length: str, slide: str) -> int:
+    """Milliseconds from the end of a pane to the end of the last window that holds it."""
+    if not _divides(slide, length):
+        raise ValueError(f"{length} is no multiple of {slide}")
+    return _millis(length) - _millis(slide)
+
+
+def _millis(duration: str) -> int:
+    return Timedelta(duration) // Timedelta(milliseconds=1)
+
+
 def _not_null(time: str) -> Column:
     """``time`` with a stand-in for null.
 

@@ -40,28 +40,31 @@ def top_groups_chained(
     slide: str | None = None,
     delay: str = DELAY,
     buckets: int = 1024,
+    levels: int = 1,
 ) -> DataFrame:
     """Same result as plain aggregations, which a stream can run in append mode.
 
-    For keys with a moderate number of values: every group is state a second
-    time, as a list entry. Where keys are free text use ``top_groups`` in the
-    batch callback (``top_table``), which keeps no lists.
-
     Spark has no bounded top-n aggregate, so the groups of a window are first
-    spread over ``buckets`` by hash, each bucket keeps its ``n`` best, and the
-    window then picks from those. A list holds one entry per group of its
-    bucket, then at most ``n * buckets`` entries, never all groups of a window.
+    spread by hash over ``buckets ** levels`` lists, each list keeps its ``n`` best, ``buckets`` lists
+    become one, and so on up to the window. A list of the first level holds one entry per group of
+    its bucket, any other at most ``n * buckets`` entries, never all groups of a window.
+
+    One level is for keys with a moderate number of values. Where keys are free text take as many
+    that ``buckets ** levels`` exceeds the groups of a window; each level is one more shuffle
+    and state operator. Or use ``top_groups`` in the batch callback (``top_table``), which keeps no lists.
     """
     _check(n)
+    if levels < 1 or buckets < 1:
+        raise ValueError("levels and buckets must be at least 1")
     totals = window_totals(events, (key,), length, slide, delay)
     entry = F.struct((-F.col("count")).alias("negated"), F.col(key).alias("name"))
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")
-    per_bucket = totals.groupBy("window", bucket).agg(
-        _first_entries(F.collect_list(entry), n).alias("best")
-    )
-    per_window = per_bucket.groupBy("window").agg(
-        _first_entries(F.flatten(F.collect_list("best")), n).alias("best")
-    )
+    place = F.pmod(F.xxhash64(key), F.lit(buckets**levels)).alias("bucket")
+    best = totals.groupBy("window", place).agg(_first_entries(F.collect_list(entry), n).alias("best"))
+    merged = _first_entries(F.flatten(F.collect_list("best")), n).alias("best")
+    for level in range(levels - 1, 0, -1):
+        place = (F.col("bucket") % F.lit(buckets**level)).alias("bucket")
+        best = best.groupBy("window", place).agg(merged)
+    per_window = best.groupBy("window").agg(merged)
     ranked = per_window.select("window", F.posexplode("best").alias("position", "entry"))
     return flatten_window(
         ranked.select(

@@ -40,12 +40,16 @@ from ..sources import (
 )
 from ..storage import exists, list_dir, scratch_dir, set_modified
 from ..streaming import (
+    LateEvents,
     LateRecorder,
     build_stream,
     compact,
     late_report,
     read_changelog,
     read_final,
+    read_late,
+    reconcile,
+    start_sliding,
     start_table,
     stream_counts,
     stream_events,
@@ -273,6 +277,20 @@ def stream_sliding_final(spark: SparkSession, data_dir: str) -> DataFrame:
     return _final(spark, data_dir, "sliding", **SLIDING)
 
 
+def stream_sliding_panes(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The same windows from a query that counts by pane."""
+    base, source = _replay(use_utc(spark), data_dir, "panes")
+    query = start_sliding(
+        stream_events(spark, **source),
+        f"{base}/out",
+        f"{base}/checkpoint",
+        state_partitions=STATE_PARTITIONS,
+        **SLIDING,
+    )
+    _delivered(spark, base, [query])
+    return read_final(spark, f"{base}/out")
+
+
 def stream_grid_final(spark: SparkSession, data_dir: str) -> DataFrame:
     """By coordinate cell in place of region."""
     base, source = _replay(use_utc(spark), data_dir, "grid")
@@ -300,6 +318,13 @@ def topn_regions_chained(spark: SparkSession, data_dir: str) -> DataFrame:
     return read_final(spark, f"{base}/out", TOP_SCHEMA)
 
 
+def topn_regions_tree(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The same by lists that are cut to the best in two levels."""
+    base, source = _replay(use_utc(spark), data_dir, "tree")
+    _run(top_groups_chained(stream_events(spark, **source), TOP_N, buckets=32, levels=2), base)
+    return read_final(spark, f"{base}/out", TOP_SCHEMA)
+
+
 def console_and_table(spark: SparkSession, data_dir: str) -> DataFrame:
     """The standard job: changes to the console, closed windows to a table, from one query."""
     base, source = _replay(use_utc(spark), data_dir, "job")
@@ -368,6 +393,18 @@ def late_recorded(spark: SparkSession, data_dir: str) -> DataFrame:
     return _late_columns(recorder.report())
 
 
+def late_events(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The events that the same runs drop, each with the window that it missed."""
+    base, _ = _late_runs(use_utc(spark), data_dir, keep_late=True)
+    return read_late(spark, f"{base}/late").select("id", "time", "window_start", "window_end")
+
+
+def state_reconciled(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The same runs' open windows as their state and their table have them."""
+    base, _ = _late_runs(use_utc(spark), data_dir)
+    return reconcile(spark, f"{base}/out", f"{base}/checkpoint")
+
+
 def _late_columns(report: DataFrame) -> DataFrame:
     return report.select(
         "batch_id",
@@ -427,14 +464,15 @@ def _final(spark: SparkSession, data_dir: str, label: str, **counts) -> DataFram
     return read_final(spark, f"{base}/out")
 
 
-def _late_runs(spark: SparkSession, data_dir: str):
+def _late_runs(spark: SparkSession, data_dir: str, keep_late: bool = False):
     base = scratch_dir(spark, "late")
     feed = feed_from_events(spark, data_dir)
     queries = []
     for folder, rows in (("first", f"not ({LATE})"), ("second", LATE)):
         write_microfiles(feed_columns(feed.where(rows)), f"{base}/landing/{folder}")
         results = stream_counts(spark, f"{base}/landing/*")
-        queries.append(_run(results, base, mode="changelog"))
+        also = [LateEvents(f"{base}/late")] if keep_late else []
+        queries.append(_run(results, base, *also, mode="changelog"))
     return base, queries
 
 
@@ -461,6 +499,10 @@ QUERIES = {
     "window_day_pruned": window_day_pruned,
     "stream_old_file": stream_old_file,
     "late_recorded": late_recorded,
+    "late_events": late_events,
+    "state_reconciled": state_reconciled,
+    "stream_sliding_panes": stream_sliding_panes,
+    "topn_regions_tree": topn_regions_tree,
     "stream_sliding_final": stream_sliding_final,
     "stream_grid_final": stream_grid_final,
     "partitioned_readback": partitioned_readback,

@@ -1,16 +1,19 @@
 """Streaming job, its outputs and its late-data report."""
 
+from .audit import open_counts, reconcile
 from .job import (
     build_stream,
     start,
     start_console,
+    start_sliding,
     start_table,
     stream_counts,
     stream_events,
     wait_for_all,
 )
-from .late import LateRecorder, late_report
+from .late import LateEvents, LateRecorder, late_report, read_late
 from .sinks import (
+    ClosedSlidingWindows,
     ClosedWindows,
     append_table,
     callback,
@@ -25,7 +28,9 @@ from .sinks import (
 )
 
 __all__ = [
+    "ClosedSlidingWindows",
     "ClosedWindows",
+    "LateEvents",
     "LateRecorder",
     "append_table",
     "build_stream",
@@ -34,10 +39,14 @@ __all__ = [
     "console",
     "each_batch",
     "late_report",
+    "open_counts",
     "read_changelog",
     "read_final",
+    "read_late",
+    "reconcile",
     "start",
     "start_console",
+    "start_sliding",
     "start_table",
     "stream_counts",
     "stream_events",

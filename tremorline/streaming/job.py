@@ -9,7 +9,7 @@ from typing import TextIO
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import DELAY, RESULT_KEYS, WINDOW, enrich, window_counts
+from ..operators import DELAY, RESULT_KEYS, WINDOW, enrich, pane_counts, window_counts
 from ..sources import stream_feed
 from ..storage import make_dir, scratch_dir
 from . import sinks
@@ -64,9 +64,9 @@ def start(
     if mode != "final" and any(getattr(w, "whole_windows", False) for w in writers):
         raise ValueError('top tables need whole windows: use mode="final"')
     for writer in writers:
-        if isinstance(writer, sinks.ClosedWindows):
-            if mode != "changelog":
-                raise ValueError('closed windows are taken from changes: use mode="changelog"')
+        if isinstance(writer, sinks.ClosedWindows) and mode != "changelog":
+            raise ValueError('closed windows are taken from changes: use mode="changelog"')
+        if hasattr(writer, "checkpoint"):
             writer.checkpoint = checkpoint
     sinks.refuse_foreign_batches(spark, writers, checkpoint)
     for folder in sinks.versioned_folders(writers):
@@ -107,6 +107,28 @@ def start_table(
     return start(results, writer, *also, checkpoint=checkpoint, **options)
 
 
+def start_sliding(
+    events: DataFrame,
+    out: str,
+    checkpoint: str,
+    length: str,
+    slide: str,
+    keys: Sequence[str] = RESULT_KEYS,
+    delay: str = DELAY,
+    partition_by: Sequence[str] = (),
+    **options,
+) -> StreamingQuery:
+    """Start a query that keeps closed overlapping windows in a versioned table at ``out``.
+
+    ``slide`` divides ``length``. The state has one row per pane and group, not one per window;
+    the rows are those of ``window_counts`` in final mode. ``options`` as in ``start``.
+    """
+    panes = pane_counts(events, keys, length, slide, delay)
+    table = sinks.versioned_table(out, partition_by)
+    closing = sinks.ClosedSlidingWindows(table, out, length, slide)
+    return start(panes, closing, mode="changelog", checkpoint=checkpoint, **options)
+
+
 def start_console(
     results: DataFrame, rows_shown: int = 20, out: TextIO | None = None, **options
 ) -> StreamingQuery:

@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
-from ..operators import top_groups
+from ..operators import flatten_window, time_after_pane, top_groups
 from ..schema import RESULT_SCHEMA
 from ..storage import exists, read_text, remove, write_text
-from . import versions
+from . import batch_log, versions
 
 Writer = Callable[[DataFrame, int, int], None]
 
@@ -140,7 +140,7 @@ class ClosedWindows:
 
     def __call__(self, batch_df: DataFrame, batch_id: int, rows: int) -> None:
         spark = batch_df.sparkSession
-        watermark = self._watermark_ms(spark, batch_id)
+        watermark = batch_log.watermark_ms(spark, self.checkpoint, batch_id)
         kept = f"{self._out}/_open/{versions.BATCH}="
         latest = batch_df
         if exists(spark, f"{kept}{batch_id - 1}"):
@@ -151,24 +151,53 @@ class ClosedWindows:
                 F.max(self._value).alias(self._value)
             )
             latest = latest.select(*batch_df.columns)
-        closed = F.unix_millis("window_end") <= F.lit(watermark)
         latest = latest.persist()
         try:
-            counted = {r[0]: r[1] for r in latest.groupBy(closed.alias("closed")).count().collect()}
-            if counted.get(True):
-                self._writer(latest.where(closed), batch_id, counted[True])
-            write_parquet(latest.where(~closed), f"{kept}{batch_id}", counted.get(False, 0))
+            done, still_open = self._split(latest, batch_id, watermark)
+            done = done.persist()
+            try:
+                if closed := done.count():
+                    self._writer(done, batch_id, closed)
+            finally:
+                done.unpersist()
+            write_parquet(still_open, f"{kept}{batch_id}", still_open.count())
         finally:
             latest.unpersist()
         # The one before is needed again if this batch is repeated.
         remove(spark, f"{kept}{batch_id - 2}")
 
-    def _watermark_ms(self, spark: SparkSession, batch_id: int) -> int:
-        """From the query's log of batches, which has an entry before the batch runs."""
-        lines = (read_text(spark, f"{self.checkpoint}/offsets/{batch_id}") or "").splitlines()
-        if len(lines) < 2:
-            raise ValueError(f"no entry for batch {batch_id} in {self.checkpoint}")
-        return json.loads(lines[1])["batchWatermarkMs"]
+    def _split(self, latest: DataFrame, batch_id: int, watermark: int):
+        """Results of the windows that close, and what is kept for later batches."""
+        closed = F.unix_millis("window_end") <= F.lit(watermark)
+        return latest.where(closed), latest.where(~closed)
+
+
+class ClosedSlidingWindows(ClosedWindows):
+    """The same for overlapping windows, from a query that counts by pane.
+
+    A pane (``pane_counts``) is a part as long as the slide, so state and changes hold a row
+    per pane and group where ``window_counts`` holds one per window. A window's count is the sum of its
+    panes when it closes: events that come later for a pane still count in its later
+    windows, as they do in a query by window.
+    """
+
+    def __init__(
+        self, writer: Writer, out: str, length: str, slide: str, value: str = "count"
+    ) -> None:
+        super().__init__(writer, out, value)
+        self._length, self._slide = length, slide
+
+    def _split(self, latest: DataFrame, batch_id: int, watermark: int):
+        keys = [c for c in latest.columns if c not in ("window_start", "window_end", self._value)]
+        end = F.unix_millis("window.end")
+        before = batch_log.late_ms(latest.sparkSession, self.checkpoint, batch_id)
+        due = (end > F.lit(before)) & (end <= F.lit(watermark))
+        windows = latest.withColumn("window", F.window("window_start", self._length, self._slide))
+        sums = windows.where(due).groupBy("window", *keys).agg(
+            F.sum(self._value).alias(self._value)
+        )
+        last_end = F.unix_millis("window_end") + F.lit(time_after_pane(self._length, self._slide))
+        return flatten_window(sums), latest.where(last_end > F.lit(watermark))
 
 
 def write_parquet(
