@@ -212,6 +212,8 @@ def matches(parsed):
             more = [chr(value)]
         elif kind is re._constants.IN:
             more = [chr(value[0][1])] if value[0][0] is re._constants.LITERAL else ["x"]
+        elif kind is re._constants.NOT_LITERAL:
+            more = ["x"]
         elif kind is re._constants.BRANCH:
             more = [t for branch in value[1] for t in matches(branch)]
         elif kind is re._constants.SUBPATTERN:
@@ -251,6 +253,81 @@ def test_licenses_by_each_name(spark):
     check_licenses([r.asDict() for r in rows], list(enumerate(texts)))
 
 
+BSD_2 = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted "
+    "provided that the following conditions are met:\n1. Redistributions of source code must retain the "
+    "above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions "
+    "in binary form must reproduce the above copyright notice, this list of conditions."
+)
+ADVERTISING = (
+    " 3. All advertising materials mentioning features or use of this software must display the "
+    "following acknowledgement: This product includes software developed by the Org."
+)
+ENDORSE = (
+    " Neither the name of the Org nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission."
+)
+MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+    "associated documentation files (the \"Software\"), to deal in the Software without restriction"
+)
+ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
+    "fee is hereby granted"
+)
+GNU = (
+    "you can redistribute it and/or modify it under the terms of the GNU {} License as published by the "
+    "Free Software Foundation, either version {} of the License, or (at your option) any later version."
+)
+
+
+def test_licenses_by_their_texts(spark):
+    texts = {
+        MIT: "mit",
+        MIT.split(" and associated")[0]: "mit",
+        MIT.replace("deal in", "deal with"): "ncsa",
+        BSD_2.split(" are permitted")[0]: "bsd",
+        BSD_2: "bsd-2-clause",
+        BSD_2 + ENDORSE: "bsd-3-clause",
+        BSD_2 + ADVERTISING + ENDORSE: "bsd-4-clause",
+        ENDORSE: "bsd-3-clause",
+        ISC + ".": "0bsd",
+        ISC + ", provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose": "hpnd",
+        "You may obtain a copy of the License at\n\n   http://www.apache.org/licenses/LICENSE-2.0": "apache-2.0",
+        "obtain a copy of the License at apache.org/licenses/LICENSE-2.0": "apache-2.0",
+        GNU.format("General Public", 2): "gpl,gpl-2.0-or-later",
+        GNU.format("Lesser General Public", "2.1"): "gpl,lgpl-2.1-or-later",
+        GNU.format("Affero General Public", 3): "agpl-3.0-or-later,gpl",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "Everyone is permitted to copy and distribute verbatim copies of this license document, "
+        "but changing it is not allowed.": "gnu",
+        "No part of this book may be reproduced.": "reserved",
+        # Only parts, or the words in another order.
+        "permission is granted to any person; use in source and binary forms": "",
+        "binary forms and source in use and redistribution": "",
+        "good software, not evil": "",
+    }
+    rows = license_scan.scan_licenses(frame(spark, list(texts))).collect()
+    assert {r["text"]: r["labels"] for r in rows} == texts
+    check_licenses([r.asDict() for r in rows], list(enumerate(texts)))
+
+
+def test_texts_between_other_words(spark):
+    """Repeated starts without an end, and texts in the midst of long ones."""
+    rng = random.Random(8)
+    noise = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(400)) for _ in range(3)]
+    texts = [
+        "redistribution and use in source and binary forms " * 200,
+        f"{noise[0]} {BSD_2}{ENDORSE} {noise[1]} {MIT} {noise[2]}",
+        f"{BSD_2} {noise[0]} {ENDORSE}",
+        f"{MIT} " * 50,
+    ]
+    rows = [r.asDict() for r in license_scan.scan_licenses(frame(spark, texts)).collect()]
+    check_licenses(rows, list(enumerate(texts)))
+    assert [r["labels"] for r in rows] == ["", "bsd-3-clause,mit", "bsd-2-clause,bsd-3-clause", "mit"]
+
+
 def _first(m):
     return "" if m[2] == "?" else m[1]
 

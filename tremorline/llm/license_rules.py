@@ -1,8 +1,8 @@
 """License detection rules: hand-written patterns per family and form.
 
-A pattern is matched against a text's words, in lower case, one space apart. The
-forms are tried for each family; those with a version once per version, so the
-table follows from the lists below.
+A pattern is matched against a text's words, in lower case, one space apart. Families are known by their
+names, whose forms are tried for each (those with a version once per version), and by what their texts
+and notices say.
 """
 
 from __future__ import annotations
@@ -112,6 +112,66 @@ NOTICES = [
     ("no-warranty", 4, "warranties", "without warranties or conditions of any kind"),
 ]
 
+_COPY = "permission is hereby granted free of charge to any person obtaining a copy of"
+_FORMS = "redistribution and use in source and binary forms"
+_BINARY = "redistributions in binary form must reproduce the above copyright notice"
+_NAMES = "neither the names? of (?:[^ ]+ ){1,24}may be used to endorse or promote"
+_USE = "permission to use copy modify and(?: or)? distribute this software"
+_TO_ALL = "provided that the above copyright notice and this permission notice appear in all copies"
+_URL = "(?:https? )?(?:www )?"
+
+# What the licenses' own texts and the notices that they ask for say, without a name
+# or around it. A longer text contains the shorter ones that other licenses share with it.
+TEXTS = [
+    ("mit", 2, "hereby granted", f"{_COPY} this software"),
+    ("mit", 1, "hereby granted", f"{_COPY} (?:[^ ]+ ){{1,12}}to deal in the (?:software|materials) without restriction"),
+    ("ncsa", 1, "hereby granted", f"{_COPY} (?:[^ ]+ ){{1,12}}to deal with the software without restriction"),
+    ("boost-1.0", 1, "hereby granted", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("x11", 2, "dealings", "except as contained in this notice the names? of (?:[^ ]+ ){1,16}shall not be used in advertising or otherwise to promote the sale use or other dealings"),
+    ("json", 1, "not evil", "the software shall be used for good not evil"),
+    ("0bsd", 2, "hereby granted", f"{_USE} for any purpose with or without fee is hereby granted"),
+    ("isc", 1, "hereby granted", f"{_USE} for any purpose with or without fee is hereby granted {_TO_ALL}"),
+    ("isc", 1, "hereby granted", f"{_USE} for any purpose with or without fee is hereby granted (?:[^ ]+ ){{1,6}}{_TO_ALL}"),
+    ("hpnd", 2, "its documentation", f"{_USE} and its documentation for any purpose"),
+    ("postgresql", 1, "its documentation", f"{_USE} and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("bsd", 3, "binary forms", f"{_FORMS} with or without modification"),
+    ("bsd-2-clause", 2, "binary forms", f"{_FORMS} (?:[^ ]+ ){{1,120}}{_BINARY}"),
+    ("bsd-3-clause", 3, "endorse or promote", _NAMES),
+    ("bsd-3-clause", 1, "binary forms", f"{_FORMS} (?:[^ ]+ ){{1,180}}{_NAMES}"),
+    ("bsd-4-clause", 1, "advertising materials", f"{_FORMS} (?:[^ ]+ ){{1,180}}all advertising materials mentioning features (?:[^ ]+ ){{1,80}}{_NAMES} products derived"),
+    ("apache-2.0", 1, "apache", f"(?:you may )?obtain a copy of the license at {_URL}apache org licenses license 2 0"),
+    ("apache-2.0", 1, "apache", "apache license version 2 0 january 2004"),
+    ("apache-2.0", 2, "applicable law", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("gpl-2.0", 1, "general public", "gnu general public license version 2 june 1991"),
+    ("gpl-3.0", 1, "general public", "gnu general public license version 3 29 june 2007"),
+    ("lgpl-2.1", 1, "general public", "gnu lesser general public license version 2 1 february 1999"),
+    ("lgpl-3.0", 1, "general public", "gnu lesser general public license version 3 29 june 2007"),
+    ("agpl-3.0", 1, "general public", "gnu affero general public license version 3 19 november 2007"),
+    ("gnu", 4, "verbatim copies", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("wtfpl", 1, "verbatim or modified", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("mpl-2.0", 1, "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", 2, "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("epl-1.0", 1, "eclipse", "made available under the terms of the eclipse public license (?:v|v |version )?1 0"),
+    ("epl-2.0", 1, "eclipse", "made available under the terms of the eclipse public license (?:v|v |version )?2 0"),
+    ("zlib", 1, "held liable", "this software is provided as is without any express or implied warranty in no event will the authors? be held liable for any damages arising from the use of this software"),
+    ("no-warranty", 3, "warranty", "the software is provided as is without warranty of any kind express or implied"),
+    ("unlicense", 1, "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("cc0-1.0", 1, "this deed", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("artistic-1.0", 1, "this document", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("openssl", 1, "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("python-2.0", 1, "psf", "psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("beerware", 1, "this stuff", "if we meet some day and you think this stuff is worth it you can buy me a beer in return"),
+    ("proprietary", 2, "confidential", "confidential and proprietary information of"),
+    ("reserved", 3, "may be reproduced", "no part of this (?:publication|book|document) may be reproduced"),
+]
+
+# The notice that files under a GNU license carry, by name and versions.
+GNU_NOTICES = [
+    ("gpl", "general public", (("2", "2.0"), ("3", "3.0"))),
+    ("lgpl", "(?:lesser|library) general public", (("2", "2.0"), ("2 1", "2.1"), ("3", "3.0"))),
+    ("agpl", "affero general public", (("3", "3.0"),)),
+]
+
 _LICENSE = "licen[sc]e"
 _UNDER = "(?:licen[sc]ed|released|distributed|available|published|provided)"
 
@@ -161,9 +221,25 @@ def _creative_commons() -> list[Rule]:
     return rules
 
 
+def _gnu_notices() -> list[Rule]:
+    rules = []
+    for label, name, versions in GNU_NOTICES:
+        terms = f"(?:redistribute it and or modify|modify) it under the terms of the gnu {name} license"
+        published = f"{terms} as published by the free software foundation"
+        rules.append(Rule(label, 2, "free software", published))
+        for version, number in versions:
+            either = f"{published} either version {version} of the license or"
+            later = f"{either} (?:at your option )?any later version"
+            rules.append(Rule(f"{label}-{number}-or-later", 1, "free software", later))
+            only = f"{published} version {version} of the license"
+            rules.append(Rule(f"{label}-{number}", 1, "free software", only))
+    return rules
+
+
 def all_rules() -> list[Rule]:
     rules = [rule for family in FAMILIES for rule in _named(*family)]
-    rules += _creative_commons() + [Rule(*notice) for notice in NOTICES]
+    rules += _creative_commons() + _gnu_notices()
+    rules += [Rule(*fixed) for fixed in [*NOTICES, *TEXTS]]
     # Longer labels of one priority first: they are the more exact ones.
     rules.sort(key=lambda r: (r.priority, -len(r.label), r.label, r.pattern))
     for rule in rules:
@@ -184,4 +260,15 @@ STEMS = (
     ("unauthorized",),
     ("copyleft",),
     ("without", "warrant"),
+    ("hereby", "granted"),
+    ("redistribution",),
+    ("endorse", "promote"),
+    ("advertising", "dealings"),
+    ("its", "documentation", "permission"),
+    ("good", "evil", "software"),
+    ("mpl", "obtain"),
+    ("package", "intent", "conditions"),
+    ("openssl",),
+    ("beer", "stuff"),
+    ("reproduced", "may"),
 )
