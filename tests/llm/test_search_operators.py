@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
@@ -53,6 +54,73 @@ def check_fingerprints(rows, docs):
     return prints
 
 
+def xx64(values):
+    """Spark's xxhash64 of numbers and texts, one after the other."""
+    state = 42
+    for value in values:
+        if isinstance(value, str):
+            data = value.encode()
+        else:
+            data = int(value).to_bytes(8 if isinstance(value, np.int64) else 4, "little", signed=True)
+        state = xxhash.xxh64_intdigest(data, state)
+    return np.int64(state - (1 << 64) if state >> 63 else state)
+
+
+def plain_fingerprint(text):
+    """Order MinHash written out: occurrence-numbered k-mers, two smallest of a bin, in text order."""
+    words = [xx64([w]) for w in re.findall(r"[^ \t\n\x0b\f\r]{1,16}", text)]
+    kmers = [xx64(words[i : i + 3]) for i in range(max(len(words) - 2, min(len(words), 1)))]
+    low = (1 << 30) - 1
+    seen, hashed = Counter(), []
+    for place, kmer in enumerate(kmers):
+        number = seen[int(kmer) & ~low]
+        seen[int(kmer) & ~low] += 1
+        hashed.append((int(xx64([kmer, number])) & ~low) | place)
+    bins = defaultdict(list)
+    for value in sorted(hashed):
+        if len(bins[value >> 58]) < 2:
+            bins[value >> 58].append(value)
+    chosen = sorted(v for values in bins.values() for v in values)
+    parts = []
+    for number in range(-32, 32):
+        at = sum(v >> 58 < number for v in chosen)
+        picked = {(at + j) % len(chosen) for j in range(2)} if chosen else set()
+        places = sorted(chosen[i] & low for i in picked)
+        parts.append(int(xx64([kmers[p] for p in places])) & 0xFFFFFFFF if chosen else 0)
+    return "".join(f"{p:08x}" for p in parts)
+
+
+def test_fingerprints_equal_plain_python(spark):
+    docs = sorted(small("documents", "doc_id", "text"))
+    rows = run(spark, "op2_order_minhash")
+    texts = dict(docs)
+    rng = random.Random(5)
+    odd = [*(t or "" for t in EDGE_TEXTS), "a b " * 400, "x\u00a0y \U0001f600 \u4e00" * 30, "one", "one two"]
+    odd += [" ".join(rng.choice("abc") for _ in range(rng.randrange(60))) for _ in range(40)]
+    for r in rows:
+        assert r["fingerprint"] == plain_fingerprint(texts[r["doc_id"]] or ""), r["doc_id"]
+    parts = frame(spark, odd).select(
+        "text", order_minhash.as_text(order_minhash.components(F.col("text"))).alias("p")
+    )
+    for r in parts.collect():
+        assert r["p"] == plain_fingerprint(r["text"]), r["text"][:50]
+
+
+def test_fingerprints_over_many_ranges(spark, monkeypatch):
+    """Ranges of few documents, ids beyond what a double holds, repeated and null ids."""
+    monkeypatch.setattr(order_minhash, "ROWS_PER_RANGE", 3)
+    rng = random.Random(6)
+    ids = [(1 << 62) + i for i in range(40)] + [-(1 << 62) - i for i in range(40)]
+    ids += [None] * 20 + [5] * 20 + [(1 << 63) - 1] * 3 + list(range(40))
+    docs = [(i, " ".join(rng.choice("abcd") for _ in range(20))) for i in ids]
+    rng.shuffle(docs)
+    made = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    rows = [r.asDict() for r in order_minhash.fingerprints(made).collect()]
+    for r in rows:
+        r["doc_id"] = -(1 << 63) if r["doc_id"] is None else r["doc_id"]
+    check_fingerprints(rows, sorted((-(1 << 63) if d is None else d, t) for d, t in docs))
+
+
 def test_fingerprint_query(spark):
     rows = run(spark, "op2_order_minhash")
     check_fingerprints(rows, sorted(small("documents", "doc_id", "text")))

@@ -32,8 +32,10 @@ CHOSEN = 2  # k-mers of a component
 BIN_BITS = 6
 BINS = 1 << BIN_BITS
 
-# Ranges of documents per partition of the input.
-RANGES_PER_PARTITION = 4
+# Documents of a range, and the most ranges; beyond that they grow. Ids looked at for each cut.
+ROWS_PER_RANGE = 2000
+MAX_RANGES = 1 << 14
+KEYS_PER_RANGE = 256
 
 _PLACE_BITS = 30
 _PLACE = (1 << _PLACE_BITS) - 1
@@ -140,11 +142,36 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _range_starts(docs: DataFrame) -> list[int]:
-    """First ids of ranges of about equal size; one number per range."""
-    n = RANGES_PER_PARTITION * max(docs.rdd.getNumPartitions(), 1)
-    ranged = docs.select("key").repartitionByRange(n, "key")
-    rows = ranged.groupBy(F.spark_partition_id()).agg(F.min("key").alias("key")).collect()
-    return sorted({row["key"] for row in rows})
+    """First ids of ranges of about equal size; at most ``MAX_RANGES`` numbers.
+
+    Where the ranges are cut is estimated from a share of the ids, which bears on their sizes only;
+    their first ids are exact. Both read the ids alone.
+    """
+    keys = docs.select("key")
+    rows = keys.count()
+    n = min(MAX_RANGES, -(-rows // ROWS_PER_RANGE))
+    if n < 2:
+        return [row["key"] for row in keys.agg(F.min("key").alias("key")).collect() if rows]
+    shares = ",".join(str(k / n) for k in range(1, n))
+    some = keys.where(F.pmod(F.xxhash64("key"), F.lit(max(1, rows // (KEYS_PER_RANGE * n)))) == 0)
+    cuts = some.agg(
+        F.percentile_approx("key", F.split(F.lit(shares), ",").cast("array<double>"), 10 * n)
+    ).first()[0]
+    found = _longs(sorted(set(cuts or [])))
+    steps = _steps(len(set(cuts or [])))
+    firsts = keys.groupBy(count_below(found, steps, F.col("key")).alias("range")).agg(
+        F.min("key").alias("key")
+    )
+    return sorted(row["key"] for row in firsts.collect())
+
+
+def _longs(numbers: list[int]) -> Column:
+    """A constant array, as one literal for the planner."""
+    return F.split(F.lit(",".join(map(str, numbers)) or "0"), ",").cast("array<bigint>")
+
+
+def _steps(size: int) -> Column:
+    return F.array(*(F.lit(1 << k) for k in range(size.bit_length() - 1, -1, -1))).cast("array<int>")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -155,10 +182,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
     )
     starts = _range_starts(docs) or [0]
-    bounds = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")
-    steps = F.array(
-        *(F.lit(1 << k) for k in range(len(starts).bit_length() - 1, -1, -1))
-    )
+    bounds, steps = _longs(starts), _steps(len(starts))
     own = (count_below(bounds, steps, F.col("key") + 1) - 1).cast("int")
     own = F.when(F.col("key") == F.lit((1 << 63) - 1), len(starts) - 1).otherwise(own)
     before = (F.col("own") + (len(starts) - 1)) % len(starts)
