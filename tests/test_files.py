@@ -23,6 +23,7 @@ from tremorline.sources import (
     write_microfiles,
 )
 from tremorline.storage import scratch_dir
+from tremorline.streaming import read_changelog, start_table, stream_counts
 
 AWKWARD = [
     {"id": "1", "time": "0", "place": "5 km NW of The Geysers, CA", "type": "earthquake"},
@@ -172,6 +173,54 @@ def test_ranges_are_delivered_in_order(spark, feed, tmp_path, monkeypatch):
     assert deliver_ranges(spark, prepared, landing) == 0
 
 
+class _Taking:
+    """Stands for a query: what lies in the landing folder each time it is waited for."""
+
+    def __init__(self, landing: str, fails_at: int = -1):
+        self.landing, self.fails_at, self.seen = landing, fails_at, []
+
+    def processAllAvailable(self) -> None:
+        self.seen.append(sorted(os.listdir(self.landing)))
+        if len(self.seen) == self.fails_at:
+            raise OSError
+
+
+def test_taken_ranges_leave_the_landing_folder(spark, feed, tmp_path):
+    """A stream lists one range a batch, however many there are; one that ended early goes on."""
+    rows = feed(*[{"id": str(i), "time": str(i * 1000)} for i in range(100)])
+    prepared, landing, taken = (str(tmp_path / name) for name in ("prepared", "landing", "taken"))
+    assert prepare_replay(rows, prepared, 5, 4) == 4
+    query = _Taking(landing, fails_at=2)
+    with pytest.raises(OSError):
+        deliver_ranges(spark, prepared, landing, [query], archive=taken)
+    assert deliver_ranges(spark, prepared, landing, [query], archive=taken) == 2
+    assert query.seen == [[f"{i:09d}"] for i in (0, 1, 1, 2, 3)]
+    assert os.listdir(landing) == [] and sorted(os.listdir(taken)) == [f"{i:09d}" for i in range(4)]
+    assert sorted(int(r.id) for r in read_feed(spark, f"{taken}/*").collect()) == list(range(100))
+    assert deliver_ranges(spark, prepared, landing, [query], archive=taken) == 0
+    with pytest.raises(ValueError, match="needs queries"):
+        deliver_ranges(spark, prepared, landing, archive=taken)
+
+
+def test_a_stream_goes_on_after_its_ranges_were_taken_away(spark, feed, tmp_path):
+    base = str(tmp_path)
+    for part in range(2):
+        hours = range(part * 10, part * 10 + 10)
+        rows = feed(*[{"id": str(i), "time": str(i * 3_600_000), "mag": "1"} for i in hours])
+        prepare_replay(rows, f"{base}/prepared-{part}", partitions=2)
+        query = start_table(
+            stream_counts(spark, f"{base}/all/*"), f"{base}/out", f"{base}/cp", mode="changelog"
+        )
+        try:
+            deliver_ranges(
+                spark, f"{base}/prepared-{part}", f"{base}/all", [query], archive=f"{base}/t{part}"
+            )
+        finally:
+            query.stop()
+    assert os.listdir(f"{base}/all") == []
+    assert sum(r["count"] for r in read_changelog(spark, f"{base}/out").collect()) == 20
+
+
 def test_ranges_are_delivered_when_all_are_prepared(spark, tmp_path):
     with pytest.raises(ValueError, match="list of ranges"):
         deliver_ranges(spark, str(tmp_path), str(tmp_path / "landing"))

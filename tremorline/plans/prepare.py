@@ -93,6 +93,7 @@ def deliver_ranges(
     landing: str,
     queries: Sequence[StreamingQuery] = (),
     pause: float = 0,
+    archive: str | None = None,
 ) -> int:
     """Move prepared ranges to ``landing`` in order; returns how many were moved.
 
@@ -101,21 +102,36 @@ def deliver_ranges(
     time order and their watermarks drop none; no file times are needed. ``pause``
     is the number of seconds after each range. A call that ended early is
     finished by the next one.
+
+    With ``archive``, a folder outside ``landing``, a range goes on to there when all ``queries`` have
+    taken it. A stream lists all of ``landing`` for every batch, so a replay of many ranges
+    without it lists as many folders as there are ranges, time and again.
     """
+    if archive is not None and not queries:
+        raise ValueError("archive needs queries: they tell when a range has been taken")
     text = read_text(spark, f"{prepared}/{_MANIFEST}")
     if text is None:
         raise ValueError(f"{prepared} has no list of ranges; prepare_replay writes it last")
     make_dir(spark, landing)
+    if archive is not None:
+        make_dir(spark, archive)
     there = {entry.name for entry in list_dir(spark, prepared)}
+    landed = {entry.name for entry in list_dir(spark, landing)}
     moved = 0
     for name in text.split():
+        folder = f"{_number(name):09d}"
         if name in there:
-            rename(spark, f"{prepared}/{name}", f"{landing}/{_number(name):09d}")
+            rename(spark, f"{prepared}/{name}", f"{landing}/{folder}")
+            landed.add(folder)
             moved += 1
             time.sleep(pause)
+        elif archive is not None and folder not in landed:
+            continue
         # Also for one that an earlier call moved last.
         for query in queries:
             query.processAllAvailable()
+        if archive is not None:
+            rename(spark, f"{landing}/{folder}", f"{archive}/{folder}")
     return moved
 
 

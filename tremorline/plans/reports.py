@@ -432,7 +432,9 @@ def _replay(spark: SparkSession, data_dir: str, label: str) -> tuple[str, dict]:
 def _delivered(spark: SparkSession, base: str, queries) -> None:
     """Hand the prepared ranges to running queries and end them."""
     try:
-        deliver_ranges(spark, f"{base}/prepared", f"{base}/all", queries)
+        deliver_ranges(
+            spark, f"{base}/prepared", f"{base}/all", queries, archive=f"{base}/taken"
+        )
     finally:
         for query in queries:
             query.stop()
