@@ -639,6 +639,57 @@ def test_leaks_of_short_and_long_items(spark):
     assert all(r["cosine"] > 0 for r in found)
 
 
+def test_space_is_fitted_on_all_documents(spark):
+    """All windows of more documents than were once sampled, with few main directions."""
+    rng = random.Random(14)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(300)], k=n)) for n in (9, 33, 70, 200) * 10]
+    docs = spark.createDataFrame(
+        [(i, texts[i % len(texts)]) for i in range(2000)] + [(2000, None)],
+        "doc_id long, text string",
+    )
+    idf = np.random.default_rng(1).uniform(1, 5, decontaminate.BUCKETS)
+    right, windows = np.zeros((decontaminate.BUCKETS, 5)), 0
+    probe = np.random.default_rng(2).standard_normal(right.shape)
+    for text in texts:
+        words = decontaminate._of_text(text)
+        ends = np.array([0, len(words)])
+        starts, first, past = decontaminate._windows(ends)
+        stops = np.append(starts, len(words))
+        for a, b in zip(stops[first], stops[past], strict=True):
+            cells = decontaminate._bucket(words[a:b])
+            row = np.zeros(decontaminate.BUCKETS)
+            np.add.at(row, cells, idf[cells])
+            row /= np.sqrt((idf[cells] ** 2).sum())  # as windows are weighted in a scan
+            right += 50 * np.outer(row, row @ probe)
+            windows += 50
+    factor, n = decontaminate.fit_corpus(docs, idf)
+    assert n == windows > 2000
+    got = factor.astype(float) @ (factor.T @ probe)
+    assert np.linalg.norm(got - right) < 0.2 * np.linalg.norm(right)
+
+
+def test_sum_over_windows(monkeypatch):
+    """The product with the thin matrix, whatever the steps, of texts of all lengths."""
+    rng = random.Random(15)
+    texts = [" ".join(rng.choices("abcdefghij", k=n)) for n in (0, 1, 15, 16, 17, 33, 64, 65, 300)]
+    monkeypatch.setattr(decontaminate, "STEP", 8)
+    monkeypatch.setattr(decontaminate, "SPACE_BLOCKS", 3)
+    parts = [decontaminate._of_text(t) for t in texts]
+    words = decontaminate._Words(np.concatenate(parts), np.cumsum([0, *map(len, parts)]))
+    idf = np.random.default_rng(1).uniform(1, 5, decontaminate.BUCKETS)
+    thin = decontaminate._thin(idf)
+    total = np.zeros((decontaminate.BUCKETS, thin.shape[1] - 1), np.float32)
+    n = decontaminate.add_passages(words, thin, total)
+    starts, first, past = decontaminate._windows(words.ends)
+    stops, right = np.append(starts, len(words.hashes)), np.zeros(total.shape)
+    for a, b in zip(stops[first], stops[past], strict=True):
+        cells = decontaminate._bucket(words.hashes[a:b])
+        vector = thin[cells].sum(axis=0)
+        np.add.at(right, cells, idf[cells, None] * vector[:-1] / vector[-1])
+    assert n == len(first)
+    assert np.allclose(total, right, rtol=1e-3, atol=1e-2)
+
+
 def test_common_subsequence():
     rng = random.Random(6)
     for _ in range(200):

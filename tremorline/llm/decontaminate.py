@@ -2,10 +2,10 @@
 
 Words are hashed to buckets and weighted by inverse document frequency, counted
 over all documents. A randomised singular value decomposition of the weighted
-passages (a bounded sample of documents' windows, and all benchmark items,
-which weigh more) gives a latent space: Spark multiplies the
-passages by a thin matrix in parallel, and the driver orthogonalises the small
-product. Every window of every document is projected and compared with all
+passages (all windows of all documents, and all benchmark items,
+which weigh more) gives a latent space: Spark multiplies the documents'
+passages by a thin random matrix in one scan, in parallel, and the driver takes
+their main directions from the small product. Every window of every document is projected and compared with all
 items by cosine. What is near is read word by word: the longest common
 subsequence with the item, and whether the item's last sentence, its answer,
 stands in it.
@@ -39,23 +39,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import ALNUM, ranges, runs, sequence_hashes, span_hashes, text_bytes, word_spans
-from .frames import stored
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
 RANK = 112
 OVERSAMPLE = 16
-PASSES = 2
 
 BLOCK_WORDS = 16
 WINDOW_BLOCKS = (2, 4)  # windows of 32 and 64 words, every 16 words; twice that per level
 
-# Documents whose windows the latent space is fitted on, about.
-SAMPLE_DOCS = 1_500
-SPACE_TASKS = 2
+# Tasks of the fit at most, and rows of what each of them sends: one matrix (8 MB), whatever they read.
+SPACE_TASKS = 64
+SPACE_PARTS = 16
+SPACE_BLOCKS = 64  # at a time, whose words are added to the matrix
 BLOCK_ITEMS = 4 * RANK  # as many spaces are side by side in a scan
 STEP = 1024  # blocks or windows at a time: what is gathered for them fits a core's cache
-ITEM_WEIGHT = 10.0  # of all items, against the sample: the space is to tell items apart
+ITEM_WEIGHT = 10.0  # of all items, against the documents: the space is to tell items apart
 
 NEAR = 0.25  # cosine from which a window is read
 SAME = 0.8  # share of an item's words, in order, that makes a leak
@@ -162,34 +161,120 @@ def _level(n: int) -> int:
     return max(0, (-(-n // (BLOCK_WORDS * max(WINDOW_BLOCKS))) - 1).bit_length())
 
 
-def _sample_rows(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """Weighted passages of length one: ``cells`` and ``weights``."""
-    n = max(docs.count(), 1)
-    steps = 1 << 20
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < min(steps, -(-steps * SAMPLE_DOCS // n))
+def _thin(idf: np.ndarray) -> np.ndarray:
+    """What each word adds to a window's product with a fixed random matrix."""
+    rows = scan_matrix(RANK + OVERSAMPLE, idf)
+    random = np.random.default_rng(11)
+    for a in range(0, BUCKETS, STEP):
+        part = random.standard_normal((STEP, RANK + OVERSAMPLE), np.float32)
+        rows[a : a + STEP, :-1] = part * idf[a : a + STEP, None]
+    return rows
+
+
+def _block_sums(words: _Words, starts: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """The rows of ``space`` of each block's words, added up."""
+    sums = np.zeros((len(starts), space.shape[1]), np.float32)
+    stops = np.append(starts, len(words.hashes))
+    # One more cell, after the last, for the places past the end of a short block.
+    cells = np.append(_bucket(words.hashes), BUCKETS)
+    for a in range(0, len(starts), STEP):
+        begin, end = starts[a : a + STEP], stops[a + 1 : a + STEP + 1]
+        for k in range(BLOCK_WORDS):
+            at = np.where(begin + k < end, begin + k, len(words.hashes))
+            sums[a : a + STEP] += space.take(cells[at], axis=0)
+    return sums
+
+
+def _window_vectors(sums: np.ndarray, first: np.ndarray, past: np.ndarray) -> np.ndarray:
+    vectors = sums[first]
+    for k in range(1, int((past - first).max())):
+        more = np.flatnonzero(first + k < past)
+        vectors[more] += sums[first[more] + k]
+    return vectors
+
+
+def add_passages(words: _Words, thin: np.ndarray, total: np.ndarray) -> int:
+    """Adds a (a . random) over all windows a of the texts to ``total``; returns their number.
+
+    ``thin`` is as ``_thin`` makes it. What a window adds is the same for all words of a block.
+    """
+    starts, first, past = _windows(words.ends)
+    if not len(starts):
+        return 0
+    sums = _block_sums(words, starts, thin)
+    added = np.zeros((len(starts), total.shape[1]), np.float32)
+    for a in range(0, len(first), STEP):
+        f, p = first[a : a + STEP], past[a : a + STEP]
+        vectors = _window_vectors(sums, f, p)
+        vectors = vectors[:, :-1] / np.maximum(vectors[:, -1:], 1e-12)
+        # Windows of one size start in different blocks.
+        cuts = [0, *(np.flatnonzero(np.diff(f) <= 0) + 1).tolist(), len(f)]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            for k in range(int((p - f)[low:high].max())):
+                more = low + np.flatnonzero(f[low:high] + k < p[low:high])
+                added[f[more] + k] += vectors[more]
+    weight = np.sqrt(thin[:, -1])
+    cells, stops = _bucket(words.hashes), np.append(starts, len(words.hashes))
+    for a in range(0, len(starts), SPACE_BLOCKS):
+        alike = added[a : a + SPACE_BLOCKS]
+        blocks = np.arange(len(alike))
+        place = np.repeat(blocks, np.diff(stops[a : a + len(alike) + 1]))
+        own, word = np.unique(cells[stops[a] : stops[a + len(alike)]], return_inverse=True)
+        shape = len(own), len(alike)
+        often = np.bincount(word * len(alike) + place, minlength=shape[0] * shape[1])
+        total[own] += often.reshape(shape).astype(np.float32) @ alike * weight[own, None]
+    return len(first)
+
+
+def fit_corpus(docs: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, int]:
+    """Main directions of all documents' weighted windows, with their lengths, and how many windows.
+
+    The matrix (buckets by width) times its own transpose is about the sum of a a' over
+    all windows a. One scan: the sum times a random matrix fixes it (Nystroem's method).
+    """
+    width = RANK + OVERSAMPLE
     shared = docs.sparkSession.sparkContext.broadcast(idf)
+    size = BUCKETS // SPACE_PARTS
+    kind = "part int, m binary, n long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(parts: list[int], arrays: list[np.ndarray], n: int) -> pa.RecordBatch:
+        sent = pa.array([a.tobytes() for a in arrays], pa.binary())
+        numbers = [pa.array(parts, pa.int32()), sent, pa.array([n] * len(parts), pa.int64())]
+        return pa.RecordBatch.from_arrays(numbers, names=["part", "m", "n"])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        thin, total, n = None, None, 0
         for batch in batches:
+            if thin is None:
+                thin, total = _thin(shared.value), np.zeros((BUCKETS, width), np.float32)
             for _, _, words in _text_runs(batch):
-                starts, first, past = _windows(words.ends)
-                stops = np.append(starts, len(words.hashes))
-                cells, weights = [], []
-                for a, b in zip(stops[first].tolist(), stops[past].tolist(), strict=True):
-                    cell, weight = _weighted(words.hashes[a:b], shared.value)
-                    cells.append(cell)
-                    weights.append(weight)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(cells, pa.list_(pa.int32())),
-                        pa.array(weights, pa.list_(pa.float32())),
-                    ],
-                    names=["cells", "weights"],
-                )
-
-    # A third of a large source may hold one text; each text is taken once.
-    rows = docs.where(chosen).select("text").distinct()
-    return rows.mapInArrow(run, "cells array<int>, weights array<float>")
+                n += add_passages(words, thin, total)
+        if n:
+            for part in range(SPACE_PARTS):
+                yield rows([part], [total[part * size : (part + 1) * size]], n)
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(size * width, np.float32)
+        for sent in table.column("m"):
+            total += np.frombuffer(sent.as_buffer(), np.float32)
+        part = table.column("part")[0].as_py()
+        return pa.Table.from_batches([rows([part], [total], pc.sum(table.column("n")).as_py())])
+
+    sent = docs.select("text").coalesce(SPACE_TASKS).mapInArrow(multiply, kind)
+    product, n = np.zeros((BUCKETS, width), np.float32), 0
+    for row in sent.groupBy("part").applyInArrow(add, kind).toLocalIterator():
+        part = np.frombuffer(row["m"], np.float32).reshape(size, width)
+        product[row["part"] * size : (row["part"] + 1) * size], n = part, row["n"]
+    inner, random = np.zeros((width, width)), np.random.default_rng(11)
+    for a in range(0, BUCKETS, STEP):
+        part = random.standard_normal((STEP, width), np.float32)
+        inner += part.T.astype(np.float64) @ product[a : a + STEP]
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    kept = values > 1e-7 * max(values[-1], 1e-12)
+    turn = (vectors * np.where(kept, 1 / np.sqrt(np.where(kept, values, 1)), 0)).astype(np.float32)
+    for a in range(0, BUCKETS, STEP):
+        product[a : a + STEP] = product[a : a + STEP] @ turn
+    return product, n
 
 
 def _weighted(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,63 +283,25 @@ def _weighted(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return cell, weight / max(np.sqrt(weight @ weight), 1e-12)
 
 
-def fit_space(sample: DataFrame, n: int, items: list[Item], idf: np.ndarray) -> np.ndarray:
-    """Right singular vectors (buckets by rank) of ``n`` weighted passages and the items.
-
-    The driver holds two matrices of buckets by width (8 MB each) at a time.
-    """
-    context = sample.sparkSession.sparkContext
-    own = [_weighted(item.words, idf) for item in items]
-    scale = ITEM_WEIGHT * n / max(len(items), 1)
+def fit_space(corpus: np.ndarray, n: int, items: list[Item], idf: np.ndarray) -> np.ndarray:
+    """Right singular vectors (buckets by rank) of the corpus's ``n`` windows and the items.
 
-    width = RANK + OVERSAMPLE
-    basis = np.random.default_rng(11).standard_normal((BUCKETS, width), np.float32)
-    for _ in range(PASSES):
-        _orthonormalise(basis)
-        shared = context.broadcast(basis)
-
-        def multiply(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            """The sum of a (a . basis) over this task's passages a."""
-            thin = shared.value
-            total = np.zeros(thin.shape, np.float32)
-            for batch in batches:
-                cells, weights = batch.column("cells"), batch.column("weights")
-                at = cells.offsets.to_numpy()
-                cell, weight = cells.values.to_numpy(), weights.values.to_numpy()
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    part = cell[a:b]
-                    inner = weight[a:b] @ thin[part]
-                    total[part] += np.outer(weight[a:b], inner)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
-
-        # One matrix of fixed size (8 MB) from each of a fixed number of tasks.
-        product = np.zeros(basis.shape, np.float32)
-        for cell, weight in own:
-            product[cell] += np.outer(scale * weight, weight @ basis[cell])
-        parts = sample.repartition(SPACE_TASKS).mapInArrow(multiply, "m binary")
-        for row in parts.toLocalIterator(prefetchPartitions=True):
-            product += np.frombuffer(row["m"], np.float32).reshape(product.shape)
-        shared.destroy()
-        inner = basis.T @ product
-        basis, last = product, basis
-    del basis, product
-    values, vectors = np.linalg.eigh((inner + inner.T).astype(np.float64) / 2)
-    return last @ vectors[:, ::-1][:, :RANK].astype(np.float32)
-
-
-def _orthonormalise(basis: np.ndarray) -> None:
-    """Make the columns orthonormal in place, block by block.
-
-    From the small matrix of their inner products; the second round mends what
-    rounding left in the first.
+    ``corpus`` is as ``fit_corpus`` returns it.
     """
-    blocks = [basis[a : a + STEP] for a in range(0, len(basis), STEP)]
-    for _ in range(2):
-        inner = sum(b.T.astype(np.float64) @ b for b in blocks)
-        values, vectors = np.linalg.eigh(inner)
-        turn = vectors / np.sqrt(np.maximum(values, 1e-14 * values[-1]))
-        for b in blocks:
-            b[:] = b @ turn
+    scale = np.sqrt(ITEM_WEIGHT * max(n, 1) / max(len(items), 1))
+    width = corpus.shape[1]
+    rows = np.zeros((BUCKETS, width + len(items)), np.float32)
+    rows[:, :width] = corpus
+    for k, item in enumerate(items):
+        cell, weight = _weighted(item.words, idf)
+        rows[cell, width + k] = scale * weight
+    blocks = [rows[a : a + STEP].astype(np.float64) for a in range(0, BUCKETS, STEP)]
+    values, vectors = np.linalg.eigh(sum(b.T @ b for b in blocks))
+    values, vectors = values[::-1][:RANK], vectors[:, ::-1][:, :RANK]
+    # Directions that are not there: no passage has a part in them.
+    kept = values > 1e-10 * max(values[0], 1e-12)
+    turn = vectors * np.where(kept, 1 / np.sqrt(np.where(kept, values, 1)), 0)
+    return np.concatenate([(b @ turn).astype(np.float32) for b in blocks])
 
 
 def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
@@ -325,15 +372,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     idf = inverse_frequency(docs)
-    sample = stored(_sample_rows(docs, idf).repartition(SPACE_TASKS), "passages")
-    n = max(sample.count(), 1)
+    corpus = None
     found = docs.sparkSession.createDataFrame([], _LEAKS)
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
         wanted = read_items(rows)
         if wanted:
-            found = found.unionByName(_scan(docs, sample, n, wanted, idf))
+            corpus = corpus or fit_corpus(docs, idf)
+            found = found.unionByName(_scan(docs, *corpus, wanted, idf))
     return found
 
 
@@ -393,13 +440,13 @@ def indexed_windows(words: _Words, indexes: list[Index], items: list[Item]) -> n
 
 
 def _scan(
-    docs: DataFrame, sample: DataFrame, n: int, items: list[Item], idf: np.ndarray
+    docs: DataFrame, corpus: np.ndarray, n: int, items: list[Item], idf: np.ndarray
 ) -> DataFrame:
     shares = _shares(items)
     weighted, groups = scan_matrix(len(shares) * RANK, idf), []
     for k, (level, numbers) in enumerate(shares):
         own = [items[k] for k in numbers.tolist()]
-        space = fit_space(sample, n, own, idf)
+        space = fit_space(corpus, n, own, idf)
         queries = np.stack([w @ space[c] for c, w in (_weighted(i.words, idf) for i in own)])
         columns = slice(k * RANK, (k + 1) * RANK)
         groups.append(Group(columns, numbers, queries.astype(np.float32), level))
@@ -446,24 +493,14 @@ def near_windows(words: _Words, space: np.ndarray, groups: list[Group], near: fl
     found, cosines = [np.zeros((0, 3), np.int64)], [np.zeros(0)]
     if not len(starts) or not groups:
         return found[0], cosines[0]
-    sums = np.zeros((len(starts), space.shape[1]), np.float32)
+    sums = _block_sums(words, starts, space)
     stops = np.append(starts, len(words.hashes))
-    # One more cell, after the last, for the places past the end of a short block.
-    cells = np.append(_bucket(words.hashes), BUCKETS)
-    for a in range(0, len(starts), STEP):
-        begin, end = starts[a : a + STEP], stops[a + 1 : a + STEP + 1]
-        for k in range(BLOCK_WORDS):
-            at = np.where(begin + k < end, begin + k, len(words.hashes))
-            sums[a : a + STEP] += space.take(cells[at], axis=0)
     for level in sorted({group.level for group in groups}):
         alike = [group for group in groups if group.level == level]
         _, first, past = _windows(words.ends, level)
         for a in range(0, len(first), STEP):
             f, p = first[a : a + STEP], past[a : a + STEP]
-            vectors = sums[f]
-            for k in range(1, int((p - f).max())):
-                more = np.flatnonzero(f + k < p)
-                vectors[more] += sums[f[more] + k]
+            vectors = _window_vectors(sums, f, p)
             vectors /= np.sqrt(np.maximum(vectors[:, -1:], 1e-12))
             for group in alike:
                 cosine = vectors[:, group.columns] @ group.queries.T
