@@ -581,6 +581,20 @@ def test_compaction_keeps_rows_and_layout(spark, changelog, partition_by):
     assert as_set(read_changelog(spark, out)) == before
 
 
+def test_compaction_by_share_waits_for_enough_batches(spark, changelog):
+    """Calls at short intervals write the table as it grows by a share, not after each batch."""
+    out, before = changelog(("region",))
+    merged = []
+    for up_to in range(4):
+        compact(spark, out, up_to, share=0.75)
+        version = versions.current_version(spark, out)
+        merged.append(-1 if version is None else version.up_to_batch)
+        assert as_set(read_changelog(spark, out)) == before
+    assert merged == [-1, 1, 1, 3]
+    compact(spark, out, 3)
+    assert as_set(read_changelog(spark, out)) == before
+
+
 class Ended(Exception):
     pass
 

@@ -56,6 +56,7 @@ from ..streaming import (
     top_table,
     wait_for_all,
 )
+from ..streaming.batch_log import last_batch
 from .prepare import deliver_ranges, prepare_microfiles, prepare_replay
 
 TOP_N = 3
@@ -71,6 +72,9 @@ RESTART_AT = datetime(2024, 1, 16, tzinfo=timezone.utc)
 ROWS_PER_FILE = 10_000
 ROWS_PER_RANGE = 50_000
 
+# New batches, as a share of those merged before, that are merged while a query runs.
+COMPACT_SHARE = 0.5
+
 # State partitions of these runs; a cluster's jobs choose their own.
 STATE_PARTITIONS = 8
 
@@ -238,7 +242,9 @@ def changelog_compacted(spark: SparkSession, data_dir: str) -> DataFrame:
     def keep_compact() -> None:
         while not done.wait(1):
             # The batch that is being written is left alone.
-            compact(spark, out, len(query.recentProgress) - 2)
+            committed = last_batch(spark, f"{base}/checkpoint")
+            if committed is not None:
+                compact(spark, out, committed, share=COMPACT_SHARE)
 
     compacting = threading.Thread(target=keep_compact)
     compacting.start()

@@ -320,6 +320,7 @@ def compact(
     schema: StructType = RESULT_SCHEMA,
     value: str = "count",
     kept_versions: int = 2,
+    share: float = 0,
 ) -> None:
     """Replace the batches of an update-mode table up to one by their latest values.
 
@@ -328,10 +329,16 @@ def compact(
     partitioning and becomes part of the table in one step; a call that ends
     before it changes nothing. What it replaces is removed by the
     next call, for readers that have begun; ``kept_versions=1`` removes it at once.
+
+    Each merge writes the whole table. For calls at short intervals, ``share`` leaves new batches where
+    they are while they are fewer than that share of those merged before: all calls
+    together then write a few times what the batches hold, not its square.
     """
     version = versions.current_version(spark, out)
     done = -1 if version is None else version.up_to_batch
     merged = [n for n in versions.batches(spark, out, done) if n <= up_to_batch]
+    if len(merged) < share * (done + 1):
+        return
     if len(merged) + (version is not None) > 1:
         latest = _latest(versions.read_batches(spark, out, schema, up_to_batch), schema, value)
         latest = latest.persist()
