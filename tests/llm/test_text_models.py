@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -19,7 +20,17 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
-from tremorline.llm import bpe, chat, language_id, quality, token_files, url_rules
+from tremorline.llm import (
+    bpe,
+    bytetext,
+    chat,
+    decontaminate,
+    jaccard_join,
+    language_id,
+    quality,
+    token_files,
+    url_rules,
+)
 from tremorline.llm.bytetext import (
     ALNUM,
     NOT_SPACE,
@@ -29,6 +40,7 @@ from tremorline.llm.bytetext import (
     text_bytes,
     word_spans,
 )
+from tremorline.llm.frames import lean
 from tremorline.llm.queries import BYTE_RANKS, WORD_TOKENIZER
 
 from .tables import EDGE_TEXTS, SMALL, edge_docs, empty_docs, small
@@ -72,6 +84,34 @@ def test_words_and_hashes():
     assert (starts.tolist(), ends.tolist()) == ([0, 3], [2, 4])
 
 
+def test_hashing_a_batch_takes_little_memory():
+    """Tables and sums follow the runs, not the batch of the pipeline (8 MB)."""
+    words = " ".join(f"w{i}" for i in range(12_000))
+    batch = pa.record_batch({"text": pa.array([f"{words} {i}" for i in range(110)])})
+    assert batch.nbytes > 7 << 20
+    tracemalloc.start()
+    try:
+        known = bytetext._powers[:]
+        bytetext._powers[:] = [known[0][:1], known[1][:1]]
+        for part in (decontaminate._text_runs(batch), jaccard_join._sets_of(batch)):
+            for _ in part:
+                pass
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_lean_function_gives_its_rows_and_ends_with_its_error():
+    assert list(lean(lambda batches: (2 * b for b in batches))(iter([1, 2]))) == [2, 4]
+
+    def fails(batches):
+        yield next(batches)
+        raise ValueError("here")
+
+    with pytest.raises(ValueError, match="here"):
+        list(lean(fails)(iter([1])))
+
+
 # Chat ---------------------------------------------------------------------
 
 

@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 
 RUN_BYTES = 1 << 21
 
+# Where words are hashed: their tables and sums take about 60 bytes for each byte of a run.
+HASH_RUN_BYTES = 1 << 19
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WORD_MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -72,7 +75,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64, for i up to n."""
     if len(_powers[0]) <= n:
-        size = max(n + 1, RUN_BYTES + 1)
+        size = max(1 << n.bit_length(), HASH_RUN_BYTES) + 1
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         for k, base in enumerate((_BASE, inverse)):
             table = np.full(size, base, np.uint64)

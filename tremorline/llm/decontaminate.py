@@ -38,7 +38,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import ALNUM, ranges, runs, sequence_hashes, span_hashes, text_bytes, word_spans
+from .bytetext import (
+    ALNUM,
+    HASH_RUN_BYTES,
+    ranges,
+    runs,
+    sequence_hashes,
+    span_hashes,
+    text_bytes,
+    word_spans,
+)
+from .frames import lean
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
@@ -107,7 +117,7 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
 
 def _text_runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, _Words]]:
     data, offsets = text_bytes(pc.utf8_lower(batch.column("text")))
-    for first, last in runs(offsets):
+    for first, last in runs(offsets, HASH_RUN_BYTES):
         part = data[offsets[first] : offsets[last]]
         yield first, last, _words(part, offsets[first : last + 1] - offsets[first])
 
@@ -128,7 +138,7 @@ def inverse_frequency(docs: DataFrame) -> np.ndarray:
             [pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["cell", "n"]
         )
 
-    counted = docs.select("text").mapInArrow(count, "cell long, n long")
+    counted = docs.select("text").mapInArrow(lean(count), "cell long, n long")
     rows = counted.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS + 1 at most
     total = np.zeros(BUCKETS + 1)
     total[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
@@ -260,7 +270,7 @@ def fit_corpus(docs: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, int]:
         part = table.column("part")[0].as_py()
         return pa.Table.from_batches([rows([part], [total], pc.sum(table.column("n")).as_py())])
 
-    sent = docs.select("text").coalesce(SPACE_TASKS).mapInArrow(multiply, kind)
+    sent = docs.select("text").coalesce(SPACE_TASKS).mapInArrow(lean(multiply), kind)
     product, n = np.zeros((BUCKETS, width), np.float32), 0
     for row in sent.groupBy("part").applyInArrow(add, kind).toLocalIterator():
         part = np.frombuffer(row["m"], np.float32).reshape(size, width)
@@ -471,7 +481,7 @@ def _scan(
                 names=[field.split()[0] for field in _LEAKS.split(", ")],
             )
 
-    return docs.mapInArrow(run, _LEAKS)
+    return docs.mapInArrow(lean(run), _LEAKS)
 
 
 def scan_matrix(width: int, idf: np.ndarray) -> np.ndarray:

@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import (
+    HASH_RUN_BYTES,
     NOT_SPACE,
     mix,
     ranges,
@@ -50,7 +51,7 @@ from .bytetext import (
     word_spans,
 )
 from .components import connected_components
-from .frames import stored
+from .frames import lean, stored
 
 SHINGLE = 5
 LIST_SIZE = 32
@@ -108,7 +109,7 @@ def set_class(shingles: np.ndarray) -> int:
 
 def _sets_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     data, offsets = text_bytes(batch.column("text"))
-    for first, last in runs(offsets):
+    for first, last in runs(offsets, HASH_RUN_BYTES):
         part = data[offsets[first] : offsets[last]]
         yield from shingle_sets(part, offsets[first : last + 1] - offsets[first])
 
@@ -339,7 +340,7 @@ def _bloom(classes: DataFrame) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array(bits, pa.int64())], names=["bit"])
 
     # Eight bits of a byte meet in one row, so at most 2**20 rows come back.
-    marked = classes.select("cls").mapInArrow(mark, "bit long")
+    marked = classes.select("cls").mapInArrow(lean(mark), "bit long")
     rows = (
         marked.groupBy((F.col("bit") / 8).cast("int").alias("byte"))
         .agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("v"))
@@ -381,7 +382,7 @@ def _whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 names=["cls", "n", "shingles"],
             )
 
-    sets = docs.select("text").mapInArrow(run, "cls long, n int, shingles array<long>")
+    sets = docs.select("text").mapInArrow(lean(run), "cls long, n int, shingles array<long>")
     return sets.join(classes, "cls", "left_semi").dropDuplicates(["cls"])
 
 
@@ -392,13 +393,13 @@ def _size_class(n: str):
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest id that links reach)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stored(docs.mapInArrow(_first_pass, _SETS), "jaccard-sets")
+    sets = stored(docs.mapInArrow(lean(_first_pass), _SETS), "jaccard-sets")
 
     postings = sets.where(F.size("shingles") > 0).select(
         F.explode("shingles").alias("s"), "n", "cls"
     )
     postings = postings.repartition("s").sortWithinPartitions("s", "n", "cls")
-    lists = postings.mapInArrow(_inverted, _LISTS)
+    lists = postings.mapInArrow(lean(_inverted), _LISTS)
     about = sets.where("n > 0 and used >= 0").select(
         "cls",
         "n",
@@ -409,7 +410,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         F.array().cast("array<int>").alias("sizes"),
     )
     asked = lists.unionByName(about).repartition("cls").sortWithinPartitions("cls")
-    found = stored(asked.mapInArrow(_search, _FOUND), "jaccard-found")
+    found = stored(asked.mapInArrow(lean(_search), _FOUND), "jaccard-found")
 
     pairs = found.where("y is not null").select("x", "y")
     about = found.where("y is null").withColumn("size", _size_class("n"))

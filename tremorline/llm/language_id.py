@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import code_points, mix, runs, text_bytes
-from .frames import add_from_text
+from .bytetext import HASH_RUN_BYTES, code_points, mix, runs, text_bytes
+from .frames import add_from_text, lean
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -123,7 +123,7 @@ def fit_language_model(
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             of_text = np.array([languages.index(x) for x in batch.column("lang").to_pylist()])
-            for first, last in runs(offsets):
+            for first, last in runs(offsets, HASH_RUN_BYTES):
                 part = data[offsets[first] : offsets[last]]
                 letters, ends = _letters(part, offsets[first : last + 1] - offsets[first])
                 base = np.repeat(of_text[first:last] * width, np.diff(ends))
@@ -137,7 +137,7 @@ def fit_language_model(
 
     # Few tasks, so that few partial counts are shuffled; the sample is bounded.
     spread = sample.select("lang", "text").repartition(16)
-    cells = spread.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = spread.mapInArrow(lean(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     table = cells.toArrow()  # at most languages x buckets rows
     matrix = np.zeros(len(languages) * width)
     matrix[table.column("cell").to_numpy()] = table.column("n").to_numpy()
@@ -180,7 +180,7 @@ def predict_language(
         def compute(texts: pa.Array):
             data, offsets = text_bytes(texts)
             best, score = [np.zeros(0, int)], [np.zeros(0)]
-            for first, last in runs(offsets):
+            for first, last in runs(offsets, HASH_RUN_BYTES):
                 part = data[offsets[first] : offsets[last]]
                 found = _score(model, part, offsets[first : last + 1] - offsets[first])
                 best.append(found[0])

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import (
+    HASH_RUN_BYTES,
     NOT_SPACE,
     mix,
     runs,
@@ -37,7 +38,7 @@ from .bytetext import (
     text_bytes,
     word_spans,
 )
-from .frames import add_from_text
+from .frames import add_from_text, lean
 
 WORD_BITS, SHAPE_BITS = 17, 12
 SHAPES = 1 << SHAPE_BITS
@@ -52,7 +53,6 @@ THRESHOLD = 0.3
 
 _COST = 1.0
 _EPOCHS = 12
-_SHAPE_RUN = 1 << 20
 
 # Length of a text's part of the vector: character n-grams, words; the few cells
 # between them are not scaled to a length.
@@ -121,7 +121,7 @@ def cells_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
-        for first, last in runs(offsets, _SHAPE_RUN):
+        for first, last in runs(offsets, HASH_RUN_BYTES):
             row, cell = cells_of(
                 data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
             )
@@ -223,7 +223,7 @@ def fit_quality_model(
         .join(F.broadcast(known.where(chosen)), "doc_id")
         .select("label", "text")
     )
-    cells = rows.mapInArrow(_cell_batches, "label int, cells array<int>")
+    cells = rows.mapInArrow(lean(_cell_batches), "label int, cells array<int>")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label, at, ends = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(1, np.int64)]
@@ -245,7 +245,7 @@ def fit_quality_model(
         )
 
     fitted = cells.repartition(1).mapInArrow(
-        fit, "weights binary, ratios binary, slope double, shift double"
+        lean(fit), "weights binary, ratios binary, slope double, shift double"
     )
     row = fitted.collect()[0]
     return QualityModel(
@@ -264,7 +264,7 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None =
         def compute(texts: pa.Array):
             data, offsets = text_bytes(texts)
             scores = [np.zeros(0)]
-            for first, last in runs(offsets, _SHAPE_RUN):
+            for first, last in runs(offsets, HASH_RUN_BYTES):
                 row, cell = cells_of(
                     data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
                 )
