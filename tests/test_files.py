@@ -173,6 +173,23 @@ def test_ranges_are_delivered_in_order(spark, feed, tmp_path, monkeypatch):
     assert deliver_ranges(spark, prepared, landing) == 0
 
 
+def test_a_large_feed_makes_few_ranges(spark, feed, tmp_path, monkeypatch):
+    """Ranges grow to the largest size before there are more of them; all rows stay, in order."""
+    monkeypatch.setattr(prepare, "RANGE_RECORDS", 20)
+    rows = feed(*[{"id": str(i), "time": str(i * 1000)} for i in range(100)])
+    made = []
+    for few in (None, 50, 8, 3):
+        out = str(tmp_path / f"few-{few}")
+        made.append(prepare_replay(rows, out, 5, range_records=5, few_ranges=few))
+        last = -1
+        for i in range(made[-1]):
+            ids = [int(r.id) for r in read_feed(spark, f"{out}/range={i}").collect()]
+            assert min(ids) == last + 1 and max(ids) - last == len(ids)
+            last = max(ids)
+        assert last == 99
+    assert made == [20, 20, 8, 5]  # ranges of 5, 5, 13 and 20 rows
+
+
 class _Taking:
     """Stands for a query: what lies in the landing folder each time it is waited for."""
 

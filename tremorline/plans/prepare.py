@@ -48,6 +48,7 @@ def prepare_replay(
     partitions: int | None = None,
     fixed_order: bool = False,
     range_records: int = RANGE_RECORDS,
+    few_ranges: int | None = None,
 ) -> int:
     """Feed rows in folders by range of event time, to be delivered one after the other.
 
@@ -58,7 +59,8 @@ def prepare_replay(
     The rows are sorted in ranges. A row number breaks ties, so the ranges can
     cut through a time that very many rows share, or through the rows without
     one. ``partitions`` fixes the number of ranges; otherwise they have about ``range_records``
-    rows each.
+    rows each. With ``few_ranges``, ranges of a feed that makes more are larger, up to
+    ``RANGE_RECORDS`` rows: a batch costs a stream the same jobs and state commits whatever its rows.
 
     The row numbers must come out the same when a lost task is repeated, so the
     feed is first written to the shared folder. ``fixed_order`` says that its
@@ -70,7 +72,11 @@ def prepare_replay(
     rows = feed_columns(feed)
     rows = rows if fixed_order else _stored(rows)
     if partitions is None:
-        partitions = max(1, -(-rows.count() // range_records))
+        found = rows.count()
+        if few_ranges is not None:
+            largest = max(range_records, RANGE_RECORDS)
+            range_records = min(largest, max(range_records, -(-found // few_ranges)))
+        partitions = max(1, -(-found // range_records))
     keyed = rows.withColumns(
         {"_event_ts": event_time(F.col("time")), "_tie": F.monotonically_increasing_id()}
     )

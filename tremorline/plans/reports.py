@@ -68,9 +68,11 @@ RECENT_NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
 # Events up to here are there when the restarted stream runs first.
 RESTART_AT = datetime(2024, 1, 16, tzinfo=timezone.utc)
 
-# Files and ranges of a replay: fixed sizes, so their number follows the data.
+# Files and ranges of a replay: fixed sizes, so their number follows the data. A feed that makes more
+# ranges than this has larger ones, as each is two batches of a stream.
 ROWS_PER_FILE = 10_000
 ROWS_PER_RANGE = 50_000
+FEW_RANGES = 32
 
 # New batches, as a share of those merged before, that are merged while a query runs.
 COMPACT_SHARE = 0.5
@@ -430,7 +432,12 @@ def _replay(spark: SparkSession, data_dir: str, label: str) -> tuple[str, dict]:
     base = scratch_dir(spark, label)
     feed = feed_from_events(spark, data_dir)
     prepare_replay(
-        feed, f"{base}/prepared", ROWS_PER_FILE, fixed_order=True, range_records=ROWS_PER_RANGE
+        feed,
+        f"{base}/prepared",
+        ROWS_PER_FILE,
+        fixed_order=True,
+        range_records=ROWS_PER_RANGE,
+        few_ranges=FEW_RANGES,
     )
     return base, {"landing": f"{base}/all/*"}
 
