@@ -690,6 +690,67 @@ def test_sum_over_windows(monkeypatch):
     assert np.allclose(total, right, rtol=1e-3, atol=1e-2)
 
 
+def test_near_windows(monkeypatch):
+    """All pairs of a window and an item, whatever the steps, for windows of all lengths."""
+    rng = random.Random(16)
+    monkeypatch.setattr(decontaminate, "STEP", 8)
+    pool = [f"w{i}" for i in range(60)]
+    sizes = [20, 30, 100, 150, 300]
+    items = decontaminate.read_items([(i, " ".join(rng.choices(pool, k=n))) for i, n in enumerate(sizes)])
+    parts = [
+        decontaminate._of_text(" ".join(rng.choices(pool, k=n)))
+        for n in (0, 1, 15, 16, 17, 33, 64, 65, 3, 300, 20, 1000)
+    ]
+    words = decontaminate._Words(np.concatenate(parts), np.cumsum([0, *map(len, parts)]))
+    idf = np.random.default_rng(1).uniform(1, 5, decontaminate.BUCKETS)
+    thin = decontaminate._thin(idf)
+    product = np.zeros((decontaminate.BUCKETS, thin.shape[1] - 1), np.float32)
+    n = decontaminate.add_passages(words, thin, product)
+    space, groups, _, _ = decontaminate._prepared(product, n, items, idf)
+    # No more columns than items, however many directions the spaces have.
+    assert space.shape == (decontaminate.BUCKETS + 1, len(items) + 1)
+    found, cosines = decontaminate.near_windows(words, space, groups, near=0.3)
+    got = {tuple(row): c for row, c in zip(found.tolist(), cosines.tolist(), strict=True)}
+    right = {}
+    for level, numbers in decontaminate._shares(items):
+        own = [items[k] for k in numbers.tolist()]
+        turn = decontaminate.fit_space(product, n, own, idf)
+        starts, first, past = decontaminate._windows(words.ends, level)
+        stops = np.append(starts, len(words.hashes))
+        for a, b in zip(stops[first].tolist(), stops[past].tolist(), strict=True):
+            cells = decontaminate._bucket(words.hashes[a:b])
+            place = idf[cells] @ turn[cells].astype(float) / np.sqrt((idf[cells] ** 2).sum())
+            for k, item in zip(numbers.tolist(), own, strict=True):
+                cell, weight = decontaminate._weighted(item.words, idf)
+                right[a, b, k] = float(place @ (weight @ turn[cell]))
+    assert got and got.keys() <= right.keys()
+    assert all(abs(right[key] - c) < 1e-3 for key, c in got.items())
+    assert all(c < 0.3 + 1e-3 for key, c in right.items() if key not in got)
+
+
+def test_overlapping_windows():
+    """Groups are those of a walk over the windows of a text and an item."""
+    rng = np.random.default_rng(17)
+    ends = np.array([0, 50, 50, 300])
+    for _ in range(50):
+        text = rng.choice([0, 2], 40)
+        first = np.where(text == 0, rng.integers(0, 40, 40), rng.integers(50, 280, 40))
+        past = np.minimum(first + rng.integers(1, 20, 40), ends[text + 1])
+        item = rng.integers(0, 3, 40)
+        order = np.lexsort((first, item, text))
+        text, first, past, item = text[order], first[order], past[order], item[order]
+        around = np.array([2, 9, 30])[item]
+        right, before, end = [], None, 0
+        for i in range(40):
+            if (text[i], item[i]) != before or first[i] - around[i] >= end:
+                right.append([i, i, max(first[i] - around[i], ends[text[i]]), 0])
+                before, end = (text[i], item[i]), 0
+            end = max(end, past[i] + around[i])
+            right[-1][1], right[-1][3] = i + 1, min(end, ends[text[i] + 1])
+        got = decontaminate._surroundings(text, item, first, past, around, ends)
+        assert [list(row) for row in zip(*got, strict=True)] == right
+
+
 def test_common_subsequence():
     rng = random.Random(6)
     for _ in range(200):

@@ -29,15 +29,16 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import remove, scratch_dir
 from .bytetext import (
     ALNUM,
     HASH_RUN_BYTES,
@@ -61,7 +62,7 @@ WINDOW_BLOCKS = (2, 4)  # windows of 32 and 64 words, every 16 words; twice that
 # Tasks of the fit at most, and rows of what each of them sends: one matrix (8 MB), whatever they read.
 SPACE_TASKS = 64
 SPACE_PARTS = 16
-SPACE_BLOCKS = 64  # at a time, whose words are added to the matrix
+SPACE_BLOCKS = 128  # at a time, whose words are added to the matrix
 BLOCK_ITEMS = 4 * RANK  # as many spaces are side by side in a scan
 STEP = 1024  # blocks or windows at a time: what is gathered for them fits a core's cache
 ITEM_WEIGHT = 10.0  # of all items, against the documents: the space is to tell items apart
@@ -87,7 +88,6 @@ class Group(NamedTuple):
 
     columns: slice
     items: np.ndarray  # their numbers in the block
-    queries: np.ndarray
     level: int
 
 
@@ -115,6 +115,11 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    """The same in 16 bits."""
+    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
+
+
 def _text_runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, _Words]]:
     data, offsets = text_bytes(pc.utf8_lower(batch.column("text")))
     for first, last in runs(offsets, HASH_RUN_BYTES):
@@ -195,14 +200,59 @@ def _block_sums(words: _Words, starts: np.ndarray, space: np.ndarray) -> np.ndar
     return sums
 
 
-def _window_vectors(sums: np.ndarray, first: np.ndarray, past: np.ndarray) -> np.ndarray:
-    vectors = sums[first]
-    for k in range(1, int((past - first).max())):
-        more = np.flatnonzero(first + k < past)
-        vectors[more] += sums[first[more] + k]
+def _by_size(
+    first: np.ndarray, past: np.ndarray, level: int = 0
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Size in blocks, first and past-last block of windows of one size, some at a time, in order."""
+    step = max(1, STEP >> level)  # that stand in about STEP blocks
+    back = np.flatnonzero(np.diff(first) <= 0)  # windows of another size start there
+    cuts = [0, *(back + 1).tolist(), len(first)]
+    for size, a, b in zip(WINDOW_BLOCKS, cuts[:-1], cuts[1:], strict=False):
+        for low in range(a, b, step):
+            rows = slice(low, min(low + step, b))
+            yield size << level, first[rows], past[rows]
+
+
+def _window_vectors(
+    sums: np.ndarray, first: np.ndarray, past: np.ndarray, size: int
+) -> np.ndarray:
+    """Rows of ``sums`` added up over each window; windows of ``size`` blocks or shorter, in order.
+
+    Sums of twice as many blocks are made of two, for all places side by side.
+    """
+    low = first[0]
+    added, width = sums[low : past.max()].copy(), 1
+    while width < size:
+        added[:-width] += added[width:]
+        width *= 2
+    vectors = added[first - low]
+    short = np.flatnonzero(past - first < size)
+    if len(short):
+        vectors[short] = sums[first[short]]
+        for k in range(1, int((past - first)[short].max())):
+            more = short[first[short] + k < past[short]]
+            vectors[more] += sums[first[more] + k]
     return vectors
 
 
+def _spread(
+    vectors: np.ndarray, first: np.ndarray, past: np.ndarray, size: int, added: np.ndarray
+) -> None:
+    """Adds the vector of each window to the row of each of its blocks, the other way round."""
+    whole = past - first == size
+    low, high = first[0], past.max()
+    rows, width = np.zeros((high - low, vectors.shape[1]), np.float32), 1
+    rows[first[whole] - low] = vectors[whole]
+    while width < size:
+        rows[width:] += rows[:-width].copy()
+        width *= 2
+    added[low:high] += rows
+    short = np.flatnonzero(~whole)
+    for k in range(int((past - first)[short].max(initial=0))):
+        more = short[first[short] + k < past[short]]
+        added[first[more] + k] += vectors[more]
+
+
 def add_passages(words: _Words, thin: np.ndarray, total: np.ndarray) -> int:
     """Adds a (a . random) over all windows a of the texts to ``total``; returns their number.
 
@@ -213,26 +263,30 @@ def add_passages(words: _Words, thin: np.ndarray, total: np.ndarray) -> int:
         return 0
     sums = _block_sums(words, starts, thin)
     added = np.zeros((len(starts), total.shape[1]), np.float32)
-    for a in range(0, len(first), STEP):
-        f, p = first[a : a + STEP], past[a : a + STEP]
-        vectors = _window_vectors(sums, f, p)
-        vectors = vectors[:, :-1] / np.maximum(vectors[:, -1:], 1e-12)
-        # Windows of one size start in different blocks.
-        cuts = [0, *(np.flatnonzero(np.diff(f) <= 0) + 1).tolist(), len(f)]
-        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-            for k in range(int((p - f)[low:high].max())):
-                more = low + np.flatnonzero(f[low:high] + k < p[low:high])
-                added[f[more] + k] += vectors[more]
+    for size, f, p in _by_size(first, past):
+        vectors = _window_vectors(sums, f, p, size)
+        _spread(vectors[:, :-1] / np.maximum(vectors[:, -1:], 1e-12), f, p, size, added)
     weight = np.sqrt(thin[:, -1])
-    cells, stops = _bucket(words.hashes), np.append(starts, len(words.hashes))
+    cells, stops = _cells(words.hashes), np.append(starts, len(words.hashes))
     for a in range(0, len(starts), SPACE_BLOCKS):
         alike = added[a : a + SPACE_BLOCKS]
         blocks = np.arange(len(alike))
-        place = np.repeat(blocks, np.diff(stops[a : a + len(alike) + 1]))
-        own, word = np.unique(cells[stops[a] : stops[a + len(alike)]], return_inverse=True)
-        shape = len(own), len(alike)
-        often = np.bincount(word * len(alike) + place, minlength=shape[0] * shape[1])
-        total[own] += often.reshape(shape).astype(np.float32) @ alike * weight[own, None]
+        own = cells[stops[a] : stops[a + len(alike)]]
+        order = np.argsort(own, kind="stable")  # numbers of 16 bits are dealt, not compared
+        own, place = own[order], np.repeat(blocks, np.diff(stops[a : a + len(alike) + 1]))[order]
+        at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        times = np.diff(at, append=len(own))
+        # Most words stand there once or twice.
+        rows = alike.take(place[at], axis=0)
+        (twice,) = np.nonzero(times == 2)
+        rows[twice] += alike.take(place[at[twice] + 1], axis=0)
+        (more,) = np.nonzero(times > 2)
+        shape = len(more), len(alike)
+        word = np.repeat(np.arange(len(more)) * len(alike), times[more])
+        often = word + place[ranges(at[more], times[more])]
+        often = np.bincount(often, minlength=shape[0] * shape[1]).reshape(shape)
+        rows[more] = often.astype(np.float32) @ alike
+        total[own[at]] += rows * weight[own[at], None]
     return len(first)
 
 
@@ -379,19 +433,45 @@ def _of_text(text: str) -> np.ndarray:
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id`` and ``item_id`` of leaks, with cosine, share of common words, answer."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = docs.sparkSession.createDataFrame([], _LEAKS)
+    for shared in _shared_blocks(docs, benchmark):
+        found = found.unionByName(_scan(docs, shared))
+    return found
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns.
+
+    A row is judged where it is read, so ids do not matter and no text is shuffled. A scan
+    holds one block of items: between two of them the rows that are left are stored.
+    """
+    spark, before = docs.sparkSession, None
+    kept = docs
+    for number, shared in enumerate(_shared_blocks(docs, benchmark)):
+        if number:
+            path = f"{scratch_dir(spark, 'without-leaks')}/rows"
+            kept.write.parquet(path)
+            kept = spark.read.schema(kept.schema).parquet(path)
+            if before is not None:
+                remove(spark, before)
+            before = path
+        kept = _clean_rows(kept, shared)
+    return kept
+
+
+def _shared_blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Broadcast]:
+    """What scans for a block of items need, block by block."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     idf = inverse_frequency(docs)
     corpus = None
-    found = docs.sparkSession.createDataFrame([], _LEAKS)
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
         wanted = read_items(rows)
         if wanted:
             corpus = corpus or fit_corpus(docs, idf)
-            found = found.unionByName(_scan(docs, *corpus, wanted, idf))
-    return found
+            yield docs.sparkSession.sparkContext.broadcast(_prepared(*corpus, wanted, idf))
 
 
 def _shares(items: list[Item]) -> list[tuple[int, np.ndarray]]:
@@ -449,30 +529,30 @@ def indexed_windows(words: _Words, indexes: list[Index], items: list[Item]) -> n
     return np.concatenate(found)
 
 
-def _scan(
-    docs: DataFrame, corpus: np.ndarray, n: int, items: list[Item], idf: np.ndarray
-) -> DataFrame:
+def _prepared(corpus: np.ndarray, n: int, items: list[Item], idf: np.ndarray) -> tuple:
     shares = _shares(items)
-    weighted, groups = scan_matrix(len(shares) * RANK, idf), []
-    for k, (level, numbers) in enumerate(shares):
+    weighted, groups, end = scan_matrix(sum(len(numbers) for _, numbers in shares), idf), [], 0
+    for level, numbers in shares:
         own = [items[k] for k in numbers.tolist()]
         space = fit_space(corpus, n, own, idf)
         queries = np.stack([w @ space[c] for c, w in (_weighted(i.words, idf) for i in own)])
-        columns = slice(k * RANK, (k + 1) * RANK)
-        groups.append(Group(columns, numbers, queries.astype(np.float32), level))
-        np.multiply(space, idf[:, None], out=weighted[:-1, columns], casting="same_kind")
+        columns = slice(end, end := end + len(own))
+        groups.append(Group(columns, numbers, level))
+        # Windows are sums of words, so their products with the queries are sums of the words' own.
+        products = space @ queries.astype(np.float32).T
+        np.multiply(products, idf[:, None], out=weighted[:-1, columns], casting="same_kind")
         del space
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((weighted, groups, items, sequence_index(items)))
+    return weighted, groups, items, sequence_index(items)
+
 
+def _scan(docs: DataFrame, shared: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, groups, items, indexes = shared.value
+        prepared = shared.value
         for batch in batches:
             ids, out = batch.column("doc_id"), []
             for base, _, words in _text_runs(batch):
                 out += [
-                    (ids[base + text].as_py(), *rest)
-                    for text, *rest in _leaks_of(words, space, groups, items, indexes)
+                    (ids[base + text].as_py(), *rest) for text, *rest in _leaks_of(words, *prepared)
                 ]
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
@@ -484,8 +564,20 @@ def _scan(
     return docs.mapInArrow(lean(run), _LEAKS)
 
 
+def _clean_rows(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prepared = shared.value
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for base, _, words in _text_runs(batch):
+                clean[[base + text for text, *_ in _leaks_of(words, *prepared)]] = False
+            yield batch if clean.all() else batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(lean(run), docs.schema)
+
+
 def scan_matrix(width: int, idf: np.ndarray) -> np.ndarray:
-    """What each word adds to a window: room for its place in the spaces, its squared weight."""
+    """What each word adds to a window: room for its products in the spaces, its squared weight."""
     rows = np.zeros((BUCKETS + 1, width + 1), np.float32)
     rows[:-1, -1] = idf**2
     return rows
@@ -494,8 +586,8 @@ def scan_matrix(width: int, idf: np.ndarray) -> np.ndarray:
 def near_windows(words: _Words, space: np.ndarray, groups: list[Group], near: float = NEAR):
     """First and past-last word, item and cosine of all windows near an item.
 
-    The last column of ``space`` holds the squared weight of a word, its last row
-    is that of no word. The cosine is
+    ``space`` has a word's product, in the latent space, with each item; its last column
+    holds the squared weight of a word, its last row is that of no word. The cosine is
     that of the projections, with the lengths of the whole vectors: what a window
     has outside the latent space makes it less near.
     """
@@ -508,17 +600,17 @@ def near_windows(words: _Words, space: np.ndarray, groups: list[Group], near: fl
     for level in sorted({group.level for group in groups}):
         alike = [group for group in groups if group.level == level]
         _, first, past = _windows(words.ends, level)
-        for a in range(0, len(first), STEP):
-            f, p = first[a : a + STEP], past[a : a + STEP]
-            vectors = _window_vectors(sums, f, p)
-            vectors /= np.sqrt(np.maximum(vectors[:, -1:], 1e-12))
+        for size, f, p in _by_size(first, past, level):
+            length = np.sqrt(np.maximum(_window_vectors(sums[:, -1:], f, p, size), 1e-12))
             for group in alike:
-                cosine = vectors[:, group.columns] @ group.queries.T
-                window, item = np.divmod(np.flatnonzero(cosine >= near), len(group.items))
+                product = _window_vectors(sums[:, group.columns], f, p, size)
+                window, item = np.divmod(
+                    np.flatnonzero(product >= near * length), len(group.items)
+                )
                 found.append(
                     np.stack([stops[f[window]], stops[p[window]], group.items[item]], axis=1)
                 )
-                cosines.append(cosine[window, item])
+                cosines.append(product[window, item] / length[window, 0])
     return np.concatenate(found), np.concatenate(cosines)
 
 
@@ -544,43 +636,52 @@ def _leaks_of(
     more = indexed_windows(words, indexes, items)
     found = np.concatenate([found, more])
     cosines = np.concatenate([cosines, np.full(len(more), np.nan)])  # as far as it is needed
+    if not len(found):
+        return []
     text = np.searchsorted(words.ends, found[:, 0], side="right") - 1
     order = np.lexsort((found[:, 0], found[:, 2], text))
-    listed, ends = words.hashes.tolist(), words.ends.tolist()
-    rows = zip(
-        text[order].tolist(), found[order].tolist(), cosines[order].tolist(), strict=True
-    )
-    out = []
-    for (i, k), group in groupby(rows, key=lambda row: (row[0], row[1][2])):
-        item, best = items[k], None
-        around = len(item.words)
-        for near in _overlapping([(*row[1][:2], row[2]) for row in group], around):
-            low, high = max(near[0][0] - around, ends[i]), max(w[1] for w in near) + around
-            if not _may_hold(item, listed[low : min(high, ends[i + 1])]):
-                continue
-            for first, past, cosine in near:
-                low, high = max(first - around, ends[i]), min(past + around, ends[i + 1])
-                judged = _judge(item, words.hashes[low:high])
-                if judged and np.isnan(cosine):
-                    cosine = _cosine(item, words.hashes[first:past], space)
-                if judged and best is None:
-                    best = (cosine, *judged)
-                elif judged:
-                    best = (
-                        max(best[0], cosine), max(best[1], judged[0]), best[2] or judged[1]
-                    )
-        if best:
-            out.append((i, item.item_id, *best))
-    return out
+    text, (first, past, item), cosines = text[order], found[order].T, cosines[order]
+    around = np.array([len(item.words) for item in items])[item]
+    begins, ends, lows, highs = _surroundings(text, item, first, past, around, words.ends)
+    listed, out = words.hashes.tolist(), {}
+    for a, b, low, high in zip(begins, ends, lows, highs, strict=True):
+        i, one = int(text[a]), items[item[a]]
+        if not _may_hold(one, listed[low:high]):
+            continue
+        for row in range(a, b):
+            left = max(first[row] - around[row], words.ends[i])
+            right = min(past[row] + around[row], words.ends[i + 1])
+            judged, cosine = _judge(one, words.hashes[left:right]), float(cosines[row])
+            if judged and np.isnan(cosine):
+                cosine = _cosine(one, words.hashes[first[row] : past[row]], space)
+            if judged:
+                best = out.get((i, item[a]), (cosine, *judged))
+                out[i, item[a]] = (
+                    max(best[0], cosine), max(best[1], judged[0]), best[2] or judged[1]
+                )
+    return [(i, items[k].item_id, *best) for (i, k), best in out.items()]
+
 
+def _surroundings(
+    text: np.ndarray,
+    item: np.ndarray,
+    first: np.ndarray,
+    past: np.ndarray,
+    around: np.ndarray,
+    ends: np.ndarray,
+) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Windows in order of text, item and first word, in groups whose surroundings overlap.
 
-def _overlapping(windows: list[tuple], around: int) -> Iterator[list[tuple]]:
-    """Windows in order of their first word, in groups whose surroundings overlap."""
-    group, end = [], -1
-    for window in windows:
-        if group and window[0] - around >= end:
-            yield group
-            group = []
-        end = max(end, window[1] + around) if group else window[1] + around
-        group.append(window)
-    yield group
+    First and past-last row of each group, first and past-last word of its surroundings.
+    """
+    new = np.append(True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]))
+    # Those of a text and an item lie behind those of the ones before.
+    shift = np.cumsum(new) * int((past + around).max() + 1)
+    reach = np.maximum.accumulate(past + around + shift)
+    new[1:] |= (first - around + shift)[1:] >= reach[:-1]
+    begin = np.flatnonzero(new)
+    low = np.maximum(first[begin] - around[begin], ends[text[begin]])
+    high = np.maximum.reduceat(past + around, begin)
+    stops = np.append(begin[1:], len(text))
+    high = np.minimum(high, ends[text[begin] + 1])
+    return begin.tolist(), stops.tolist(), low.tolist(), high.tolist()
