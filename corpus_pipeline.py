@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorline.llm.bpe import encode, share_vocabulary
-from tremorline.llm.decontaminate import find_leaks
+from tremorline.llm.decontaminate import without_leaks
 from tremorline.llm.frames import read_table, stored
 from tremorline.llm.jaccard_join import jaccard_components
 from tremorline.llm.language_id import UNKNOWN, fit_language_model, predict_language
@@ -102,10 +102,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_in_small_batches
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows that hold a passage of the benchmark."""
-    rows = _numbered(docs, "pipeline-rows")
-    leaks = find_leaks(_by_number(rows), read_table(spark, sf_dir, "benchmark"))
-    leaked = leaks.select(F.col("doc_id").alias("_row")).distinct()
-    return _together(rows.join(leaked, "_row", "left_anti"), docs)
+    return without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 @_in_small_batches

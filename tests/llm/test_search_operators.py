@@ -751,6 +751,27 @@ def test_overlapping_windows():
         assert [list(row) for row in zip(*got, strict=True)] == right
 
 
+def test_rows_without_leaks(spark, monkeypatch):
+    """A row is judged where it is read: no copy of the texts, no shuffle; also in blocks of items."""
+    items = small("benchmark", "item_id", "text")[:30]
+    docs = [(None if i % 3 else 1, f"before {t} after", i) for i, (_, t) in enumerate(items)]
+    docs += [(1, "nothing of the kind", 100), (None, None, 101), (2, "", 102)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, own int")
+    few = spark.createDataFrame(items[:10], "item_id long, text string")
+    stored = []
+    monkeypatch.setattr(corpus_pipeline, "stored", lambda *args: stored.append(args))
+    monkeypatch.setattr(corpus_pipeline, "read_table", lambda *_: few)
+    kept = corpus_pipeline.not_in_benchmark(spark, docs, "")
+    assert not stored
+    assert "Exchange" not in kept._jdf.queryExecution().toString()
+    assert kept.schema == docs.schema
+    assert sorted(r["own"] for r in kept.collect()) == [*range(10, 30), 100, 101, 102]
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 4)
+    assert sorted(r["own"] for r in decontaminate.without_leaks(docs, few).collect()) == [
+        *range(10, 30), 100, 101, 102
+    ]
+
+
 def test_common_subsequence():
     rng = random.Random(6)
     for _ in range(200):
